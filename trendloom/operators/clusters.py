@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.operators.aggregates import items_added, recompute_clusters
 from trendloom.operators.ranking import with_running_sum
 from trendloom.operators.similarity import linking_texts
-from trendloom.session import cut
+from trendloom.session import cut, cut_and_measure
 
 MAX_ROUNDS = 60
 
@@ -29,11 +29,9 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     current = edges.where(a != b).select(
         "workspace_id", F.greatest(a, b).alias("v"), F.least(a, b).alias("u")
     ).distinct()
-    current = cut(current)
-    before = _print_of(current)
+    current, before = cut_and_measure(current, **_edge_print())
     for _ in range(max_rounds):
-        current = cut(_small_star(_large_star(current)))
-        after = _print_of(current)
+        current, after = cut_and_measure(_small_star(_large_star(current)), **_edge_print())
         if after == before:
             roots = current.select("workspace_id", F.col("u").alias("v"), "u").distinct()
             everyone = current.unionByName(roots).groupBy("workspace_id", "v").agg(F.min("u").alias("group_id"))
@@ -42,9 +40,12 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     raise NotConverged(f"components still change after {max_rounds} rounds")
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("workspace_id", "v", "u").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _edge_print() -> dict[str, Column]:
+    """Count and order-free hash of an edge set, to see when it has settled."""
+    return {
+        "edges": F.count(F.lit(1)),
+        "digest": F.coalesce(F.bit_xor(F.xxhash64("workspace_id", "v", "u")), F.lit(0).cast("bigint")),
+    }
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -102,19 +103,18 @@ def assign_clusters(
             "workspace_id", "content_item_id",
             F.when(F.col("again").isNull(), F.col("content_cluster_id")).alias("content_cluster_id"),
         )
-    members = cut(members)
     both = edges.select("workspace_id", "src_id", "dst_id", "score").unionByName(
         edges.select("workspace_id", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), "score")
     )
     ids = members.select("workspace_id", F.col("content_item_id").alias("src_id"))
     both = cut(both.join(ids, ["workspace_id", "src_id"], "left_semi"))
-    open_items = members.where(F.col("content_cluster_id").isNull()).count()
+    waiting = {"waiting": F.count_if(F.col("content_cluster_id").isNull())}
+    members, before = cut_and_measure(members, **waiting)
     for _ in range(max_rounds):
-        joined = cut(_join_best(members, both))
-        still_open = joined.where(F.col("content_cluster_id").isNull()).count()
-        members, changed, open_items = joined, still_open < open_items, still_open
-        if not changed:
+        members, after = cut_and_measure(_join_best(members, both), **waiting)
+        if after == before:
             break
+        before = after
     else:
         raise NotConverged(f"items still join clusters after {max_rounds} rounds")
     return _new_clusters(members, both, max_rounds)

@@ -153,7 +153,8 @@ def term_weights(items: DataFrame, text: str = "content") -> DataFrame:
     (workspace, term) has a hot side for common words, which AQE splits.
     """
     counts = term_counts(items, text)
-    spread = counts.groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    # reading tf keeps both branches equal, so that the texts are split and counted once
+    spread = counts.groupBy("workspace_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     totals = items.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("total"))
     idf = (1 + F.floor(16 * F.ln(F.col("total") / F.col("df")))).alias("idf")
     rated = spread.join(totals, "workspace_id").select("workspace_id", "term", "df", idf)

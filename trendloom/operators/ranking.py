@@ -70,12 +70,13 @@ def dedup_winner(incoming: DataFrame, force: bool = False) -> DataFrame:
     columns = incoming.columns
     bad = F.coalesce(F.col("current_state") == "failed", F.lit(False))
     rest = F.struct(*[c for c in columns if c not in (*ITEM_KEY, "arrival")]).alias("rest")
+    tie = F.xxhash64(*[c for c in columns if c not in (*ITEM_KEY, "arrival")])
     if force:
-        winner = F.max_by(F.struct("arrival", rest), F.col("arrival"))
+        winner = F.max_by(F.struct("arrival", rest), F.struct("arrival", tie))
     else:
         winner = F.min_by(
             F.struct("arrival", rest),
-            F.struct(bad, F.when(bad, -F.col("arrival")).otherwise(F.col("arrival"))),
+            F.struct(bad, F.when(bad, -F.col("arrival")).otherwise(F.col("arrival")), tie),
         )
     picked = incoming.groupBy(*ITEM_KEY).agg(winner.alias("w"))
     return picked.select(*ITEM_KEY, "w.arrival", "w.rest.*").select(*columns)

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from trendloom.operators.keywords import term_weights
 from trendloom.operators.ranking import both_ways, top_per_key
+from trendloom.session import cut
 
 POSTING_SLICE = 2000
+LARGE_POSTING = 200
 BLOCK_ROWS = 2000
 MAX_PIVOTS = 64
 ROUNDING = 1e-9
@@ -54,24 +56,30 @@ def _check(threshold: float) -> None:
 
 
 def rare_prefix(weights: DataFrame, threshold: float) -> DataFrame:
-    """Words of each item that a similar partner must share, with the weight from that word on.
+    """Words of each item that a similar partner must share.
 
     Words are ordered from rare to common. Two items whose first shared word leaves less than
     ``threshold`` of the norm on one side cannot reach the threshold, so later words need no join. The
     window covers the vocabulary of one item. Words of a single item have no partner and are dropped.
+
+    Gives the word's ``part`` of the unit vector, and the norm of the vector from the word on (``share``)
+    and after it (``after``).
     """
     item = Window.partitionBy("workspace_id", "content_item_id")
     square = F.col("weight") * F.col("weight")
     onward = item.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     measured = weights.withColumn("rest2", F.sum(square).over(onward)).withColumn("norm2", F.sum(square).over(item))
     needed = F.col("rest2") >= threshold * threshold * (1 - ROUNDING) * F.col("norm2")
-    share = F.sqrt(F.col("rest2") / F.col("norm2"))
-    kept = measured.where(needed & (F.col("df") > 1))
-    return kept.select("workspace_id", "term", "df", "content_item_id", share.alias("share"))
+    return measured.where(needed & (F.col("df") > 1)).select(
+        "workspace_id", "term", "df", "content_item_id",
+        (F.col("weight") / F.sqrt("norm2")).alias("part"),
+        F.sqrt(F.col("rest2") / F.col("norm2")).alias("share"),
+        F.sqrt((F.col("rest2") - square) / F.col("norm2")).alias("after"),
+    )
 
 
-def _meet(left: DataFrame, right: DataFrame, threshold: float, slice_rows: int, condition: Column) -> DataFrame:
-    """Pairs of items that share a prefix word and can still reach the threshold.
+def _meet(left: DataFrame, right: DataFrame, slice_rows: int, condition: Column) -> DataFrame:
+    """One row per prefix word that two items share.
 
     The items of a frequent word are cut into slices on the right, and the left visits each slice, so
     that no join key holds more than ``slice_rows`` rows of the right side.
@@ -85,23 +93,43 @@ def _meet(left: DataFrame, right: DataFrame, threshold: float, slice_rows: int,
         "workspace_id", "term", F.pmod(F.xxhash64("content_item_id"), slices).alias("slice"),
         *[F.col(c).alias(f"dst_{c}") for c in right.columns if c not in ("workspace_id", "term", "df")],
     )
-    reach = F.col("src_share") * F.col("dst_share") >= threshold * (1 - ROUNDING)
-    met = a.join(b, ["workspace_id", "term", "slice"]).where(condition & reach)
-    return met.select(
+    return a.join(b, ["workspace_id", "term", "slice"]).where(condition).select(
         "workspace_id",
         F.least("src_content_item_id", "dst_content_item_id").alias("src_id"),
         F.greatest("src_content_item_id", "dst_content_item_id").alias("dst_id"),
-    ).distinct()
+        (F.col("src_part") * F.col("dst_part")).alias("part"),
+        (F.col("src_share") * F.col("dst_share")).alias("share"),
+        (F.col("src_after") * F.col("dst_after")).alias("after"),
+    )
+
+
+def _promising(met: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that can still reach the threshold.
+
+    The shared prefix words give their part of the cosine; all other shared words come after the last of
+    them, where the product of the remaining norms bounds what they can add.
+    """
+    limit = threshold * (1 - ROUNDING)
+    summed = met.groupBy("workspace_id", "src_id", "dst_id").agg(
+        F.sum("part").alias("part"), F.max("share").alias("share"), F.min("after").alias("after")
+    )
+    able = (F.col("share") >= limit) & (F.col("part") + F.col("after") >= limit)
+    return summed.where(able).select("workspace_id", "src_id", "dst_id")
 
 
 def score_pairs(pairs: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
     """Cosine of each candidate pair from the words both items have; whole-number sums are exact."""
+    pairs = cut(pairs)
+    both = pairs.select("workspace_id", F.col("src_id").alias("content_item_id")).unionByName(
+        pairs.select("workspace_id", F.col("dst_id").alias("content_item_id"))
+    )
     w = weights.select("workspace_id", "content_item_id", "term", "weight")
+    w = w.join(both.distinct(), ["workspace_id", "content_item_id"], "left_semi")
     norms = w.groupBy("workspace_id", "content_item_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
     src = w.select("workspace_id", F.col("content_item_id").alias("src_id"), "term", F.col("weight").alias("src_weight"))
     dst = w.select("workspace_id", F.col("content_item_id").alias("dst_id"), "term", F.col("weight").alias("dst_weight"))
     dots = (
-        pairs.join(src, ["workspace_id", "src_id"])
+        src.join(pairs, ["workspace_id", "src_id"])
         .join(dst, ["workspace_id", "dst_id", "term"])
         .groupBy("workspace_id", "src_id", "dst_id")
         .agg(F.sum(F.col("src_weight") * F.col("dst_weight")).alias("dot"))
@@ -120,9 +148,10 @@ def score_pairs(pairs: DataFrame, weights: DataFrame, threshold: float) -> DataF
 def pairs_from_weights(weights: DataFrame, threshold: float, slice_rows: int = POSTING_SLICE) -> DataFrame:
     """All pairs with cosine >= threshold from rows (workspace_id, content_item_id, term, df, weight)."""
     _check(threshold)
+    weights = cut(weights)
     prefix = rare_prefix(weights, threshold)
     once = F.col("src_content_item_id") < F.col("dst_content_item_id")
-    return score_pairs(_meet(prefix, prefix, threshold, slice_rows, once), weights, threshold)
+    return score_pairs(_promising(_meet(prefix, prefix, slice_rows, once), threshold), weights, threshold)
 
 
 def similar_texts(items: DataFrame, threshold: float, text: str = "content", slice_rows: int = POSTING_SLICE) -> DataFrame:
@@ -137,20 +166,22 @@ def similar_texts(items: DataFrame, threshold: float, text: str = "content", sli
 def linking_texts(items: DataFrame, threshold: float, components, text: str = "content", slice_rows: int = POSTING_SLICE) -> DataFrame:
     """Edges that connect the same items as all similar pairs and copies do, without listing those pairs.
 
-    First every item is compared with the first item of each of its prefix words, which is linear and
-    joins large groups of near copies. Then, per word, only items outside the word's largest group so
+    First every item of a frequent prefix word is compared with the first item of that word, which is
+    linear and joins large groups of near copies. Then, per word, only items outside the word's largest group so
     far meet the others, and only across groups: pairs inside a group would connect nothing new.
     """
-    from trendloom.session import cut
-
     _check(threshold)
     usable = items.where(F.col(text).isNotNull())
     weights = cut(term_weights(representatives(usable, text_key(text), text), text))
     prefix = cut(rare_prefix(weights, threshold))
     key = ["workspace_id", "term"]
-    leaders = prefix.groupBy(*key).agg(F.min("content_item_id").alias("leader"))
-    first = prefix.join(leaders, key).where(F.col("leader") < F.col("content_item_id"))
-    first = first.select("workspace_id", F.col("leader").alias("src_id"), F.col("content_item_id").alias("dst_id")).distinct()
+    frequent = prefix.where(F.col("df") > LARGE_POSTING)
+    leaders = frequent.groupBy(*key).agg(F.min(F.struct("content_item_id", "share")).alias("leader"))
+    reach = F.col("leader.share") * F.col("share") >= threshold
+    first = frequent.join(leaders, key).where((F.col("leader.content_item_id") < F.col("content_item_id")) & reach)
+    first = first.select(
+        "workspace_id", F.col("leader.content_item_id").alias("src_id"), F.col("content_item_id").alias("dst_id")
+    ).distinct()
     near = cut(score_pairs(first, weights, threshold))
     groups = components(near.select("workspace_id", "src_id", "dst_id"))
     grouped = prefix.join(groups.select("workspace_id", "content_item_id", "group_id"), ["workspace_id", "content_item_id"], "left")
@@ -159,11 +190,11 @@ def linking_texts(items: DataFrame, threshold: float, components, text: str = "c
     largest = sizes.groupBy(*key).agg(F.max(F.struct("n", "group_id"))["group_id"].alias("largest_group"))
     grouped = grouped.join(largest, key)
     inside = F.col("group_id") == F.col("largest_group")
-    columns = ["workspace_id", "term", "df", "content_item_id", "share", "group_id"]
+    columns = [*prefix.columns, "group_id"]
     few, rest = grouped.where(~inside).select(*columns), grouped.where(inside).select(*columns)
     across = F.col("src_group_id") != F.col("dst_group_id")
     once = across & (F.col("src_content_item_id") < F.col("dst_content_item_id"))
-    more = _meet(few, few, threshold, slice_rows, once).unionByName(_meet(few, rest, threshold, slice_rows, across)).distinct()
+    more = _promising(_meet(few, few, slice_rows, once).unionByName(_meet(few, rest, slice_rows, across)), threshold)
     behind = copies(usable, text_key(text)).where(F.col("rep_id") != F.col("content_item_id"))
     stars = behind.select("workspace_id", F.col("rep_id").alias("src_id"), F.col("content_item_id").alias("dst_id"))
     return near.unionByName(score_pairs(more, weights, threshold)).unionByName(stars.withColumn("score", F.lit(2.0)))
@@ -178,11 +209,11 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def choose_pivots(vectors: DataFrame, block_rows: int, most: int = MAX_PIVOTS) -> np.ndarray:
+def choose_pivots(vectors: DataFrame, block_rows: int, most: int = MAX_PIVOTS) -> np.ndarray | None:
     """At most ``most`` vectors by the hash of their id: a bounded set, whatever the table holds."""
     n = max(1, min(most, vectors.count() // (4 * block_rows)))
     rows = vectors.orderBy(F.xxhash64("content_item_id"), "content_item_id").select("vector").limit(n).collect()
-    return _unit(pd.Series([r["vector"] for r in rows])) if rows else np.zeros((1, 1))
+    return _unit(pd.Series([r["vector"] for r in rows])) if rows else None
 
 
 def _cells(vectors: DataFrame, pivots: np.ndarray, threshold: float, visits: str) -> DataFrame:
@@ -284,8 +315,10 @@ def similar_vectors(vectors: DataFrame, threshold: float, k: int | None = None,
     With ``k``, the k best partners of each item, seen from both sides.
     """
     _check(threshold)
-    distinct = representatives(vectors, F.col("vector"), "vector")
+    distinct = cut(representatives(vectors, F.col("vector"), "vector"))
     pivots = choose_pivots(distinct, block_rows)
+    if pivots is None:
+        return distinct.sparkSession.createDataFrame([], "workspace_id STRING, src_id BIGINT, dst_id BIGINT, score DOUBLE")
     pairs = _compare_blocks(_blocks(_cells(distinct, pivots, threshold, "lower"), block_rows), threshold, False)
     if k is None:
         return pairs
@@ -298,17 +331,21 @@ def find_similar(
     """Stored items similar to each query of the same workspace, best first.
 
     ``queries`` has (workspace_id, query_id, vector). Gives (workspace_id, src_id = query, dst_id = item,
-    score, rank).
+    score), and the rank with ``k``.
     """
     _check(threshold)
     pivots = choose_pivots(vectors, block_rows)
+    if pivots is None:
+        empty = "workspace_id STRING, src_id BIGINT, dst_id BIGINT, score DOUBLE"
+        return vectors.sparkSession.createDataFrame([], empty + (", rank INT" if k else ""))
     stored = _cells(vectors, pivots, threshold, "lower").where(F.col("role") == "home")
     asked = _cells(queries.withColumnRenamed("query_id", "content_item_id"), pivots, threshold, "all")
     found = _compare_blocks(
         _blocks(stored.unionByName(asked), block_rows).where(F.col("kind") == "visit"), threshold, True
     )
-    order = [F.desc("score"), F.asc("dst_id")]
-    return top_per_key(found, ["workspace_id", "src_id"], order, k if k is not None else 2**31 - 1)
+    if k is None:
+        return found
+    return top_per_key(found, ["workspace_id", "src_id"], [F.desc("score"), F.asc("dst_id")], k)
 
 
 def with_clusters(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -632,7 +632,7 @@ def run_attempts(spark, folder):
 # ---- similarity and clusters ---------------------------------------------------------------------
 
 VECTOR_THRESHOLD = 0.35
-TEXT_THRESHOLD = 0.7
+TEXT_THRESHOLD = schema.THRESHOLDS["tweets"]
 
 
 def _rounded(df: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings that hold on a laptop and on a cluster alike. Partition counts are left to AQE, which
 # starts from spark.sql.shuffle.partitions and coalesces, and splits skewed join partitions.
@@ -13,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # hash instead of sort where every shuffled partition of the build side is measured to be small
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
@@ -26,6 +29,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .appName("trendloom")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in SETTINGS.items():
@@ -58,6 +62,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the checkpoint folder, so that lost executors cost no long replay."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the checkpoint folder and read it back.
+
+    Lost executors then cost no long replay, and the known file size lets Spark choose a broadcast only
+    where the written table is small.
+    """
+    return cut_and_measure(df)[0]
+
+
+def cut_and_measure(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``cut``, with aggregates of the rows gathered by the same write."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    watch = Observation()
+    rows = df.observe(watch, *[c.alias(n) for n, c in metrics.items()]) if metrics else df
+    rows.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), watch.get if metrics else {}
