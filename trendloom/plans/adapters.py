@@ -86,21 +86,29 @@ def item_clusters(items: DataFrame) -> DataFrame:
 
 
 def item_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return as_item_vectors(table(spark, folder, "embeddings"))
+
+
+def as_item_vectors(embeddings: DataFrame) -> DataFrame:
     v = F.col("vec_id")
-    return table(spark, folder, "embeddings").select(
+    return embeddings.select(
         v.alias("content_item_id"), F.concat(F.lit("ws"), (v % 3).cast("string")).alias("workspace_id"),
         F.col("embedding").alias("vector"),
     )
 
 
 def state_events(spark: SparkSession, folder: str) -> DataFrame:
-    """``events`` as state events of items; views and clicks also count as starts."""
+    """``events`` as state events of items; errors are starts, the others updates."""
+    return as_state_events(table(spark, folder, "events"))
+
+
+def as_state_events(events: DataFrame) -> DataFrame:
     to_state = (
         F.when(F.col("event_type") == "signup", "ready").when(F.col("event_type") == "view", "vectorized")
         .when(F.col("event_type") == "click", "clustered").when(F.col("event_type") == "purchase", "completed")
         .otherwise("failed")
     )
-    return table(spark, folder, "events").select(
+    return events.select(
         "event_id", F.col("user_id").alias("content_item_id"), F.col("ts").alias("event_ts"), to_state.alias("to_state"),
         F.when(F.col("event_type") == "error", "start").otherwise("update").alias("kind"),
     )

@@ -13,8 +13,10 @@ from trendloom.functions import values as V
 from trendloom.operators import (
     aggregates, clusters, extract, filters, joins, keywords, maintenance, ranking, setops, similarity, state,
 )
-from trendloom.plans import adapters, reports
-from trendloom.sources import landed
+from trendloom.plans import adapters, reports, workflow
+from trendloom.session import work_folder
+from trendloom.sources import landed, raw_store, snapshots
+from trendloom.streaming import ingest, models, states
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -755,3 +757,176 @@ def top_text_clusters(spark, folder):
     found = clusters.text_clusters(items.where(F.col("clean") != ""), TEXT_THRESHOLD, "clean")
     grouped = items.join(found.select("content_item_id", "content_cluster_id"), "content_item_id")
     return reports.top_clusters(aggregates.recompute_clusters(grouped), items, 100)
+
+
+# ---- files, streams and workflows ----------------------------------------------------------------
+
+
+@query
+def raw_store_read(spark, folder):
+    """Raw items appended to the store and read back, some dates only."""
+    path = work_folder(spark)
+    raw_store.append_raw(adapters.raw_posts(spark, folder), path)
+    raw = raw_store.good_rows(raw_store.read_raw(spark, path, date_ids=[20240103, 20240104, 20240120], source_id="junkipedia"))
+    return raw.select("workspace_id", "source_id", "query_id", "date_id", "created_at", "content_id", F.md5("content").alias("digest"))
+
+
+@query
+def raw_store_compacted(spark, folder):
+    """The same items once compacted to Parquet, extracted from there."""
+    path, compacted = work_folder(spark), work_folder(spark)
+    raw_store.append_raw(adapters.raw_posts(spark, folder), path)
+    raw_store.compact(spark, path, compacted)
+    return _extracted(extract.extract_multi_field(raw_store.read_compacted(spark, compacted)))
+
+
+@query
+def tweet_csv(spark, folder):
+    """Tweets written as a CSV export, with line breaks and quotes in the text, and read back."""
+    path = work_folder(spark)
+    d = F.col("doc_id")
+    values = {
+        "id": d.cast("string"), "text": F.col("text"), "lang": F.col("lang"),
+        "created_at": F.date_format(F.expr(f"timestampadd(MINUTE, doc_id * 37 % 40000, {adapters.EPOCH})"), "yyyy-MM-dd'T'HH:mm:ss"),
+        "is_retweet": F.when(d % 4 == 0, "t").otherwise("f"),
+    }
+    export = adapters.table(spark, folder, "documents").select(
+        *[values.get(c, F.lit("x")).alias(c) for c in landed.TWEET_COLUMNS]
+    )
+    export.write.options(header=True, escape='"', quoteAll=True).csv(path)
+    rows = landed.csv_items(landed.read_tweet_csv(spark, path), "ws0", "tweets", "q0", "run0")
+    items = extract.extract_tweets(rows.withColumn("date_id", F.lit(20240101)))
+    return items.select(
+        "raw_content_id", F.md5("content").alias("digest"), "content_published_date", "content_published_url", "content_language_code"
+    )
+
+
+@query
+def tipline_csv(spark, folder):
+    path = work_folder(spark)
+    d = F.col("conv_id")
+    values = {
+        "id": F.concat_ws("-", d.cast("string"), F.col("turn").cast("string")), "content": F.col("text"),
+        "request_type": F.when(F.col("role") == "user", "text").otherwise("audio"),
+        "created_at": F.lit("2024-01-02 03:04:05"),
+    }
+    export = adapters.table(spark, folder, "conversations").select(
+        *[values.get(c, F.lit("x")).alias(c) for c in landed.TIPLINE_COLUMNS]
+    )
+    export.write.options(header=True, escape='"', quoteAll=True).csv(path)
+    rows = landed.csv_items(landed.read_tipline_csv(spark, path), "ws0", "tipline", "q0", "run0")
+    items = extract.extract_tipline(rows.withColumn("date_id", F.lit(20240101)))
+    return items.select("raw_content_id", F.md5("content").alias("digest"), "content_published_date")
+
+
+@query
+def snapshot_changes(spark, folder):
+    """A table committed whole, then changed by an upsert, then read."""
+    root = work_folder(spark)
+    stored, incoming = _loads(spark, folder)
+    snapshots.commit_snapshot(stored, root)
+    current = snapshots.read_snapshot(spark, root)
+    taken = maintenance.split_incoming(current, incoming).where(F.col("outcome") != "ignored")
+    gone = taken.where(F.col("outcome") == "replaced").select(F.col("existing_content_item_id").alias("content_item_id"))
+    snapshots.commit_changes(taken.select(*stored.columns), root, gone)
+    return snapshots.read_snapshot(spark, root)
+
+
+@query
+def ingest_stream(spark, folder):
+    """Raw files streamed into the item table."""
+    path, root, checkpoint = (work_folder(spark) for _ in range(3))
+    raw_store.append_raw(adapters.raw_posts(spark, folder), path)
+    ingest.ingest_stream(spark, path, root, checkpoint, extract.extract_multi_field).awaitTermination()
+    stored = snapshots.read_snapshot(spark, root, ingest.ITEMS)
+    return stored.select(*ITEM_VIEW, "current_state")
+
+
+@query
+def backfill_load(spark, folder):
+    """All dates of the raw store loaded in one job, with a status per date."""
+    path, root = work_folder(spark), work_folder(spark)
+    raw_store.append_raw(adapters.raw_posts(spark, folder), path)
+    return ingest.backfill(spark, path, root, extract.extract_multi_field, 20231230, 20240128)
+
+
+def _event_stream(spark, folder) -> DataFrame:
+    shape = adapters.table(spark, folder, "events").schema
+    return spark.readStream.schema(shape).parquet(f"{folder.rstrip('/')}/events.parquet*")
+
+
+@query
+def stream_day_counts(spark, folder):
+    """Tumbling day counts per event type from a stream of events."""
+    out, checkpoint = work_folder(spark), work_folder(spark)
+    counted = states.windowed_counts(_event_stream(spark, folder), ["event_type"], "ts")
+    states.to_folder(counted, out, checkpoint, "complete").awaitTermination()
+    return _last_batch(spark, out)
+
+
+def _last_batch(spark, out) -> DataFrame:
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    newest = rows.agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, "batch_id").drop("batch", "batch_id")
+
+
+@query
+def stream_states(spark, folder):
+    """Item states kept by a stateful stream; the last row of each item counts."""
+    out, checkpoint = work_folder(spark), work_folder(spark)
+    events = adapters.as_state_events(_event_stream(spark, folder))
+    states.to_folder(states.reduce_stream(events, schema.model_graph("default")), out, checkpoint, "update").awaitTermination()
+    rows = spark.read.parquet(f"{out}/batch=*")
+    columns = [c for c in rows.columns if c not in ("batch", "batch_id", "content_item_id")]
+    last = rows.groupBy("content_item_id").agg(F.max_by(F.struct(*columns), "batch_id").alias("r"))
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("transition_start", "transition_end", "completed_timestamp")}
+    return last.select("content_item_id", "r.*").withColumns(times)
+
+
+@query
+def stream_callbacks(spark, folder):
+    """Landed callbacks streamed into the keyword table."""
+    path, root, events, refused, checkpoint = (work_folder(spark) for _ in range(5))
+    items = _items(spark, folder)
+    adapters.callbacks(items).select("message").write.text(path)
+    models.callback_stream(spark, path, items, root, events, refused, checkpoint).awaitTermination()
+    return snapshots.read_snapshot(spark, root, key="content_keyword_id").drop("content_keyword_id")
+
+
+@query
+def stream_clusters(spark, folder):
+    """Vectors streamed into clusters."""
+    root, checkpoint = work_folder(spark), work_folder(spark)
+    shape = adapters.table(spark, folder, "embeddings").schema
+    stream = spark.readStream.schema(shape).parquet(f"{folder.rstrip('/')}/embeddings.parquet*")
+    models.cluster_stream(adapters.as_item_vectors(stream), root, VECTOR_THRESHOLD, checkpoint).awaitTermination()
+    return snapshots.read_snapshot(spark, root, models.VECTORS).select("content_item_id", "content_cluster_id")
+
+
+def _run(spark, folder, name: str) -> dict[str, DataFrame]:
+    items = _items(spark, folder).withColumn("content_cluster_id", F.lit(None).cast("bigint"))
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    return workflow.run_workflow({"items": items.withColumn("current_state", F.lit("ready"))}, workflow.WORKFLOWS[name], now)
+
+
+@query
+def workflow_tweets(spark, folder):
+    """All items through the tweet workflow: final states and cluster count per workspace."""
+    done = _run(spark, folder, "tweets")
+    return done["items"].groupBy("workspace_id", "current_state").agg(
+        F.count(F.lit(1)).alias("num_items"), F.count_distinct("content_cluster_id").alias("num_clusters")
+    )
+
+
+@query
+def workflow_events(spark, folder):
+    """Transitions that the classify workflow logs."""
+    done = _run(spark, folder, "classify")
+    return done["events"].groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("num_events"))
+
+
+@query
+def hashed_vectors(spark, folder):
+    """Default dense vectors of all texts: their norm is 1, or 0 for a text without words."""
+    vectors = workflow.hashed_vectors(_items(spark, folder))
+    return vectors.select("content_item_id", F.round(V.dot(F.col("vector"), F.col("vector")), 4).alias("norm2"))

@@ -456,3 +456,40 @@ SELECT content_cluster_id, r.num_items, r.num_items_unique, c.exemplar_item_id F
        """moved AS (SELECT i.* REPLACE (coalesce(target_id, content_cluster_id) AS content_cluster_id)
   FROM item i LEFT JOIN target ON i.content_cluster_id = target.source_id)""",
        f"recounted AS ({_recount('moved')})")
+
+oracle("raw_store_compacted", ORACLES["extract_multi_field"])
+oracle("tweet_csv", f"""
+SELECT CAST(doc_id AS VARCHAR) AS raw_content_id, md5(text) AS digest, {PUBLISHED} AS content_published_date,
+  concat('https://twitter.com/twitter/status/', doc_id) AS content_published_url, lang AS content_language_code
+FROM documents WHERE doc_id % 4 <> 0""")
+oracle("tipline_csv", """SELECT concat(conv_id, '-', turn) AS raw_content_id, md5(text) AS digest,
+  TIMESTAMP '2024-01-02 03:04:05' AS content_published_date FROM conversations WHERE role = 'user'""")
+oracle("snapshot_changes", ORACLES["upsert_items"])
+oracle("ingest_stream", f"""SELECT * EXCLUDE is_failed, CASE WHEN is_failed THEN 'failed' ELSE 'ready' END AS current_state
+FROM ({ORACLES["extract_multi_field"]})""")
+oracle("backfill_load", f"""
+SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id, 0 AS bad_lines, coalesce(raw_items, 0) AS raw_items, coalesce(items, 0) AS items,
+  coalesce(items, 0) AS inserted, 0 AS replaced, 0 AS ignored, coalesce(failed, 0) AS failed,
+  CASE WHEN raw_items IS NULL THEN 'missing' ELSE 'completed' END AS status
+FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-28', INTERVAL 1 DAY)) AS d)
+LEFT JOIN (SELECT date_id, count(*) AS items, count(*) FILTER (is_failed) AS failed FROM ({ORACLES["extract_multi_field"]}) GROUP BY ALL) e
+  ON CAST(strftime(d, '%Y%m%d') AS INTEGER) = e.date_id
+LEFT JOIN (SELECT 20240101 + doc_id % 28 AS raw_date, count(*) AS raw_items FROM documents GROUP BY ALL) r ON e.date_id = raw_date""")
+oracle("stream_day_counts", """SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, count(*) AS num_items
+FROM events GROUP BY ALL""")
+oracle("stream_states", ORACLES["apply_events"])
+oracle("stream_callbacks", ORACLES["callback_keywords"])
+oracle("workflow_tweets", """
+SELECT i.workspace_id, CASE WHEN clean = '' THEN 'failed' ELSE 'completed' END AS current_state, count(*) AS num_items,
+  count(DISTINCT coalesce(root, rep)) AS num_clusters
+FROM (SELECT *, CASE WHEN clean <> '' THEN min(content_item_id) OVER (PARTITION BY workspace_id, clean) END AS rep
+  FROM (SELECT *, """ + _clean("content") + """ AS clean FROM item)) i LEFT JOIN component ON rep = id GROUP BY ALL""", "item",
+       f"cleaned AS (SELECT * FROM (SELECT *, {_clean('content')} AS clean FROM item) WHERE clean <> '')",
+       "txt AS (SELECT workspace_id, min(content_item_id) AS content_item_id, clean AS content FROM cleaned GROUP BY workspace_id, clean)",
+       TEXT_PAIRS, TEXT_LINKS, _components("link"), recursive=True)
+oracle("workflow_events", """
+SELECT a AS from_state, b AS to_state, count(*) AS num_events FROM documents, (VALUES ('ready', 'vectorized'), ('vectorized', 'clustered'),
+  ('clustered', 'hashtaged'), ('hashtaged', 'categorized'), ('categorized', 'completed')) t(a, b) GROUP BY ALL""")
+oracle("hashed_vectors", f"""SELECT doc_id AS content_item_id,
+  CAST(CASE WHEN len(regexp_extract_all(lower(content), '{T.TERM}')) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS norm2
+FROM (SELECT *, content_item_id AS doc_id FROM item)""", "item")

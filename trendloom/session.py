@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -61,6 +63,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder on shared storage for files that a job lands and reads again."""
+    return f"{checkpoint_dir(spark)}/work/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from trendloom.functions.values import has_path, json_path, parse_callback, parse_keywords, parse_similarity
+from trendloom.session import cut
 
 # Column names of the two CSV exports and the bad-row limit per 1000 rows.
 TWEET_COLUMNS = [
@@ -64,21 +65,26 @@ def rejected_pages(pages: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All-text CSV with quoted line breaks. Rows of another width keep ``_corrupt_record``."""
+    """All-text CSV with quoted line breaks, plus the ``file`` of each row.
+
+    Rows of another width keep ``_corrupt_record``. A file with line breaks in cells cannot be split, so
+    the rows are written once, and all that follows reads them in parallel.
+    """
     fields = [StructField(c, StringType()) for c in [*columns, "_corrupt_record"]]
-    return (
+    rows = (
         spark.read.schema(StructType(fields))
         .options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record",
-                 enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         .csv(path)
     )
+    return cut(rows.withColumn("file", F.input_file_name()))
 
 
 def csv_bad_rows(rows: DataFrame) -> DataFrame:
     """Counts of all rows and of rows of the wrong width, per file."""
-    bad = F.col("_corrupt_record").isNotNull()
-    named = rows.select(F.input_file_name().alias("file"), bad.alias("bad"))
-    return named.groupBy("file").agg(F.count(F.lit(1)).alias("total"), F.count_if("bad").alias("bad_rows"))
+    return rows.groupBy("file").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad_rows")
+    )
 
 
 def csv_items(rows: DataFrame, workspace_id: str, source_id: str, query_id: str, run_id: str, id_column: str = "id") -> DataFrame:
@@ -92,7 +98,7 @@ def csv_items(rows: DataFrame, workspace_id: str, source_id: str, query_id: str,
     refused = over.limit(1).collect()
     if refused:
         raise TooManyBadRows(str(refused[0].asDict()))
-    columns = [c for c in rows.columns if c != "_corrupt_record"]
+    columns = [c for c in rows.columns if c not in ("_corrupt_record", "file")]
     good = rows.where(F.col("_corrupt_record").isNull())
     payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
     return good.select(

@@ -92,4 +92,4 @@ def backfill(
     loaded = load_items(raw_store.good_rows(raw), root, extractor)
     report = dates.join(broken, "date_id", "left").join(loaded, "date_id", "left")
     status = F.when(F.col("raw_items").isNull(), "missing").when(F.col("bad_lines") > 0, "error").otherwise("completed")
-    return report.fillna(0).withColumn("status", status)
+    return report.withColumn("status", status).fillna(0)
