@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,6 +59,16 @@ def unescape_html(c: Column) -> Column:
     return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
+def text_transform(fn: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    """A user's text function as a Column function, run on Arrow batches; null stays null."""
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(fn, na_action="ignore")
+
+    return run
+
+
 def strip_mentions(c: Column) -> Column:
     return F.regexp_replace(c, MENTION, " ")
 

@@ -7,11 +7,15 @@ but blank gives no row for that field.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from trendloom.functions.batches import plain
 from trendloom.functions.text import is_blank
 from trendloom.functions.values import has_path, item_id, json_path, parse_ts
 
@@ -172,6 +176,40 @@ def extract_tipline(raw: DataFrame) -> DataFrame:
     return _finish(shaped)
 
 
+def custom_extractor(fn: Callable[[dict], list[dict]]) -> Callable[[DataFrame], DataFrame]:
+    """An extractor from a user's function of one payload, for shapes that paths cannot express.
+
+    ``fn`` gives 0..n dicts with text and, where known, published, url, language, source_field. A missing
+    key in the payload (KeyError) or a payload that is not JSON gives the failed row.
+    """
+    fields = ["text", "published", "url", "language", "source_field"]
+
+    def run(batches):
+        for frame in batches:
+            rows = []
+            for at, payload in zip(frame.index, frame["content"]):
+                try:
+                    found = [(at, *(one.get(f) for f in fields), None) for one in fn(json.loads(payload))]
+                except (KeyError, ValueError, TypeError) as e:
+                    found = [(at, *([None] * len(fields)), f"{type(e).__name__} {e}")]
+                rows.extend(found)
+            made = pd.DataFrame(rows, columns=["at", *fields, "failed_reason"])
+            yield plain(frame.join(made.set_index("at"), how="inner"))
+
+    def extractor(raw: DataFrame) -> DataFrame:
+        kept = ["run_id", "workspace_id", "source_id", "query_id", "date_id", "created_at", "content_id", "content"]
+        shape = ", ".join(f"{c} {'INT' if c == 'date_id' else 'STRING'}" for c in [*kept, *fields, "failed_reason"])
+        made = raw.select(*kept).mapInPandas(run, shape)
+        stamp = F.col("published")
+        return _finish(made.withColumns({
+            "published": parse_ts(stamp),
+            "failed_published": F.lit(None).cast("timestamp_ntz"),
+            "failed_reason": _bad_date(F.col("failed_reason"), parse_ts(stamp), stamp),
+        }))
+
+    return extractor
+
+
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "default": extract_default,
     "social": extract_multi_field,
@@ -202,8 +240,6 @@ def serialize_rows(df: DataFrame, name: str = "row_json") -> DataFrame:
 
 def deserialize_rows(df: DataFrame, schema: str, name: str = "row_json") -> DataFrame:
     """Back from JSON; a field that the schema does not know fails the job."""
-    from pyspark.sql.types import StructType
-
     known = StructType.fromDDL(schema).fieldNames()
     unknown = F.array_except(F.json_object_keys(name), F.array(*[F.lit(k) for k in known]))
     options = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}

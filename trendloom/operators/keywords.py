@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions.batches import plain
 from trendloom.functions.text import hashtags, terms
 from trendloom.operators.filters import in_list, in_workspace, keep_listed, published_between
 from trendloom.operators.ranking import top_per_key
@@ -210,11 +211,8 @@ def batch_classify(
                 labels = list(model(batch))
                 if len(labels) != len(batch):
                     raise ValueError(f"{len(labels)} answers for {len(batch)} items")
-                yield pd.DataFrame({
-                    "workspace_id": batch["workspace_id"],
-                    "content_item_id": batch["content_item_id"],
-                    "labels": pd.Series([list(one) for one in labels], index=batch.index, dtype=object),
-                })
+                answers = pd.Series([list(one) for one in labels], index=batch.index, dtype=object)
+                yield plain(batch[["workspace_id", "content_item_id"]].assign(labels=answers))
 
     answered = items.select("workspace_id", "content_item_id", "content").mapInPandas(
         run, "workspace_id STRING, content_item_id BIGINT, labels ARRAY<STRING>"

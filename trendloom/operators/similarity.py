@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions.batches import plain
 from trendloom.operators.keywords import term_weights
 from trendloom.operators.ranking import both_ways, top_per_key
 from trendloom.session import cut
@@ -239,10 +240,12 @@ def _cells(vectors: DataFrame, pivots: np.ndarray, threshold: float, visits: str
             if visits == "lower":
                 visit &= cells < home[:, None]
                 at_home = frame.assign(cell=home.astype("int32"), role="home")
-                yield at_home[["workspace_id", "content_item_id", "vector", "cell", "role"]]
+                yield plain(at_home[["workspace_id", "content_item_id", "vector", "cell", "role"]])
             row, cell = np.nonzero(visit)
+            if len(row) == 0:
+                continue
             seen = frame.iloc[row].assign(cell=cell.astype("int32"), role="visit")
-            yield seen[["workspace_id", "content_item_id", "vector", "cell", "role"]]
+            yield plain(seen[["workspace_id", "content_item_id", "vector", "cell", "role"]])
 
     return vectors.select("workspace_id", "content_item_id", "vector").mapInPandas(
         place, "workspace_id STRING, content_item_id BIGINT, vector ARRAY<FLOAT>, cell INT, role STRING"
@@ -296,15 +299,17 @@ def _compare_blocks(blocks: DataFrame, threshold: float, ordered: bool) -> DataF
         same = key[2] == "home" and key[3] == key[4]
         right = left if same else right
         if left.empty or right.empty:
-            return pd.DataFrame({"workspace_id": [], "src_id": [], "dst_id": [], "score": []})
+            return pd.DataFrame()
         cos = _unit(left["vector"]) @ _unit(right["vector"]).T
         hit = cos >= threshold
         if same:
             hit = np.triu(hit, 1)
         i, j = np.nonzero(hit)
+        if len(i) == 0:
+            return pd.DataFrame()
         a, b = left["content_item_id"].to_numpy()[i], right["content_item_id"].to_numpy()[j]
         src, dst = (b, a) if ordered else (np.minimum(a, b), np.maximum(a, b))
-        return pd.DataFrame({"workspace_id": key[0], "src_id": src, "dst_id": dst, "score": 1 + cos[i, j]})
+        return plain(pd.DataFrame({"workspace_id": key[0], "src_id": src, "dst_id": dst, "score": 1 + cos[i, j]}))
 
     return blocks.groupBy("workspace_id", "cell", "kind", "left_slice", "right_slice").applyInPandas(compare, schema)
 

@@ -336,6 +336,49 @@ def payload_guard(spark, folder):
     return docs.select(F.col("doc_id").alias("content_item_id"), filters.payload_under(request, 20000).alias("fits"))
 
 
+@query
+def content_page(spark, folder):
+    """One keyset page of 100 items after the id 57."""
+    return ranking.page(_items(spark, folder), "content_item_id", after=57, n=100).select("content_item_id", "workspace_id")
+
+
+@query
+def sample_items(spark, folder):
+    """A repeatable tenth of the items."""
+    return ranking.sample_percent(_items(spark, folder), 10, by="content_item_id").select("content_item_id")
+
+
+@query
+def cluster_members(spark, folder):
+    return clusters.cluster_members(_items(spark, folder), 1003).select("content_item_id", "content_cluster_id")
+
+
+@query
+def move_items(spark, folder):
+    """Items labelled toxic move to one cluster of their workspace; the clusters are recounted."""
+    items = _items(spark, folder)
+    moves = items.join(_toxic(spark, folder), "content_item_id", "left_semi").select(
+        "content_item_id", (F.substring("workspace_id", 3, 9).cast("bigint") * 1000).alias("to_cluster_id")
+    )
+    return aggregates.recompute_clusters(clusters.move_items(items, moves))
+
+
+@query
+def discard_vectors(spark, folder):
+    """Vectors left when one workspace and the items labelled toxic are discarded."""
+    left = clusters.discard_vectors(adapters.item_vectors(spark, folder), _toxic(spark, folder), "ws2")
+    return left.select("content_item_id", "workspace_id")
+
+
+@query
+def vector_scores(spark, folder):
+    """Similarity score of each vector and the next one."""
+    a = adapters.item_vectors(spark, folder)
+    b = a.select((F.col("content_item_id") - 1).alias("content_item_id"), F.col("vector").alias("other"))
+    score = F.round(V.similarity_score(F.col("vector"), F.col("other")), 4)
+    return a.join(b, "content_item_id").select("content_item_id", score.alias("score"))
+
+
 # ---- text functions ------------------------------------------------------------------------------
 
 
@@ -631,6 +674,13 @@ def run_attempts(spark, folder):
     )
 
 
+@query
+def run_states(spark, folder):
+    """Final state of each run by the run state graph."""
+    events = adapters.run_events(spark, folder)
+    return state.apply_events(events, schema.model_graph("run"), initial="ready", key="run_id")
+
+
 # ---- similarity and clusters ---------------------------------------------------------------------
 
 VECTOR_THRESHOLD = 0.35
@@ -768,7 +818,17 @@ def raw_store_read(spark, folder):
     path = work_folder(spark)
     raw_store.append_raw(adapters.raw_posts(spark, folder), path)
     raw = raw_store.good_rows(raw_store.read_raw(spark, path, date_ids=[20240103, 20240104, 20240120], source_id="junkipedia"))
-    return raw.select("workspace_id", "source_id", "query_id", "date_id", "created_at", "content_id", F.md5("content").alias("digest"))
+    text = V.json_path(F.parse_json("content"), "$.attributes.search_data_fields.all_text")
+    return raw.select("workspace_id", "source_id", "query_id", "date_id", "created_at", "content_id", F.md5(text).alias("digest"))
+
+
+@query
+def external_table(spark, folder):
+    """The raw store as a table with partitions found from the folders: items per date and workspace."""
+    path = work_folder(spark)
+    raw_store.append_raw(adapters.raw_posts(spark, folder), path)
+    name = f"raw_{path.rsplit('/', 1)[1]}"
+    return aggregates.count_by(raw_store.external_table(spark, name, path), "date_id", "workspace_id")
 
 
 @query
@@ -883,6 +943,18 @@ def stream_states(spark, folder):
     return last.select("content_item_id", "r.*").withColumns(times)
 
 
+@query
+def stream_dedup(spark, folder):
+    """Natural keys of a load with repeats, deduplicated in the stream."""
+    path, out, checkpoint = (work_folder(spark) for _ in range(3))
+    _, incoming = _loads(spark, folder)
+    timed = incoming.withColumn("raw_created_at", F.expr(f"timestampadd(MINUTE, arrival * 7, {adapters.EPOCH})"))
+    timed.write.parquet(path)
+    once = ingest.dedup_within(spark.readStream.schema(timed.schema).parquet(path), "raw_created_at")
+    states.to_folder(once.select(*joins.ITEM_KEY), out, checkpoint, "append").awaitTermination()
+    return spark.read.parquet(f"{out}/batch=*").select(*joins.ITEM_KEY)
+
+
 @query
 def stream_callbacks(spark, folder):
     """Landed callbacks streamed into the keyword table."""

@@ -493,3 +493,37 @@ SELECT a AS from_state, b AS to_state, count(*) AS num_events FROM documents, (V
 oracle("hashed_vectors", f"""SELECT doc_id AS content_item_id,
   CAST(CASE WHEN len(regexp_extract_all(lower(content), '{T.TERM}')) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS norm2
 FROM (SELECT *, content_item_id AS doc_id FROM item)""", "item")
+
+oracle("raw_store_read", f"""
+SELECT concat('ws', doc_id % 3) AS workspace_id, 'junkipedia' AS source_id, concat('q', doc_id % 5) AS query_id, date_id,
+  strftime({_minutes('doc_id * 7')}, '%Y-%m-%d %H:%M:%S.%f') AS created_at, concat('d', doc_id) AS content_id,
+  CASE WHEN doc_id % 13 <> 0 THEN md5(text) END AS digest
+FROM (SELECT *, CAST(20240101 + doc_id % 28 AS INTEGER) AS date_id FROM documents) WHERE date_id IN (20240103, 20240104, 20240120)""")
+oracle("external_table", """SELECT CAST(20240101 + doc_id % 28 AS INTEGER) AS date_id, concat('ws', doc_id % 3) AS workspace_id,
+  count(*) AS num_items FROM documents GROUP BY ALL""")
+oracle("content_page", "SELECT content_item_id, workspace_id FROM item WHERE content_item_id > 57 ORDER BY content_item_id LIMIT 100", "item")
+oracle("cluster_members", "SELECT content_item_id, content_cluster_id FROM item WHERE content_cluster_id = 1003", "item")
+oracle("move_items", "SELECT * FROM recounted", "item", "toxic_doc",
+       """moved AS (SELECT * REPLACE (CASE WHEN content_item_id IN (SELECT content_item_id FROM toxic_doc)
+  THEN CAST(substr(workspace_id, 3) AS BIGINT) * 1000 ELSE content_cluster_id END AS content_cluster_id) FROM item)""",
+       f"recounted AS ({_recount('moved')})")
+oracle("discard_vectors", """SELECT content_item_id, workspace_id FROM vector WHERE workspace_id <> 'ws2'
+AND content_item_id NOT IN (SELECT content_item_id FROM toxic_doc)""", "vector", "toxic_doc")
+oracle("vector_scores", """SELECT a.content_item_id, round(1 + list_cosine_similarity(a.v, b.v), 4) AS score
+FROM vector a JOIN vector b ON b.content_item_id = a.content_item_id + 1""", "vector")
+oracle("stream_dedup", "SELECT DISTINCT workspace_id, raw_content_id, source_field FROM incoming", LOADS)
+oracle("run_states", """
+SELECT run_id, last(state ORDER BY n) AS current_state, last(end_ts ORDER BY n) AS transition_end, last(done_ts ORDER BY n) AS completed_timestamp
+FROM walk GROUP BY ALL""", """run_allowed(from_state, to_state) AS (VALUES ('ready', 'running'), ('running', 'failed'),
+  ('running', 'completed'), ('failed', 'running'))""", """
+numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS n FROM (
+  SELECT event_id, concat('run', user_id) AS run_id, ts, CASE WHEN event_type = 'signup' THEN 'ready'
+    WHEN event_type IN ('view', 'click') THEN 'running' WHEN event_type = 'purchase' THEN 'completed' ELSE 'failed' END AS to_state FROM events)),
+walk(run_id, n, state, end_ts, done_ts) AS (
+  SELECT DISTINCT run_id, CAST(0 AS BIGINT), 'ready', CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP) FROM numbered
+  UNION ALL
+  SELECT w.run_id, e.n, CASE WHEN a.to_state IS NULL THEN w.state ELSE e.to_state END,
+    CASE WHEN a.to_state IS NULL THEN w.end_ts ELSE e.ts END,
+    CASE WHEN a.to_state IN ('failed', 'completed') THEN e.ts ELSE w.done_ts END
+  FROM walk w JOIN numbered e ON e.run_id = w.run_id AND e.n = w.n + 1
+    LEFT JOIN run_allowed a ON a.from_state = w.state AND a.to_state = e.to_state)""", recursive=True)

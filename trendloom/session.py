@@ -63,6 +63,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder on shared storage for files that a job lands and reads again."""
     return f"{checkpoint_dir(spark)}/work/{uuid.uuid4().hex}"

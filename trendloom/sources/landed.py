@@ -117,6 +117,13 @@ def read_tipline_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, TIPLINE_COLUMNS)
 
 
+def read_messages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Landed JSON lines as ``message`` rows, and the lines that are not JSON."""
+    lines = spark.read.text(path).select(F.col("value").alias("message"))
+    broken = F.try_parse_json("message").isNull()
+    return lines.where(~broken), lines.where(broken)
+
+
 def callback_rows(messages: DataFrame, column: str = "message") -> DataFrame:
     """Model callbacks opened; ``is_error`` rows change nothing downstream."""
     return messages.select(parse_callback(F.col(column)).alias("c")).select("c.*")

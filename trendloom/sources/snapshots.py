@@ -11,16 +11,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from trendloom.session import path_exists
 
 COMMITS = "version BIGINT, is_whole BOOLEAN, row_folder STRING, gone_folder STRING, batch_id STRING"
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(COMMITS).json(f"{root}/commits")
-    except AnalysisException:
+    if not path_exists(spark, f"{root}/commits"):
         return spark.createDataFrame([], COMMITS)
+    return spark.read.schema(COMMITS).json(f"{root}/commits")
 
 
 def has_batch(spark: SparkSession, root: str, batch_id: str) -> bool:
