@@ -19,6 +19,7 @@ DIGIT = (
     r"\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}"
 )
 HASHTAG = rf"(?:^|[{SPACE}])#([{WORD}]+)"
+HASHTAG_FROM_SIGN = rf"#(?<=(?:^|[{SPACE}])#)([{WORD}]+)"
 ALL_DIGITS = rf"^[{DIGIT}]+$"
 MENTION = r"@[0-9A-Za-z_\x{130}\x{131}\x{17f}\x{212a}]+"
 URL = rf"(?i)https?:(?://|\\\\)+(?:[{WORD}#@%$()~?\x2b-\x3d\\&](?:#!)?)*"
@@ -27,7 +28,9 @@ EMOJI_RUN = (
     r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
     r"\x{1F900}-\x{1F9FF}\x{2700}-\x{27BF}\x{2600}-\x{26FF}]{2,}"
 )
+EMOJI_PLANES = r"[\x{2600}-\x{27BF}\x{1F1E0}-\x{1F9FF}]"
 EDGE_SPACE = rf"^[{SPACE}]+|[{SPACE}]+$"
+WITHOUT_EDGE_SPACE = rf"(?s)^[{SPACE}]*(.*[^{SPACE}])"
 TERM = rf"[{WORD}]+"
 
 # Url prefix of each platform.
@@ -42,8 +45,11 @@ PLATFORMS = {
 
 
 def hashtags(c: Column) -> Column:
-    """Hashtags with their '#', in text order, repeats kept, tags of digits only left out."""
-    found = F.regexp_extract_all(c, F.lit(HASHTAG), 1)
+    """Hashtags with their '#', in text order, repeats kept, tags of digits only left out.
+
+    The pattern starts at the sign and looks back, so that the search can skip to the next '#'.
+    """
+    found = F.regexp_extract_all(c, F.lit(HASHTAG_FROM_SIGN), 1)
     return F.transform(
         F.filter(found, lambda tag: ~tag.rlike(ALL_DIGITS)), lambda tag: F.concat(F.lit("#"), tag)
     )
@@ -82,12 +88,13 @@ def strip_rt(c: Column) -> Column:
 
 
 def strip_emoji_runs(c: Column) -> Column:
-    return F.regexp_replace(c, EMOJI_RUN, " ")
+    """Runs of two or more emoji; a quick look at their code ranges spares most texts the full pattern."""
+    return F.when(c.rlike(EMOJI_PLANES), F.regexp_replace(c, EMOJI_RUN, " ")).otherwise(c)
 
 
 def ustrip(c: Column) -> Column:
     """Trim all Unicode white space; Spark's ``trim`` takes off U+0020 only."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.regexp_extract(c, WITHOUT_EDGE_SPACE, 1)
 
 
 def clean_text(c: Column) -> Column:

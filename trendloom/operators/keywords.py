@@ -66,11 +66,12 @@ def keyword_rows(
     keywords: DataFrame, workspace_id=None, model_name=None, content_item_ids=None, keyword_texts=None,
     start_date=None, end_date=None, max_limit: int | None = None,
 ) -> DataFrame:
-    """Keyword rows by workspace, model, items, texts and published date, in id order."""
+    """Keyword rows by workspace, model, items, texts and published date; the first ``max_limit`` in id
+    order, or all of them, unsorted."""
     rows = keywords.where(in_workspace(workspace_id) & in_list("keyword_model_name", [model_name] if model_name else None))
     rows = rows.where(in_list("keyword_text", keyword_texts) & published_between(start_date, end_date))
-    rows = keep_listed(rows, "content_item_id", content_item_ids).orderBy("content_keyword_id")
-    return rows if max_limit is None else rows.limit(max_limit)
+    rows = keep_listed(rows, "content_item_id", content_item_ids)
+    return rows if max_limit is None else rows.orderBy("content_keyword_id").limit(max_limit)
 
 
 def keyword_rollup(

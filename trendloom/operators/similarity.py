@@ -82,19 +82,20 @@ def rare_prefix(weights: DataFrame, threshold: float) -> DataFrame:
 def _meet(left: DataFrame, right: DataFrame, slice_rows: int, condition: Column) -> DataFrame:
     """One row per prefix word that two items share.
 
-    The items of a frequent word are cut into slices on the right, and the left visits each slice, so
-    that no join key holds more than ``slice_rows`` rows of the right side.
+    The items of a frequent word are cut into slices on both sides, and each left slice meets each right
+    one under a key of its own, so that no join key holds more than about ``slice_rows`` rows of a side.
     """
     slices = F.greatest(F.ceil(F.col("df") / slice_rows), F.lit(1))
+    own = F.pmod(F.xxhash64("content_item_id"), slices)
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))
+    carried = [c for c in left.columns if c not in ("workspace_id", "term", "df")]
     a = left.select(
-        "workspace_id", "term", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("slice"),
-        *[F.col(c).alias(f"src_{c}") for c in left.columns if c not in ("workspace_id", "term", "df")],
+        "workspace_id", "term", own.alias("left_slice"), others.alias("right_slice"), *[F.col(c).alias(f"src_{c}") for c in carried]
     )
     b = right.select(
-        "workspace_id", "term", F.pmod(F.xxhash64("content_item_id"), slices).alias("slice"),
-        *[F.col(c).alias(f"dst_{c}") for c in right.columns if c not in ("workspace_id", "term", "df")],
+        "workspace_id", "term", others.alias("left_slice"), own.alias("right_slice"), *[F.col(c).alias(f"dst_{c}") for c in carried]
     )
-    return a.join(b, ["workspace_id", "term", "slice"]).where(condition).select(
+    return a.join(b, ["workspace_id", "term", "left_slice", "right_slice"]).where(condition).select(
         "workspace_id",
         F.least("src_content_item_id", "dst_content_item_id").alias("src_id"),
         F.greatest("src_content_item_id", "dst_content_item_id").alias("dst_id"),
@@ -184,9 +185,12 @@ def linking_texts(items: DataFrame, threshold: float, components, text: str = "c
         "workspace_id", F.col("leader.content_item_id").alias("src_id"), F.col("content_item_id").alias("dst_id")
     ).distinct()
     near = cut(score_pairs(first, weights, threshold))
-    groups = components(near.select("workspace_id", "src_id", "dst_id"))
-    grouped = prefix.join(groups.select("workspace_id", "content_item_id", "group_id"), ["workspace_id", "content_item_id"], "left")
-    grouped = grouped.withColumn("group_id", F.coalesce("group_id", "content_item_id"))
+    grouped = prefix.withColumn("group_id", F.col("content_item_id"))
+    if near.take(1):
+        groups = components(near.select("workspace_id", "src_id", "dst_id")).withColumnRenamed("group_id", "joined_id")
+        grouped = grouped.join(groups, ["workspace_id", "content_item_id"], "left").withColumn(
+            "group_id", F.coalesce("joined_id", "group_id")
+        )
     sizes = grouped.groupBy(*key, "group_id").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy(*key).agg(F.max(F.struct("n", "group_id"))["group_id"].alias("largest_group"))
     grouped = grouped.join(largest, key)
@@ -358,8 +362,3 @@ def with_clusters(found: DataFrame, items: DataFrame) -> DataFrame:
     stored = items.select(F.col("content_item_id").alias("dst_id"), "content_cluster_id", "content")
     return found.join(stored, "dst_id")
 
-
-def spread_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """For top-k use: the partners of a representative as partners of each of its copies."""
-    behind = members.select("workspace_id", F.col("rep_id").alias("src_id"), "content_item_id")
-    return pairs.join(behind, ["workspace_id", "src_id"])

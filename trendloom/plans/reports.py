@@ -19,7 +19,10 @@ def content_rows(
     query_ids=None, keyword_texts=None, match=None, match_mode: str = "literal", sample_percent=None,
     max_limit: int | None = None,
 ) -> DataFrame:
-    """Items with their state, in id order. Filters run before the joins and reach the scan."""
+    """Items with their state; the first ``max_limit`` in id order, or all of them, unsorted.
+
+    Filters run before the joins and reach the scan.
+    """
     base = items if sample_percent is None else sample_rows(items, sample_percent, by="content_item_id")
     base = base.where(in_workspace(workspace_id) & published_between(published_start, published_end, closed))
     base = base.where(language_is(*([language_code] if language_code else [])) & text_match(match, match_mode))
@@ -27,8 +30,8 @@ def content_rows(
     if keyword_texts:
         base = having_keyword(base, keywords, keyword_texts)
     state = states.select("state_id", "current_state", "completed_timestamp")
-    rows = with_state(base, state).orderBy("content_item_id")
-    return rows if max_limit is None else rows.limit(max_limit)
+    rows = with_state(base, state)
+    return rows if max_limit is None else rows.orderBy("content_item_id").limit(max_limit)
 
 
 def cluster_rows(
@@ -36,14 +39,15 @@ def cluster_rows(
     max_cluster_size=None, min_pub_date=None, max_pub_date=None, oldest_since=None, sample_percent=None,
     max_limit: int | None = None,
 ) -> DataFrame:
-    """Clusters with exemplar text, url and first and last published date, in id order."""
+    """Clusters with exemplar text, url and first and last published date; the first ``max_limit`` in id
+    order, or all of them, unsorted."""
     base = clusters if sample_percent is None else sample_rows(clusters, sample_percent, by="content_cluster_id")
     base = base.where(in_workspace(workspace_id) & in_list("content_cluster_id", cluster_ids))
     base = base.where(size_between(min_cluster_size, max_cluster_size)).drop("min_pub_date", "max_pub_date")
     ranges = published_range(items.where(in_workspace(workspace_id)))
     ranges = ranges.where(active_between(min_pub_date, max_pub_date, oldest_since))
-    rows = with_exemplar(base, items).join(ranges, "content_cluster_id").orderBy("content_cluster_id")
-    return rows if max_limit is None else rows.limit(max_limit)
+    rows = with_exemplar(base.join(ranges, "content_cluster_id"), items)
+    return rows if max_limit is None else rows.orderBy("content_cluster_id").limit(max_limit)
 
 
 def top_clusters(clusters: DataFrame, items: DataFrame, n: int = 100, min_size: int = 2) -> DataFrame:
@@ -65,11 +69,12 @@ def state_summary(items: DataFrame, states: DataFrame, workspace_id=None) -> Dat
 
 
 def date_state_counts(items: DataFrame, states: DataFrame, workspace_id=None, max_limit: int | None = None) -> DataFrame:
-    """Items per workspace, date_id and state, in that order."""
+    """Items per workspace, date_id and state; with ``max_limit`` the first ones in that order."""
     joined = with_state(
         items.where(in_workspace(workspace_id)).select("content_item_state_id", "workspace_id", "date_id"),
         states.select("state_id", "current_state"),
     )
     counted = joined.groupBy("workspace_id", "date_id", "current_state").agg(F.count(F.lit(1)).alias("num_items"))
-    counted = counted.orderBy("workspace_id", "date_id", "current_state")
-    return counted if max_limit is None else counted.limit(max_limit)
+    if max_limit is None:
+        return counted
+    return counted.orderBy("workspace_id", "date_id", "current_state").limit(max_limit)

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from trendloom.schema import RAW_ITEM
 
 PARTITION = ["date_id", "workspace_id", "source_id"]
-READ_SCHEMA = f"{RAW_ITEM}, date_id INT, _corrupt_record STRING"
 
 
 def append_raw(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append raw items; every write adds new files. JSON lines are gzipped."""
+    """Append raw items; every write adds new files. JSON lines are gzipped.
+
+    Rows are rebalanced by partition first: few files per folder, and a hot folder in several.
+    """
     missing = [c for c in [*PARTITION, "content_id", "content"] if c not in df.columns]
     if missing:
         raise ValueError(f"not raw items, missing {missing}")
     options = {"compression": "gzip", "ignoreNullFields": "false"} if fmt == "json" else {}
-    df.write.mode("append").partitionBy(*PARTITION).format(fmt).options(**options).save(path)
+    even = df.hint("rebalance", *[F.col(c) for c in PARTITION])
+    even.write.mode("append").partitionBy(*PARTITION).format(fmt).options(**options).save(path)
 
 
 def _pick(df: DataFrame, date_ids, workspace_id, source_id) -> DataFrame:
@@ -36,9 +39,12 @@ def read_raw(spark: SparkSession, path: str, date_ids=None, workspace_id=None, s
     ``strict`` fails on a malformed line. Otherwise such lines stay as rows with ``_corrupt_record``;
     see ``good_rows`` and ``quarantine``.
     """
-    mode = "FAILFAST" if strict else "PERMISSIVE"
-    schema = READ_SCHEMA.replace(", _corrupt_record STRING", "") if strict else READ_SCHEMA
-    return _pick(spark.read.schema(schema).option("mode", mode).json(path), date_ids, workspace_id, source_id)
+    lines = spark.read.schema("value STRING, date_id INT, workspace_id STRING, source_id STRING").text(path)
+    lines = _pick(lines, date_ids, workspace_id, source_id)
+    body = ", ".join(f for f in RAW_ITEM.split(", ") if f.split(" ")[0] not in PARTITION)
+    options = {"mode": "FAILFAST"} if strict else {"columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = F.from_json("value", body if strict else f"{body}, _corrupt_record STRING", options)
+    return lines.select(parsed.alias("r"), *PARTITION).select("r.*", *PARTITION)
 
 
 def good_rows(raw: DataFrame) -> DataFrame:
@@ -56,7 +62,8 @@ def read_compacted(spark: SparkSession, path: str, date_ids=None, workspace_id=N
 def compact(spark: SparkSession, source: str, target: str, date_ids=None) -> None:
     """Gzipped JSON, which cannot be split, to Parquet in the same partitions."""
     raw = good_rows(read_raw(spark, source, date_ids))
-    raw.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(target)
+    even = raw.hint("rebalance", *[F.col(c) for c in PARTITION])
+    even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(target)
 
 
 def delete_partition(spark: SparkSession, path: str, date_id: int, workspace_id: str, source_id: str) -> bool:
