@@ -50,12 +50,13 @@ def _edge_print() -> dict[str, Column]:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Point every larger neighbour of an item at the smallest id around the item."""
-    down = edges.groupBy("workspace_id", F.col("v").alias("node")).agg(F.min("u").alias("m"))
-    around = down.unionByName(edges.select("workspace_id", F.col("u").alias("node"), F.col("u").alias("m")))
+    around = edges.select("workspace_id", F.col("v").alias("node"), F.col("u").alias("m")).unionByName(
+        edges.select("workspace_id", F.col("u").alias("node"), F.col("u").alias("m"))
+    )
     smallest = around.groupBy("workspace_id", "node").agg(F.min("m").alias("m"))
     larger = edges.select("workspace_id", F.col("u").alias("node"), F.col("v").alias("other"))
-    moved = larger.join(smallest, ["workspace_id", "node"]).select("workspace_id", F.col("other").alias("v"), F.col("m").alias("u"))
-    return moved.where(F.col("v") != F.col("u")).distinct()
+    moved = larger.join(smallest, ["workspace_id", "node"])
+    return moved.select("workspace_id", F.col("other").alias("v"), F.col("m").alias("u"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -527,3 +527,5 @@ walk(run_id, n, state, end_ts, done_ts) AS (
     CASE WHEN a.to_state IN ('failed', 'completed') THEN e.ts ELSE w.done_ts END
   FROM walk w JOIN numbered e ON e.run_id = w.run_id AND e.n = w.n + 1
     LEFT JOIN run_allowed a ON a.from_state = w.state AND a.to_state = e.to_state)""", recursive=True)
+oracle("stream_clusters", "SELECT vec_id AS content_item_id, coalesce(root, vec_id) AS content_cluster_id FROM embeddings LEFT JOIN component ON id = vec_id",
+       "vector", "pair", "link AS (SELECT src_id AS a, dst_id AS b FROM pair UNION ALL SELECT dst_id, src_id FROM pair)", _components("link"), recursive=True)

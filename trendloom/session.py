@@ -84,10 +84,25 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_and_measure(df)[0]
 
 
+def _table_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def settle_batch(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """A micro-batch as a written table of the session ``spark``.
+
+    Spark switches adaptive execution off in the session of a stream; work on the written batch has it,
+    and with it the splitting of hot keys. The batch's source is read once.
+    """
+    folder = _table_folder(spark)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def cut_and_measure(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     """As ``cut``, with aggregates of the rows gathered by the same write."""
     spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    folder = _table_folder(spark)
     watch = Observation()
     rows = df.observe(watch, *[c.alias(n) for n, c in metrics.items()]) if metrics else df
     rows.write.parquet(folder)

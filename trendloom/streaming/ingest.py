@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trendloom.operators import extract, maintenance, setops
 from trendloom.operators.joins import ITEM_KEY
 from trendloom.schema import RAW_ITEM
-from trendloom.session import cut
+from trendloom.session import cut, settle_batch
 from trendloom.sources import raw_store, snapshots
 
 ITEMS = (
@@ -61,7 +61,7 @@ def ingest_stream(
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        load_items(df, root, extractor, batch_id=f"{checkpoint}#{batch_id}")
+        load_items(settle_batch(df, spark), root, extractor, batch_id=f"{checkpoint}#{batch_id}")
 
     return (
         raw_stream(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

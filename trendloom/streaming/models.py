@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trendloom.operators import clusters, similarity
 from trendloom.operators.keywords import KEYWORD_COLUMNS, attach_keywords
-from trendloom.session import cut
+from trendloom.session import settle_batch
 from trendloom.sources import landed, snapshots
 
 VECTORS = "content_item_id BIGINT, workspace_id STRING, vector ARRAY<FLOAT>, content_cluster_id BIGINT"
@@ -21,7 +21,7 @@ def callback_stream(
     or of another workspace are kept apart."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        sets = cut(landed.callback_keyword_sets(landed.callback_rows(df)))
+        sets = settle_batch(landed.callback_keyword_sets(landed.callback_rows(df)), spark)
         rows, refused = attach_keywords(sets, items)
         snapshots.commit_changes(rows.select(*KEYWORD_COLUMNS), keyword_root, batch_id=f"{checkpoint}#{batch_id}")
         refused.write.mode("overwrite").json(f"{refused_path}/batch={batch_id}")
@@ -40,7 +40,7 @@ def add_vectors(batch: DataFrame, stored: DataFrame, threshold: float) -> DataFr
 
     Copies inside the batch and copies of stored vectors come as one edge each.
     """
-    fresh = cut(batch.select("content_item_id", "workspace_id", "vector"))
+    fresh = batch.select("content_item_id", "workspace_id", "vector")
     queries = similarity.representatives(fresh, F.col("vector"), "vector").withColumnRenamed("content_item_id", "query_id")
     old = similarity.find_similar(queries, stored, threshold).select("workspace_id", "src_id", "dst_id", "score")
     new = similarity.similar_vectors(fresh, threshold)
@@ -56,14 +56,14 @@ def add_vectors(batch: DataFrame, stored: DataFrame, threshold: float) -> DataFr
 
 def cluster_stream(vectors: DataFrame, root: str, threshold: float, checkpoint: str) -> StreamingQuery:
     """New vectors into the clustered vector table at ``root``, micro-batch by micro-batch."""
+    spark = vectors.sparkSession
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
         tag = f"{checkpoint}#{batch_id}"
         if snapshots.has_batch(spark, root, tag):
             return
         stored = snapshots.read_snapshot(spark, root, VECTORS)
-        placed = add_vectors(df, stored, threshold).select("content_item_id", "workspace_id", "vector", "content_cluster_id")
+        placed = add_vectors(settle_batch(df, spark), stored, threshold).select("content_item_id", "workspace_id", "vector", "content_cluster_id")
         snapshots.commit_changes(placed, root, batch_id=tag)
 
     return (
