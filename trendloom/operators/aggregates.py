@@ -72,16 +72,20 @@ def published_range(items: DataFrame) -> DataFrame:
 def recompute_clusters(items: DataFrame) -> DataFrame:
     """Size, unique texts, exemplar (oldest item) and date range of each cluster, from its items.
 
-    A null text counts as one value. Texts travel as digests; the one distinct count splits a hot
-    cluster over its texts before the counts meet.
+    A cluster has one workspace. A null text counts as one value. Texts are reduced to digests before
+    anything is sorted or shuffled (``text`` reads the digest twice, which keeps Spark from moving the
+    hash into the aggregate); the one distinct count splits a hot cluster over its texts before the
+    counts meet.
     """
-    members = items.where(F.col("content_cluster_id").isNotNull())
-    digest = F.coalesce(F.sha2("content", 256), F.lit("null"))
+    members = items.where(F.col("content_cluster_id").isNotNull()).select(
+        "workspace_id", "content_cluster_id", "raw_created_at", "content_item_id", "content_published_date",
+        F.sha2("content", 256).alias("digest"),
+    )
+    text = F.when(F.col("digest").isNull(), F.lit("null")).otherwise(F.col("digest"))
     age = F.struct("raw_created_at", "content_item_id")
-    return members.groupBy("content_cluster_id").agg(
-        F.min("workspace_id").alias("workspace_id"),
+    return members.groupBy("workspace_id", "content_cluster_id").agg(
         F.count(F.lit(1)).alias("num_items"),
-        F.count_distinct(digest).alias("num_items_unique"),
+        F.count_distinct(text).alias("num_items_unique"),
         F.min(age)["content_item_id"].alias("exemplar_item_id"),
         F.min("content_published_date").alias("min_pub_date"),
         F.max("content_published_date").alias("max_pub_date"),

@@ -36,11 +36,17 @@ def text_key(text: str = "content") -> Column:
 
 def copies(items: DataFrame, key: Column) -> DataFrame:
     """Each item with the representative (smallest id) of the items that share its key in its workspace."""
-    keyed = items.select("workspace_id", "content_item_id", key.alias("copy_key"))
+    keyed = cut(items.select("workspace_id", "content_item_id", key.alias("copy_key")))
     first = keyed.groupBy("workspace_id", "copy_key").agg(F.min("content_item_id").alias("rep_id"))
     return keyed.join(first, ["workspace_id", "copy_key"]).select("workspace_id", "content_item_id", "rep_id")
 
 
+def without_copies(items: DataFrame, members: DataFrame) -> DataFrame:
+    """The representatives among the items, given ``copies``: long texts need not be grouped for this."""
+    extra = members.where(F.col("rep_id") != F.col("content_item_id")).select("content_item_id")
+    return items.join(extra, "content_item_id", "left_anti")
+
+
 def representatives(items: DataFrame, key: Column, *columns: str) -> DataFrame:
     """One row per (workspace, key): the smallest id and its columns, which are equal for all copies."""
     return items.groupBy("workspace_id", key.alias("copy_key")).agg(
@@ -161,7 +167,8 @@ def similar_texts(items: DataFrame, threshold: float, text: str = "content", sli
 
     Word weights are those of the distinct texts. Use ``copies`` for the items behind each text.
     """
-    texts = representatives(items.where(F.col(text).isNotNull()), text_key(text), text)
+    usable = items.where(F.col(text).isNotNull())
+    texts = without_copies(usable, cut(copies(usable, text_key(text))))
     return pairs_from_weights(term_weights(texts, text), threshold, slice_rows)
 
 
@@ -174,7 +181,8 @@ def linking_texts(items: DataFrame, threshold: float, components, text: str = "c
     """
     _check(threshold)
     usable = items.where(F.col(text).isNotNull())
-    weights = cut(term_weights(representatives(usable, text_key(text), text), text))
+    members = cut(copies(usable, text_key(text)))
+    weights = cut(term_weights(without_copies(usable, members), text))
     prefix = cut(rare_prefix(weights, threshold))
     key = ["workspace_id", "term"]
     frequent = prefix.where(F.col("df") > LARGE_POSTING)
@@ -200,7 +208,7 @@ def linking_texts(items: DataFrame, threshold: float, components, text: str = "c
     across = F.col("src_group_id") != F.col("dst_group_id")
     once = across & (F.col("src_content_item_id") < F.col("dst_content_item_id"))
     more = _promising(_meet(few, few, slice_rows, once).unionByName(_meet(few, rest, slice_rows, across)), threshold)
-    behind = copies(usable, text_key(text)).where(F.col("rep_id") != F.col("content_item_id"))
+    behind = members.where(F.col("rep_id") != F.col("content_item_id"))
     stars = behind.select("workspace_id", F.col("rep_id").alias("src_id"), F.col("content_item_id").alias("dst_id"))
     return near.unionByName(score_pairs(more, weights, threshold)).unionByName(stars.withColumn("score", F.lit(2.0)))
 
