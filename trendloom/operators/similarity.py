@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from trendloom.functions.batches import plain
 from trendloom.operators.keywords import term_weights
 from trendloom.operators.ranking import both_ways, top_per_key
-from trendloom.session import cut
+from trendloom.session import cut, cut_and_measure
 
 POSTING_SLICE = 2000
 LARGE_POSTING = 200
@@ -36,7 +36,10 @@ def text_key(text: str = "content") -> Column:
 
 def copies(items: DataFrame, key: Column) -> DataFrame:
     """Each item with the representative (smallest id) of the items that share its key in its workspace."""
-    keyed = cut(items.select("workspace_id", "content_item_id", key.alias("copy_key")))
+    return _with_representative(cut(items.select("workspace_id", "content_item_id", key.alias("copy_key"))))
+
+
+def _with_representative(keyed: DataFrame) -> DataFrame:
     first = keyed.groupBy("workspace_id", "copy_key").agg(F.min("content_item_id").alias("rep_id"))
     return keyed.join(first, ["workspace_id", "copy_key"]).select("workspace_id", "content_item_id", "rep_id")
 
@@ -59,6 +62,24 @@ def _check(threshold: float) -> None:
         raise ValueError("threshold must be in (0, 1]")
 
 
+def distinct_texts(items: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Items that represent their text, and ``copies`` of all.
+
+    Texts are not shuffled for this, except where the input was seen to come in fewer partitions than
+    there are cores.
+    """
+    keyed = items.select(
+        "workspace_id", "content_item_id", text_key(text).alias("copy_key"), F.spark_partition_id().alias("part")
+    )
+    keyed, seen = cut_and_measure(keyed, last=F.max("part"))
+    members = cut(_with_representative(keyed))
+    texts = without_copies(items, members)
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    if (seen["last"] or 0) + 1 < cores:
+        texts = texts.repartition(cores, "content_item_id")
+    return texts, members
+
+
 # ---- texts ---------------------------------------------------------------------------------------
 
 
@@ -167,22 +188,39 @@ def similar_texts(items: DataFrame, threshold: float, text: str = "content", sli
 
     Word weights are those of the distinct texts. Use ``copies`` for the items behind each text.
     """
-    usable = items.where(F.col(text).isNotNull())
-    texts = without_copies(usable, cut(copies(usable, text_key(text))))
+    texts, _ = distinct_texts(items.where(F.col(text).isNotNull()), text)
     return pairs_from_weights(term_weights(texts, text), threshold, slice_rows)
 
 
+def _meet_across(frequent: DataFrame, near: DataFrame, components, slice_rows: int) -> DataFrame:
+    """Shared words of items that ``near`` does not connect: per word, the items outside its largest
+    group meet each other and that group."""
+    key = ["workspace_id", "term"]
+    groups = components(near.select("workspace_id", "src_id", "dst_id"))
+    grouped = frequent.join(groups, ["workspace_id", "content_item_id"], "left")
+    grouped = grouped.withColumn("group_id", F.coalesce("group_id", "content_item_id"))
+    sizes = grouped.groupBy(*key, "group_id").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy(*key).agg(F.max(F.struct("n", "group_id"))["group_id"].alias("largest_group"))
+    grouped = grouped.join(largest, key)
+    inside = F.col("group_id") == F.col("largest_group")
+    columns = [*frequent.columns, "group_id"]
+    few, rest = grouped.where(~inside).select(*columns), grouped.where(inside).select(*columns)
+    across = F.col("src_group_id") != F.col("dst_group_id")
+    once = across & (F.col("src_content_item_id") < F.col("dst_content_item_id"))
+    return _meet(few, few, slice_rows, once).unionByName(_meet(few, rest, slice_rows, across))
+
+
 def linking_texts(items: DataFrame, threshold: float, components, text: str = "content", slice_rows: int = POSTING_SLICE) -> DataFrame:
     """Edges that connect the same items as all similar pairs and copies do, without listing those pairs.
 
     First every item of a frequent prefix word is compared with the first item of that word, which is
-    linear and joins large groups of near copies. Then, per word, only items outside the word's largest group so
-    far meet the others, and only across groups: pairs inside a group would connect nothing new.
+    linear and joins large groups of near copies. Then, per such word, only items outside the word's
+    largest group so far meet the others, and only across groups: pairs inside a group would connect
+    nothing new. Items of words up to ``LARGE_POSTING`` meet directly.
     """
     _check(threshold)
-    usable = items.where(F.col(text).isNotNull())
-    members = cut(copies(usable, text_key(text)))
-    weights = cut(term_weights(without_copies(usable, members), text))
+    texts, members = distinct_texts(items.where(F.col(text).isNotNull()), text)
+    weights = cut(term_weights(texts, text))
     prefix = cut(rare_prefix(weights, threshold))
     key = ["workspace_id", "term"]
     frequent = prefix.where(F.col("df") > LARGE_POSTING)
@@ -193,21 +231,12 @@ def linking_texts(items: DataFrame, threshold: float, components, text: str = "c
         "workspace_id", F.col("leader.content_item_id").alias("src_id"), F.col("content_item_id").alias("dst_id")
     ).distinct()
     near = cut(score_pairs(first, weights, threshold))
-    grouped = prefix.withColumn("group_id", F.col("content_item_id"))
-    if near.take(1):
-        groups = components(near.select("workspace_id", "src_id", "dst_id")).withColumnRenamed("group_id", "joined_id")
-        grouped = grouped.join(groups, ["workspace_id", "content_item_id"], "left").withColumn(
-            "group_id", F.coalesce("joined_id", "group_id")
-        )
-    sizes = grouped.groupBy(*key, "group_id").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy(*key).agg(F.max(F.struct("n", "group_id"))["group_id"].alias("largest_group"))
-    grouped = grouped.join(largest, key)
-    inside = F.col("group_id") == F.col("largest_group")
-    columns = [*prefix.columns, "group_id"]
-    few, rest = grouped.where(~inside).select(*columns), grouped.where(inside).select(*columns)
-    across = F.col("src_group_id") != F.col("dst_group_id")
-    once = across & (F.col("src_content_item_id") < F.col("dst_content_item_id"))
-    more = _promising(_meet(few, few, slice_rows, once).unionByName(_meet(few, rest, slice_rows, across)), threshold)
+    once = F.col("src_content_item_id") < F.col("dst_content_item_id")
+    rare = prefix.where(F.col("df") <= LARGE_POSTING)
+    met = _meet(rare, rare, slice_rows, once).unionByName(
+        _meet_across(frequent, near, components, slice_rows) if near.take(1) else _meet(frequent, frequent, slice_rows, once)
+    )
+    more = _promising(met, threshold)
     behind = members.where(F.col("rep_id") != F.col("content_item_id"))
     stars = behind.select("workspace_id", F.col("rep_id").alias("src_id"), F.col("content_item_id").alias("dst_id"))
     return near.unionByName(score_pairs(more, weights, threshold)).unionByName(stars.withColumn("score", F.lit(2.0)))
