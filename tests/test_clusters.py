@@ -164,7 +164,7 @@ def texts_of(spark, n=150, seed=9):
 
 
 def brute_texts(items, t):
-    weights = keywords.term_weights(similarity.representatives(items.where("content IS NOT NULL"), similarity.text_key(), "content")).collect()
+    weights = keywords.word_sets(similarity.representatives(items.where("content IS NOT NULL"), similarity.text_key(), "content")).collect()
     vec = {}
     for r in weights:
         vec.setdefault((r["workspace_id"], r["content_item_id"]), {})[r["term"]] = r["weight"]

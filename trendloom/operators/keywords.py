@@ -166,6 +166,18 @@ def term_weights(items: DataFrame, text: str = "content") -> DataFrame:
     )
 
 
+def word_sets(items: DataFrame, text: str = "content") -> DataFrame:
+    """The distinct words of each item with weight 1, and the number of items that have the word.
+
+    Repeats are dropped within the row, so that each word of an item is shuffled once.
+    """
+    words = items.select("workspace_id", "content_item_id", F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+    spread = words.groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    return words.join(spread, ["workspace_id", "term"]).select(
+        "workspace_id", "content_item_id", "term", "df", F.lit(1).cast("bigint").alias("weight")
+    )
+
+
 def tfidf_keyphrases(items: DataFrame, k: int = 5, text: str = "content", model: str = "tfidf") -> DataFrame:
     """The k heaviest words of each item as keyword rows; a lower score is better."""
     top = top_per_key(

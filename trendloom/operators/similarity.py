@@ -1,6 +1,6 @@
 """Similar pairs at or above a cosine threshold, exactly.
 
-Two forms. Texts are compared as word weights: items meet only on words of their rare prefix, a filter
+Two forms. Texts are compared as sets of words, so that a score does not depend on the rest of the table: items meet only on words of their rare prefix, a filter
 that no pair above the threshold can escape. Dense vectors are compared block by block inside cells
 around pivots; a vector also visits the cells within reach of the threshold, so no pair is lost.
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.batches import plain
-from trendloom.operators.keywords import term_weights
+from trendloom.operators.keywords import word_sets
 from trendloom.operators.ranking import both_ways, top_per_key
 from trendloom.session import cut, cut_and_measure
 
@@ -184,12 +184,12 @@ def pairs_from_weights(weights: DataFrame, threshold: float, slice_rows: int = P
 
 
 def similar_texts(items: DataFrame, threshold: float, text: str = "content", slice_rows: int = POSTING_SLICE) -> DataFrame:
-    """Pairs (workspace_id, src_id, dst_id, score) of distinct texts; score = 1 + cosine.
+    """Pairs (workspace_id, src_id, dst_id, score) of distinct texts; score = 1 + cosine of their word sets.
 
-    Word weights are those of the distinct texts. Use ``copies`` for the items behind each text.
+    Use ``copies`` for the items behind each text.
     """
     texts, _ = distinct_texts(items.where(F.col(text).isNotNull()), text)
-    return pairs_from_weights(term_weights(texts, text), threshold, slice_rows)
+    return pairs_from_weights(word_sets(texts, text), threshold, slice_rows)
 
 
 def _meet_across(frequent: DataFrame, near: DataFrame, components, slice_rows: int) -> DataFrame:
@@ -220,7 +220,7 @@ def linking_texts(items: DataFrame, threshold: float, components, text: str = "c
     """
     _check(threshold)
     texts, members = distinct_texts(items.where(F.col(text).isNotNull()), text)
-    weights = cut(term_weights(texts, text))
+    weights = cut(word_sets(texts, text))
     prefix = cut(rare_prefix(weights, threshold))
     key = ["workspace_id", "term"]
     frequent = prefix.where(F.col("df") > LARGE_POSTING)

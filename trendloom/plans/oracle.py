@@ -79,7 +79,7 @@ CTES["pair"] = f"""pair AS (
 
 
 def _word_ctes(source: str) -> str:
-    """Word weights and all pair cosines by brute force; ``source`` has (workspace_id, content_item_id, content)."""
+    """Word weights; ``source`` has (workspace_id, content_item_id, content)."""
     return f"""word AS (
   SELECT workspace_id, content_item_id, term, count(*) AS tf FROM (
     SELECT workspace_id, content_item_id, unnest(regexp_extract_all(lower(content), '{T.TERM}')) AS term FROM {source})
@@ -90,7 +90,8 @@ weight AS (
     JOIN (SELECT workspace_id, count(*) AS total FROM {source} GROUP BY ALL) USING (workspace_id))"""
 
 
-TEXT_PAIRS = f"""{_word_ctes('txt')},
+TEXT_PAIRS = f"""weight AS (
+  SELECT DISTINCT workspace_id, content_item_id, unnest(regexp_extract_all(lower(content), '{T.TERM}')) AS term, 1 AS weight FROM txt),
 norm AS (SELECT content_item_id, sqrt(CAST(sum(weight * weight) AS DOUBLE)) AS norm FROM weight GROUP BY ALL),
 text_pair AS (
   SELECT workspace_id, src_id, dst_id, dot / (a.norm * b.norm) AS cos FROM (
