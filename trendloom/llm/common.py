@@ -29,6 +29,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def text_key(text: str = "text") -> Column:
+    """What equal texts share; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def row_numbers(df: DataFrame, *order: Column, name: str = "row_number") -> tuple[DataFrame, int]:
     """``df`` with the place of each row in the given order, from 0 without gaps, and the row count.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import common, jaccard_join, quality_rules, resampling
-from trendloom.session import SETTINGS, cut
+from trendloom.llm import bpe_transducer, common, decontaminate, jaccard_join, quality_rules, resampling, sharding, token_files
+from trendloom.session import SETTINGS, cut, work_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,8 +16,31 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.drop("text_key")
+
+
+def op5_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """40 shards by the law of equal row counts."""
+    found = sharding.sharded(_table(spark, folder, "documents"), 40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = work_folder(spark)
+    manifest = token_files.write_sequences(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), files)
+    return token_files.read_documents(manifest, files)
+
+
+def op7_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = bpe_transducer.round_trip(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return docs.select("doc_id", found.alias("found")).select("doc_id", "found.*")
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.near_duplicates(_table(spark, folder, "documents"))
+    return jaccard_join.near_duplicates(_table(spark, folder, "documents")).drop("text_key")
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +55,9 @@ def op10_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resampled(scored, share).select("doc_id", "log_ratio", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op8_jaccard_join, op9_quality_rules, op10_resampling)}
+QUERIES = {
+    f.__name__: f
+    for f in (op3_winnowing, op5_feistel_shards, op6_token_files, op7_bpe_transducer, op8_jaccard_join, op9_quality_rules, op10_resampling)
+}
 
-ORACLES = {"op9_quality_rules": quality_rules.oracle()}
+ORACLES = {"op3_winnowing": decontaminate.ORACLE, "op9_quality_rules": quality_rules.oracle()}
