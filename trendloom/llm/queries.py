@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe_transducer, common, decontaminate, jaccard_join, quality_rules, resampling, sharding, token_files
+from trendloom.llm import bpe_transducer, common, decontaminate, jaccard_join, quality_rules, resampling, sharding, token_files, toxicity, warc, wrapper
 from trendloom.session import SETTINGS, cut, work_folder
 
 
@@ -16,6 +16,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_wrapper_induction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.main_texts(_table(spark, folder, "pages"))
+
+
+def op2_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return warc.archived(pages, work_folder(spark))
+
+
+def op4_subword_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.drop("text_key")
@@ -57,7 +70,7 @@ def op10_resampling(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_winnowing, op5_feistel_shards, op6_token_files, op7_bpe_transducer, op8_jaccard_join, op9_quality_rules, op10_resampling)
+    for f in (op1_wrapper_induction, op2_warc_transactions, op3_winnowing, op4_subword_toxicity, op5_feistel_shards, op6_token_files, op7_bpe_transducer, op8_jaccard_join, op9_quality_rules, op10_resampling)
 }
 
 ORACLES = {"op3_winnowing": decontaminate.ORACLE, "op9_quality_rules": quality_rules.oracle()}
