@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import drop_from, gram_hashes, word_hashes
+from trendloom.llm.common import drop_from, gram_hashes, text_key, word_hashes
 from trendloom.operators.clusters import connected_components
 from trendloom.session import cut, cut_and_measure
 
 SHINGLE = 5
 LEAST = 80  # per cent of the union that two sets must share
-BITS = 1024
-FREQUENT = 1 << 15  # shingles whose counts settle the order; all others come before them
+FREQUENT = 1 << 17  # shingles whose counts settle the order; all others come before them
+SMALL = 16  # rows of a token that are compared with each other right away
 TILE = 256  # rows of one side of a tile
 
 
@@ -35,7 +35,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
             yield gram_hashes(hashes[a:b], int(b - a)).view(np.int64)[:1] if b > a else np.zeros(0, np.int64)
 
 
-def frequent_shingles(docs: DataFrame, size: int = FREQUENT, local: int = 4, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, size: int = FREQUENT, local: int = 3, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of all texts and their counts, sorted by shingle.
 
     They only settle in which order shingles are taken, never which texts link, so a count may leave out what a task saw
@@ -66,9 +66,17 @@ def frequent_shingles(docs: DataFrame, size: int = FREQUENT, local: int = 4, blo
 
 
 def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles that fall on each of ``BITS`` bits, as 64-bit integers."""
-    place = (shingles.view(np.uint64) >> np.uint64(64 - int(math.log2(BITS)))).astype(np.int64)
-    return np.packbits(np.bincount(place, minlength=BITS) & 1).view(np.int64)
+    """Parity of the number of shingles that fall on each bit, as 64-bit integers; as many bits as shingles, rounded up to a power of two."""
+    bits = 1 << max(6, int(len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount(shingles & np.int64(bits - 1), minlength=bits) & 1).view(np.int64)
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bits as they would be with ``size`` integers: parities of halves combine by exclusive or."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -94,44 +102,52 @@ def profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                 else:
                     order = np.arange(len(s))
                 prefixes.append(s[order[: len(s) - (LEAST * len(s) + 99) // 100 + 1]] if len(s) else s)
-                bitmaps.append(_bitmap(s) if len(s) else np.zeros(BITS // 64, np.int64))
+                bitmaps.append(_bitmap(s))
             yield pa.RecordBatch.from_arrays(
                 [drop_from(batch, "doc_id"), drop_from(batch, "text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), _lists(prefixes), _lists(bitmaps)],
                 names=["doc_id", "text_key", "set_key", "n_shingles", "prefix", "bits"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", _text_key().alias("text_key"))
+    keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
     found = keyed.mapInArrow(profile, f"doc_id {kind}, text_key binary, set_key binary, n_shingles long, prefix array<long>, bits array<long>")
     return cut(found.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _text_key() -> Column:
-    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def _near_enough(na: Column, nb: Column, differ: Column) -> Column:
+def _sizes_fit(na: Column, nb: Column) -> Column:
+    return 100 * F.least(na, nb) >= LEAST * F.greatest(na, nb)
+
+
+def _may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray) -> np.ndarray:
     """Whether sets of these sizes may link if ``differ`` of their bits differ.
 
     Each bit that differs stands for at least one shingle that only one set holds, so they share (na + nb - differ) / 2 at most.
     """
-    smaller, larger = F.least(na, nb), F.greatest(na, nb)
-    return (100 * smaller >= LEAST * larger) & ((100 + LEAST) * (na + nb - differ) >= 2 * LEAST * (na + nb))
+    return (100 + LEAST) * (na + nb - differ) >= 2 * LEAST * (na + nb)
 
 
 def bounded(pairs: DataFrame, profile: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of rows whose bitmaps do not rule them out."""
+    """Those pairs (a, b) of rows whose sizes and bitmaps do not rule them out."""
+
+    @F.arrow_udf("boolean")
+    def may(x: pa.Array, y: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        left, right = (np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1]) for c in (x, y))
+        differ = np.zeros(len(x), np.int64)
+        for i, (s, t) in enumerate(zip(left, right, strict=True)):
+            size = min(len(s), len(t))
+            differ[i] = np.bitwise_count((_folded(s, size) ^ _folded(t, size)).view(np.uint64)).sum()
+        return pa.array(_may_link(na.to_numpy(), nb.to_numpy(), differ))
+
     side = profile.select("row", "n_shingles", "bits")
     left = side.select(F.col("row").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"))
     right = side.select(F.col("row").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("xb"))
-    differ = sum((F.bit_count(F.get("xa", i).bitwiseXOR(F.get("xb", i))) for i in range(1, BITS // 64)), F.bit_count(F.get("xa", 0).bitwiseXOR(F.get("xb", 0))))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(_near_enough(F.col("na"), F.col("nb"), differ)).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").where(_sizes_fit(F.col("na"), F.col("nb")))
+    return both.where(may("xa", "xb", "na", "nb")).select("a", "b")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, profile: DataFrame) -> DataFrame:
@@ -141,7 +157,7 @@ def linked(pairs: DataFrame, docs: DataFrame, profile: DataFrame) -> DataFrame:
     """
     rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     wanted = profile.select("row", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).join(rows, "row", "left_semi")
-    texts = docs.select("doc_id", "text", _text_key().alias("text_key"))
+    texts = docs.select("doc_id", "text", text_key().alias("text_key"))
     met = texts.join(wanted, F.col("text_key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,44 +187,62 @@ def linked(pairs: DataFrame, docs: DataFrame, profile: DataFrame) -> DataFrame:
 def tile_pairs(members: DataFrame, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) that tiles leave over, of rows that share a token but no component.
 
-    ``members`` has (token, row, n_shingles, bits, component). The rows of a token are cut by size into bands of ratio 0.8 and
-    each band by hash into slices of about ``tile`` rows. Rows can only link inside a band or with the next one; each pair of
-    slices is a tile, and inside a tile the bitmaps bound the overlap from above.
+    ``members`` has (token, row, n_shingles, bits, component). Up to ``tile`` rows of a token are one tile. More are cut by size
+    into bands of ratio 0.8 and each band by hash into slices of about ``tile`` rows; rows can only link inside a band or with
+    the next one, and each pair of such slices is a tile. Inside a tile the bitmaps bound the overlap from above.
     """
-    sized = members.withColumn("band", F.floor(F.log(F.col("n_shingles") * 1.0) / math.log(100 / LEAST)).cast("int"))
-    counts = sized.groupBy("token", "band").agg(F.count(F.lit(1)).alias("n"))
-    slices = counts.groupBy("token").agg(F.ceil(F.max("n") / tile).cast("int").alias("slices"))
-    cuts = sized.join(slices, "token").withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int"))
+    counts = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("slices"))
+    band = F.when(F.col("slices") > 1, F.floor(F.log(F.col("n_shingles") * 1.0) / math.log(100 / LEAST))).otherwise(0).cast("int")
+    cuts = members.join(counts, "token").withColumns({"band": band, "slice": F.pmod(F.xxhash64("row"), F.col("slices")).cast("int")})
     every = F.sequence(F.lit(0), F.col("slices") - 1)
     own, band = F.col("slice"), F.col("band")
     same = F.transform(every, lambda s: F.struct(band.alias("low"), F.lit(0).alias("step"), F.least(own, s).alias("s"), F.greatest(own, s).alias("t"), (s < own).alias("right")))
     up = F.transform(every, lambda s: F.struct(band.alias("low"), F.lit(1).alias("step"), own.alias("s"), s.alias("t"), F.lit(False).alias("right")))
     down = F.transform(every, lambda s: F.struct((band - 1).alias("low"), F.lit(1).alias("step"), s.alias("s"), own.alias("t"), F.lit(True).alias("right")))
-    spread = cuts.select("token", "row", "n_shingles", "bits", "component", F.inline(F.concat(same, up, down)))
+    tiles = F.when(F.col("slices") > 1, F.concat(same, up, down)).otherwise(same)
+    spread = cuts.select("token", "row", "n_shingles", "bits", "component", F.inline(tiles))
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = table.column("row").to_numpy()
-        n = table.column("n_shingles").to_numpy()
-        component = table.column("component").to_numpy()
+        rows, n, component = (table.column(c).to_numpy() for c in ("row", "n_shingles", "component"))
         right = table.column("right").to_numpy(zero_copy_only=False)
-        bits = np.stack(table.column("bits").to_numpy(zero_copy_only=False)).view(np.uint64) if len(rows) else np.zeros((0, BITS // 64), np.uint64)
         inside = table.column("step")[0].as_py() == 0 and table.column("s")[0].as_py() == table.column("t")[0].as_py()
-        left, others = (np.arange(len(rows)),) * 2 if inside else (np.flatnonzero(~right), np.flatnonzero(right))
+        bits = table.column("bits").to_numpy(zero_copy_only=False)
+        widths = np.array([len(x) for x in bits])
+        wide = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
+        table_of = {w: np.stack([bits[i] for i in at]) for w, at in wide.items()}
         a, b = [], []
-        for i in left:
-            j = others[others > i] if inside else others
-            j = j[(component[j] != component[i]) & (100 * np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j]))]
-            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1).astype(np.int64)
-            total = n[i] + n[j]
-            j = j[(100 + LEAST) * (total - differ) >= 2 * LEAST * total]
-            a.append(np.minimum(rows[i], rows[j]))
-            b.append(np.maximum(rows[i], rows[j]))
+        for i in range(len(rows)) if inside else np.flatnonzero(~right):
+            fit = (component != component[i]) & (100 * np.minimum(n, n[i]) >= LEAST * np.maximum(n, n[i]))
+            fit &= (np.arange(len(rows)) > i) if inside else right
+            for w, at in wide.items():
+                chosen = fit[at]
+                j = at[chosen]
+                if len(j):
+                    size = min(w, widths[i])
+                    apart = _folded(table_of[w][chosen], size) ^ _folded(bits[i], size)
+                    j = j[_may_link(n[j], n[i], np.bitwise_count(apart.view(np.uint64)).sum(axis=1).astype(np.int64))]
+                    a.append(np.minimum(rows[i], rows[j]))
+                    b.append(np.maximum(rows[i], rows[j]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
     return spread.groupBy("token", "low", "step", "s", "t").applyInArrow(compare, "a long, b long").distinct()
 
 
+def small_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of rows of one token, of (token, row, at, n), that may link.
+
+    ``at`` is the place of the token in the row's order. Where the first token that two sets have in common stands at these
+    places, what follows bounds what they share.
+    """
+    left = members.select("token", F.col("row").alias("a"), F.col("at").alias("pa"), F.col("n").alias("na"))
+    right = members.select("token", F.col("row").alias("b"), F.col("at").alias("pb"), F.col("n").alias("nb"))
+    follows = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = (100 + LEAST) * follows >= LEAST * (F.col("na") + F.col("nb"))
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb")) & enough)
+    return met.select("a", "b").distinct()
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """(row, component) of the rows that take part in an edge (a, b)."""
     named = edges.select(F.lit(0).alias("workspace_id"), F.col("a").alias("src_id"), F.col("b").alias("dst_id"))
@@ -217,16 +251,17 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, text_key, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased; a set holds the distinct runs of five words,
     compared by 64-bit hashes. Two rows link when their sets share at least 80 % of their union; component_id is the smallest
     doc_id that links reach.
 
     Rows of equal sets are handled as one. A set is dealt out by its rarest shingles, so only near copies and chance meet. The
-    rows of a shingle are first compared with one of them, which joins a group of near copies in as many comparisons as it has
-    rows; only rows of a shingle that are then in different components are compared with each other, tile by tile. No link
-    that could join two components is left out, and rows of one component need no more of them.
+    few rows of a rare shingle are compared with each other. Those of a frequent one are first compared with one of them, which
+    joins a group of near copies in as many comparisons as it has rows; only rows that are then in different components are
+    compared with each other, tile by tile. No link that could join two components is left out, and rows of one component need
+    no more of them.
 
     Null, empty and blank texts have an empty set and link with nothing: component_id is their own doc_id. A null doc_id is
     never the smallest; a component of such rows alone has a null id. Repeated rows are rows of equal sets. An empty table
@@ -236,17 +271,18 @@ def near_duplicates(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     profile = profiles(docs, frequent_shingles(docs, frequent))
     filled = profile.where(F.col("n_shingles") > 0)
     classes = cut(filled.groupBy("set_key").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")))
-    chosen = cut(filled.select("row", "prefix").join(classes.select("row"), "row", "left_semi"))
-    tokens = chosen.select("row", F.explode("prefix").alias("token"))
-    groups = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("hub"), F.max("row").alias("last")).where(F.col("n") > 1))
-    members = cut(tokens.join(groups.where(F.col("n") > 2).select("token", "hub"), "token"))
-    stars = members.where(F.col("row") != F.col("hub")).select(F.col("hub").alias("a"), F.col("row").alias("b"))
-    twos = groups.where(F.col("n") == 2).select(F.col("hub").alias("a"), F.col("last").alias("b"))
-    first = cut(bounded(stars.unionByName(twos).distinct(), profile))
+    chosen = cut(filled.select("row", "n_shingles", "prefix").join(classes.select("row"), "row", "left_semi"))
+    tokens = chosen.select("row", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    groups = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("hub")).where(F.col("rows") > 1))
+    members = cut(tokens.join(groups, "token"))
+    small = small_pairs(members.where(F.col("rows") <= SMALL).drop("rows", "hub"))
+    large = members.where(F.col("rows") > SMALL).select("token", "row", "hub")
+    stars = large.where(F.col("row") != F.col("hub")).select(F.col("hub").alias("a"), F.col("row").alias("b"))
+    first = cut(bounded(small.unionByName(stars.distinct()).distinct(), profile))
     edges = cut(linked(first, docs, profile))
     components = _components(edges)
 
-    named = members.select("token", "row").join(components, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    named = large.select("token", "row").join(components, "row", "left").withColumn("component", F.coalesce("component", "row"))
     open_tokens = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y"))
     rest, seen = cut_and_measure(named.join(open_tokens.select("token"), "token", "left_semi"), rows=F.count(F.lit(1)))
     if seen["rows"]:
@@ -258,5 +294,5 @@ def near_duplicates(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     whole = classes.join(components, "row", "left").withColumn("component", F.coalesce("component", "row"))
     smallest = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_set = whole.select("set_key", "component").join(smallest, "component").select("set_key", "component_id")
-    result = profile.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
-    return result.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    result = profile.select("doc_id", "text_key", "n_shingles", "set_key").join(by_set, "set_key", "left")
+    return result.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
