@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import common, jaccard_join, quality_rules, resampling
+from trendloom.llm import bpe_transducer, common, decontaminate, jaccard_join, quality_rules, resampling
 from trendloom.session import SETTINGS, cut, work_folder
 
 
@@ -33,29 +34,58 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return resampling.resampled(scored, share).where("kept").select(docs.columns)
 
 
+def _without(docs: DataFrame, others: DataFrame) -> DataFrame:
+    """``docs`` without the rows of the (doc_id, text_key) of ``others``; a null doc_id equals a null one."""
+    gone = others.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & common.text_key().eqNullSafe(F.col("_gone_key"))
+    return docs.join(gone, same, "left_anti")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id, once.
 
-    Texts without words are near copies of nothing and stay. Rows without a doc_id stay if no row of their group has one.
+    Texts without words are near copies of nothing and stay. Of a group without any doc_id one row stays. Where several rows
+    of a group bear its smallest doc_id, the one with the smallest digest of its text stays, and of equal rows one.
     """
     _prepare(spark)
-    classes = cut(jaccard_join.near_duplicates(docs))
-    others = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("other_id")).distinct()
-    kept = docs.join(others, docs["doc_id"].eqNullSafe(others["other_id"]), "left_anti")
-    repeats = classes.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if repeats.isEmpty():
+    classes = cut(jaccard_join.near_duplicates(docs).where("n_shingles > 0"))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    winners = classes.where(first).groupBy("component_id").agg(F.min("text_key").alias("best_key"), F.count(F.lit(1)).alias("n"))
+    same = F.col("component_id").eqNullSafe(F.col("of_id"))
+    named = classes.join(winners.withColumnRenamed("component_id", "of_id"), same)
+    kept = _without(docs, named.where(~first | (F.col("text_key") != F.col("best_key"))))
+    repeated = cut(winners.where("n > 1").select(F.col("component_id").alias("_id"), F.col("best_key").alias("_key")))
+    if repeated.isEmpty():
         return kept
-    # a doc_id that several rows bear: one row of each text stays
-    again = kept.join(repeats.select(F.col("doc_id").alias("again_id")), F.col("doc_id").eqNullSafe(F.col("again_id")))
-    once = again.select(docs.columns).dropDuplicates(["doc_id", "text"])
-    alone = kept.join(repeats.select(F.col("doc_id").alias("again_id")), F.col("doc_id").eqNullSafe(F.col("again_id")), "left_anti")
-    return alone.unionByName(once)
+    again = F.col("doc_id").eqNullSafe(F.col("_id")) & common.text_key().eqNullSafe(F.col("_key"))
+    once = kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, again, "left_anti").unionByName(once)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a run of ten words of a benchmark item. Null and empty texts stay."""
+    _prepare(spark)
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document; ids are little-endian 32-bit integers.
+
+    A null text is empty: no ids. The digest of the decoded text equals that of the text, which the round trip shows.
+    """
+    _prepare(spark)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe_transducer.round_trip(F.col("text"), path, pattern, with_ids=True)
+    return docs.select("doc_id", both.alias("both")).select("doc_id", "both.*")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", rules),
     ("quality_classifier", quality),
     ("near_duplicates", one_of_each),
+    ("decontamination", no_benchmark),
+    ("token_ids", token_ids),
 ]
 
 # Fitted ratios, hashed sets and token ids are not expressed in SQL; tests/llm compares the stages with brute force.
