@@ -46,7 +46,7 @@ def compare(spark, con, folder, name, fn, sql):
     names, got = rows_of_spark(fn(spark, folder))
     spent = time.time() - start
     if sql is None:
-        return True, f"{name}: {len(got)} rows, no twin, {spent:.1f}s"
+        return False, f"{name}: {len(got)} rows, no twin, {spent:.1f}s"
     start = time.time()
     want_names, want = rows_of_duck(con, sql)
     sql_time = time.time() - start

@@ -56,10 +56,39 @@ def test_merge_across_workspaces_is_refused(spark):
 
 
 def test_merge_chains_and_rings_collapse(spark):
-    table = spark.createDataFrame([(i, "w") for i in range(1, 7)], "content_cluster_id BIGINT, workspace_id STRING")
-    merges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (6, 5)], "source_id BIGINT, target_id BIGINT")
+    table = spark.createDataFrame([(i, "w", 10 if i == 2 else 1) for i in range(1, 11)], "content_cluster_id BIGINT, workspace_id STRING, num_items INT")
+    merges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6), (7, 8), (8, 10), (9, 8)], "source_id BIGINT, target_id BIGINT")
     got = {tuple(r) for r in clusters.collapse_merges(merges, table).collect()}
-    assert got == {(2, 1), (3, 1), (6, 5)}
+    assert got == {(1, 2), (3, 2), (5, 6), (7, 10), (8, 10), (9, 10)}
+
+
+def test_merge_keeps_the_proposed_target(spark):
+    """A cluster of one item joins a larger one with a larger id, whose exemplar stays."""
+    items = spark.createDataFrame(
+        [("w", 1, 5, "a"), ("w", 2, 9, "b"), ("w", 3, 9, "c")], "workspace_id STRING, content_item_id BIGINT, content_cluster_id BIGINT, content STRING"
+    ).withColumns({"raw_created_at": F.expr("timestampadd(DAY, -content_item_id, TIMESTAMP_NTZ '2024-01-01')"), "content_published_date": F.lit(None).cast("timestamp_ntz")})
+    table = spark.createDataFrame(
+        [(5, "w", 1, 1, 0.3, 0.0), (9, "w", 2, 2, 0.0, 0.0)],
+        "content_cluster_id BIGINT, workspace_id STRING, num_items INT, exemplar_item_id BIGINT, priority_score DOUBLE, stress_score DOUBLE",
+    )
+    edges = spark.createDataFrame([("w", 1, 2, 1.9)], "workspace_id STRING, src_id BIGINT, dst_id BIGINT, score DOUBLE")
+    after, left = clusters.merge_pass(table, items, edges)
+    assert {r.content_cluster_id for r in after.collect()} == {9}
+    assert [(r.content_cluster_id, r.exemplar_item_id, r.num_items) for r in left.collect()] == [(9, 2, 3)]
+
+
+def test_a_long_chain_is_placed(spark):
+    n = 66
+    items = spark.createDataFrame([("w", i, 7 if i == 0 else None) for i in range(n)], "workspace_id STRING, content_item_id BIGINT, content_cluster_id BIGINT")
+    edges = spark.createDataFrame([("w", i, i + 1, 1.9) for i in range(n - 1)], "workspace_id STRING, src_id BIGINT, dst_id BIGINT, score DOUBLE")
+    assert {r.content_cluster_id for r in clusters.assign_clusters(items, edges).collect()} == {7}
+
+
+def test_gate_follows_the_rate(spark):
+    rows = spark.range(200_000).select(F.lit("w").alias("workspace_id"), F.when(F.col("id") % 10 == 0, "failed").otherwise("ready").alias("current_state"))
+    gate = lambda **k: aggregates.error_gate(rows, "workspace_id", **k).first().must_stop
+    assert (gate(), gate(most=20_000), gate(most=20_001)) == (False, True, False)
+    assert aggregates.error_gate(rows.where("current_state = 'failed'"), "workspace_id").first().must_stop
 
 
 def test_scores(spark):

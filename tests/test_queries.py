@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.check_oracle import compare, duck
+from trendloom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     ok, line = compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert ok, line

@@ -66,7 +66,8 @@ def test_csv_rows(spark):
     path = _csv(spark, [head, row(1, "text", '"two\nlines, ""quoted"""'), "", "short,row", row(2, "audio", "x"), row(3, "text", "plain") + ",extra"])
     rows = landed.read_tipline_csv(spark, path)
     assert landed.csv_bad_rows(rows).agg(F.sum("total"), F.sum("bad_rows")).first() == (4, 2)
-    items = extract.extract_tipline(landed.csv_items(rows, "w", "s", "q", "r").withColumn("date_id", F.lit(1)))
+    assert sorted(r.line for r in landed.csv_quarantine(rows).collect())[-1] == "short,row"
+    items = extract.extract_tipline(landed.csv_items(rows, "w", "s", "q", "r", most_bad=0.9).withColumn("date_id", F.lit(1)))
     assert [(r["raw_content_id"], r["content"]) for r in items.collect()] == [("1", 'two\nlines, "quoted"')]
 
 
@@ -76,6 +77,19 @@ def test_csv_with_many_bad_rows_is_refused(spark):
         landed.csv_items(landed.read_tweet_csv(spark, path), "w", "s", "q", "r")
 
 
+def test_a_short_csv_of_bad_rows_is_refused_and_kept(spark):
+    rows = landed.read_tweet_csv(spark, _csv(spark, [",".join(landed.TWEET_COLUMNS)] + ["bad,row"] * 90 + [",".join(["x"] * 30)]))
+    with pytest.raises(landed.TooManyBadRows):
+        landed.csv_items(rows, "w", "s", "q", "r")
+    assert landed.csv_quarantine(rows).count() == 90
+
+
+def test_csv_rows_without_id_keep_theirs_when_read_again(spark):
+    path = _csv(spark, [",".join(landed.TWEET_COLUMNS), ",".join(["y"] * 4 + [""] + ["y"] * 25)])
+    first, second = (landed.csv_items(landed.read_tweet_csv(spark, path), "w", "s", "q", "r").first().content_id for _ in range(2))
+    assert first == second is not None
+
+
 def test_pages(spark):
     pages = [json.dumps({"data": [{"id": "a", "x": {"y": 1}}, {"id": "b"}], "meta": {}, "links": {}}), json.dumps({"errors": ["no"]}),
              json.dumps({"data": []}), "junk", json.dumps({"data": [], "links": {}})]

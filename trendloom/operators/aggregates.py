@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.schema import ERROR_CAP, ERROR_RATE, ERROR_RATE_AFTER
+from trendloom.schema import ERROR_RATE, ERROR_RATE_AFTER
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "num_items") -> DataFrame:
@@ -108,11 +108,13 @@ def run_metrics(outcomes: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def error_gate(outcomes: DataFrame, *keys: str) -> DataFrame:
-    """Per key: error count, rate, and whether the run has to stop."""
+def error_gate(outcomes: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
+    """Per key: error count, rate, and whether the run has to stop: by the rate, and by ``most`` errors if that is given."""
     counted = run_metrics(outcomes, *keys)
     rate = F.col("errors") / F.col("items")
-    stop = (F.col("errors") >= ERROR_CAP) | ((F.col("items") > ERROR_RATE_AFTER) & (rate >= ERROR_RATE))
+    stop = (F.col("items") > ERROR_RATE_AFTER) & (rate >= ERROR_RATE)
+    if most is not None:
+        stop = stop | (F.col("errors") >= most)
     return counted.select(*keys, "items", "errors", rate.alias("error_rate"), stop.alias("must_stop"))
 
 
@@ -120,8 +122,8 @@ class ErrorRateExceeded(RuntimeError):
     """Too many items of a stage failed."""
 
 
-def check_gate(outcomes: DataFrame, *keys: str) -> None:
+def check_gate(outcomes: DataFrame, *keys: str, most: int | None = None) -> None:
     """Raise when the gate of any key says stop; one row reaches the driver."""
-    bad = error_gate(outcomes, *keys).where("must_stop").limit(1).collect()
+    bad = error_gate(outcomes, *keys, most=most).where("must_stop").limit(1).collect()
     if bad:
         raise ErrorRateExceeded(str(bad[0].asDict()))

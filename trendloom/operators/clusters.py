@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.operators.aggregates import items_added, recompute_clusters
 from trendloom.operators.ranking import with_running_sum
 from trendloom.operators.similarity import linking_texts
-from trendloom.session import cut, cut_and_measure
+from trendloom.session import cut, cut_and_measure, work_folder
 
 MAX_ROUNDS = 60
 
@@ -87,15 +87,16 @@ def same_text_clusters(items: DataFrame, text: str = "content") -> DataFrame:
     return items.withColumn("k", key).join(first, ["workspace_id", "k"]).drop("k")
 
 
-def assign_clusters(
-    items: DataFrame, edges: DataFrame, recluster: DataFrame | None = None, max_rounds: int = MAX_ROUNDS
-) -> DataFrame:
+def assign_clusters(items: DataFrame, edges: DataFrame, recluster: DataFrame | None = None) -> DataFrame:
     """Cluster of each item, given similar pairs.
 
     ``items`` has (workspace_id, content_item_id, content_cluster_id or null); ``edges`` undirected
     (workspace_id, src_id, dst_id, score). An item without a cluster joins its best neighbour that has one (score, then
     cluster size, then id), until no more can; the rest form new clusters by connected components,
     single items included. Items in ``recluster`` lose their cluster first.
+
+    Each round carries only the items placed in the round before and those that still wait, and writes only what it places;
+    rounds go on until none is placed, as many as the longest chain needs.
     """
     members = items.select("workspace_id", "content_item_id", "content_cluster_id")
     if recluster is not None:
@@ -104,45 +105,51 @@ def assign_clusters(
             "workspace_id", "content_item_id",
             F.when(F.col("again").isNull(), F.col("content_cluster_id")).alias("content_cluster_id"),
         )
+    members = cut(members)
+    unplaced = members.where(F.col("content_cluster_id").isNull()).select("workspace_id", "content_item_id")
     both = edges.select("workspace_id", "src_id", "dst_id", "score").unionByName(
         edges.select("workspace_id", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), "score")
     )
-    ids = members.select("workspace_id", F.col("content_item_id").alias("src_id"))
-    both = cut(both.join(ids, ["workspace_id", "src_id"], "left_semi"))
-    waiting = {"waiting": F.count_if(F.col("content_cluster_id").isNull())}
-    members, before = cut_and_measure(members, **waiting)
-    for _ in range(max_rounds):
-        members, after = cut_and_measure(_join_best(members, both), **waiting)
-        if after == before:
+    both = cut(both.join(unplaced.withColumnRenamed("content_item_id", "src_id"), ["workspace_id", "src_id"], "left_semi"))
+    spark, folder = items.sparkSession, work_folder(items.sparkSession)
+    start = members.where(F.col("content_cluster_id").isNotNull())
+    frontier, placed, n = start, start, 0
+    while True:
+        joined, seen = cut_and_measure(_join_best(frontier, placed, both, n > 0), placed=F.count(F.lit(1)))
+        if not seen["placed"]:
             break
-        before = after
-    else:
-        raise NotConverged(f"items still join clusters after {max_rounds} rounds")
-    return _new_clusters(members, both, max_rounds)
+        joined.write.parquet(f"{folder}/round={n}")
+        added = spark.read.schema(members.schema).parquet(folder).select(*members.columns)
+        frontier, placed, n = joined, start.unionByName(added), n + 1
+    found = placed.select("content_item_id", F.col("content_cluster_id").alias("found"))
+    members = members.join(found, "content_item_id", "left").select(
+        "workspace_id", "content_item_id", F.coalesce("content_cluster_id", "found").alias("content_cluster_id")
+    )
+    return _new_clusters(cut(members), both)
 
 
-def _join_best(members: DataFrame, edges: DataFrame) -> DataFrame:
-    placed = members.where(F.col("content_cluster_id").isNotNull())
-    sizes = placed.groupBy("content_cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
-    target = placed.select("workspace_id", F.col("content_item_id").alias("dst_id"), "content_cluster_id")
-    waiting = members.where(F.col("content_cluster_id").isNull()).select(
-        "workspace_id", F.col("content_item_id").alias("src_id")
-    )
-    offers = edges.join(waiting, ["workspace_id", "src_id"], "left_semi").join(target, ["workspace_id", "dst_id"])
-    offers = offers.join(sizes, "content_cluster_id")
-    best = offers.groupBy("workspace_id", F.col("src_id").alias("content_item_id")).agg(
-        F.max(F.struct("score", "cluster_size", "dst_id", "content_cluster_id"))["content_cluster_id"].alias("found")
-    )
-    return members.join(best, ["workspace_id", "content_item_id"], "left").select(
-        "workspace_id", "content_item_id", F.coalesce("content_cluster_id", "found").alias("content_cluster_id")
+def _join_best(frontier: DataFrame, placed: DataFrame, edges: DataFrame, later: bool) -> DataFrame:
+    """Waiting items next to the frontier, each with the cluster of its best neighbour there.
+
+    A waiting item has no placed neighbour but those of the frontier, or it would have been placed before.
+    """
+    target = frontier.select("workspace_id", F.col("content_item_id").alias("dst_id"), "content_cluster_id")
+    offers = edges.join(target, ["workspace_id", "dst_id"])
+    if later:
+        offers = offers.join(placed.select("workspace_id", F.col("content_item_id").alias("src_id")), ["workspace_id", "src_id"], "left_anti")
+    wanted = offers.select("content_cluster_id").distinct()
+    sizes = placed.join(wanted, "content_cluster_id", "left_semi").groupBy("content_cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    best = F.max(F.struct("score", "cluster_size", "dst_id", "content_cluster_id"))["content_cluster_id"]
+    return offers.join(sizes, "content_cluster_id").groupBy("workspace_id", F.col("src_id").alias("content_item_id")).agg(
+        best.alias("content_cluster_id")
     )
 
 
-def _new_clusters(members: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+def _new_clusters(members: DataFrame, edges: DataFrame) -> DataFrame:
     waiting = members.where(F.col("content_cluster_id").isNull()).select("workspace_id", "content_item_id")
     inside = edges.join(waiting.withColumnRenamed("content_item_id", "src_id"), ["workspace_id", "src_id"], "left_semi")
     inside = inside.join(waiting.withColumnRenamed("content_item_id", "dst_id"), ["workspace_id", "dst_id"], "left_semi")
-    groups = connected_components(inside, max_rounds)
+    groups = connected_components(inside)
     named = waiting.join(groups, ["workspace_id", "content_item_id"], "left").withColumn(
         "new_id", F.coalesce("group_id", "content_item_id")
     )
@@ -216,11 +223,19 @@ def check_same_workspace(merges: DataFrame, clusters: DataFrame) -> DataFrame:
     return joined.select("source_id", checked.alias("target_id"))
 
 
-def proposed_merges(clusters: DataFrame, items: DataFrame, edges: DataFrame, n: int = 1000) -> DataFrame:
-    """For the clusters of highest priority: the best similar item of the exemplar in another cluster."""
-    from trendloom.operators.ranking import both_ways, top_priority
+def _looked_at(clusters: DataFrame, n: int | None) -> DataFrame:
+    """Clusters with priority: all of them, or the ``n`` of each workspace that come first."""
+    if n is None:
+        return clusters.where(F.col("priority_score") > 0.0)
+    place = F.row_number().over(Window.partitionBy("workspace_id").orderBy(F.desc("priority_score"), "content_cluster_id"))
+    return clusters.where(F.col("priority_score") > 0.0).withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+
+def proposed_merges(clusters: DataFrame, items: DataFrame, edges: DataFrame, n: int | None = None) -> DataFrame:
+    """For the clusters with priority: the best similar item of the exemplar in another cluster."""
+    from trendloom.operators.ranking import both_ways
 
-    first = top_priority(clusters, n).select("content_cluster_id", F.col("exemplar_item_id").alias("src_id"))
+    first = _looked_at(clusters, n).select("content_cluster_id", F.col("exemplar_item_id").alias("src_id"))
     owner = items.where(F.col("content_cluster_id").isNotNull()).select(
         F.col("content_item_id").alias("dst_id"), F.col("content_cluster_id").alias("target_id")
     )
@@ -232,25 +247,34 @@ def proposed_merges(clusters: DataFrame, items: DataFrame, edges: DataFrame, n:
 
 
 def collapse_merges(merges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Chains and rings of merges brought to one target each: the smallest cluster id."""
+    """Chains of merges brought to their last target.
+
+    A source has one target, so clusters that merges connect have either one target that goes nowhere itself, and all go there,
+    or a ring; then they go to the largest of the targets, of equal ones to the smallest id.
+    """
     home = clusters.select(F.col("content_cluster_id").alias("source_id"), "workspace_id")
     edges = merges.join(home, "source_id").select(
         "workspace_id", F.col("source_id").alias("src_id"), F.col("target_id").alias("dst_id")
     )
-    groups = connected_components(edges)
-    return groups.where(F.col("content_item_id") != F.col("group_id")).select(
-        F.col("content_item_id").alias("source_id"), F.col("group_id").alias("target_id")
-    )
+    groups = cut(connected_components(edges).select(F.col("content_item_id").alias("id"), "group_id"))
+    targets = merges.select(F.col("target_id").alias("id")).distinct()
+    moving = merges.select(F.col("source_id").alias("id"), F.lit(True).alias("moves"))
+    sizes = clusters.select(F.col("content_cluster_id").alias("id"), "num_items")
+    ends = groups.join(targets, "id", "left_semi").join(moving, "id", "left").join(sizes, "id", "left")
+    first = F.min(F.struct(F.coalesce("moves", F.lit(False)).alias("moves"), (-F.coalesce("num_items", F.lit(0))).alias("size"), "id"))
+    chosen = ends.groupBy("group_id").agg(first["id"].alias("target_id"))
+    return groups.join(chosen, "group_id").where(F.col("id") != F.col("target_id")).select(F.col("id").alias("source_id"), "target_id")
 
 
-def merge_pass(clusters: DataFrame, items: DataFrame, edges: DataFrame, n: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """One merge pass: (items, clusters) after it. Looked-at clusters without a match get priority 0."""
-    from trendloom.operators.ranking import top_priority
+def merge_pass(clusters: DataFrame, items: DataFrame, edges: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One merge pass over all clusters with priority, or the first ``n`` of each workspace: (items, clusters) after it.
 
+    Looked-at clusters without a match get priority 0.
+    """
     proposed = cut(proposed_merges(clusters, items, edges, n))
-    merges = collapse_merges(check_same_workspace(proposed, clusters), clusters)
+    merges = cut(collapse_merges(check_same_workspace(proposed, clusters), clusters))
     after = merge_clusters(items, merges)
-    looked = top_priority(clusters, n).select("content_cluster_id", F.lit(True).alias("looked"))
+    looked = _looked_at(clusters, n).select("content_cluster_id", F.lit(True).alias("looked"))
     matched = proposed.select(F.col("source_id").alias("content_cluster_id"), F.lit(True).alias("matched"))
     scores = clusters.select("content_cluster_id", "stress_score", "priority_score")
     scores = scores.join(looked, "content_cluster_id", "left").join(matched, "content_cluster_id", "left")

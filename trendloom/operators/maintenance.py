@@ -14,8 +14,8 @@ Tables = dict[str, DataFrame]
 
 
 def insert_absent(items: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows whose natural key is not stored yet."""
-    return match_existing(incoming, items, [], "left_anti")
+    """Incoming rows whose natural key is not stored yet, one winner of each key."""
+    return match_existing(dedup_winner(incoming), items, [], "left_anti").select(*incoming.columns)
 
 
 def split_incoming(items: DataFrame, incoming: DataFrame, force: bool = False) -> DataFrame:

@@ -201,7 +201,8 @@ def sample_percent(df: DataFrame, percent: float, seed: int = 42, by: str | None
     """Repeatable sample; with ``by`` it does not depend on the file layout."""
     if by is None:
         return df.sample(percent / 100, seed=seed)
-    slot = F.pmod(F.xxhash64(F.lit(seed), by), F.lit(10000))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string")))
+    slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10000
     return df.where(slot < percent * 100)
 
 

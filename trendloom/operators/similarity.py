@@ -31,12 +31,13 @@ ROUNDING = 1e-9
 
 
 def text_key(text: str = "content") -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+    """Equal for equal texts; null for null, which is a copy of nothing."""
+    return F.sha2(text, 256)
 
 
 def copies(items: DataFrame, key: Column) -> DataFrame:
-    """Each item with the representative (smallest id) of the items that share its key in its workspace."""
-    return _with_representative(cut(items.select("workspace_id", "content_item_id", key.alias("copy_key"))))
+    """Each item with the representative (smallest id) of the items that share its key in its workspace; items without a key are left out."""
+    return _with_representative(cut(items.select("workspace_id", "content_item_id", key.alias("copy_key")).where("copy_key IS NOT NULL")))
 
 
 def _with_representative(keyed: DataFrame) -> DataFrame:
@@ -102,10 +103,16 @@ def rare_prefix(weights: DataFrame, threshold: float) -> DataFrame:
         "workspace_id", "term", "df", "content_item_id",
         (F.col("weight") / F.sqrt("norm2")).alias("part"),
         F.sqrt(F.col("rest2") / F.col("norm2")).alias("share"),
-        F.sqrt((F.col("rest2") - square) / F.col("norm2")).alias("after"),
+        F.sqrt((F.col("rest2") - square) / F.col("norm2")).alias("after"), F.col("norm2").alias("size"),
     )
 
 
+def _sizes_fit(threshold: float) -> Column:
+    """Sets of n and m words have a cosine of at most sqrt(n / m), n the smaller."""
+    small, large = F.least("src_size", "dst_size"), F.greatest("src_size", "dst_size")
+    return small >= threshold * threshold * (1 - ROUNDING) * large
+
+
 def _meet(left: DataFrame, right: DataFrame, slice_rows: int, condition: Column) -> DataFrame:
     """One row per prefix word that two items share.
 
@@ -147,31 +154,23 @@ def _promising(met: DataFrame, threshold: float) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """Cosine of each candidate pair from the words both items have; whole-number sums are exact."""
+    """Cosine of the word sets of each candidate pair.
+
+    Each item of a pair carries its words as one array, so that scoring is two joins by id and one intersection in the row.
+    """
     pairs = cut(pairs)
     both = pairs.select("workspace_id", F.col("src_id").alias("content_item_id")).unionByName(
         pairs.select("workspace_id", F.col("dst_id").alias("content_item_id"))
     )
-    w = weights.select("workspace_id", "content_item_id", "term", "weight")
-    w = w.join(both.distinct(), ["workspace_id", "content_item_id"], "left_semi")
-    norms = w.groupBy("workspace_id", "content_item_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
-    src = w.select("workspace_id", F.col("content_item_id").alias("src_id"), "term", F.col("weight").alias("src_weight"))
-    dst = w.select("workspace_id", F.col("content_item_id").alias("dst_id"), "term", F.col("weight").alias("dst_weight"))
-    dots = (
-        src.join(pairs, ["workspace_id", "src_id"])
-        .join(dst, ["workspace_id", "dst_id", "term"])
-        .groupBy("workspace_id", "src_id", "dst_id")
-        .agg(F.sum(F.col("src_weight") * F.col("dst_weight")).alias("dot"))
-    )
-    for side in ("src", "dst"):
-        dots = dots.join(
-            norms.select("workspace_id", F.col("content_item_id").alias(f"{side}_id"), F.col("norm2").alias(f"{side}_norm2")),
-            ["workspace_id", f"{side}_id"],
-        )
-    cos = F.col("dot") / (F.sqrt("src_norm2") * F.sqrt("dst_norm2"))
-    return dots.withColumn("cos", cos).where(F.col("cos") >= threshold).select(
-        "workspace_id", "src_id", "dst_id", (1 + F.col("cos")).alias("score")
-    )
+    key = ["workspace_id", "content_item_id"]
+    words = weights.select(*key, "term").join(both.distinct(), key, "left_semi").groupBy(*key).agg(F.collect_set("term").alias("words"))
+    words = cut(words)
+    src = words.select("workspace_id", F.col("content_item_id").alias("src_id"), F.col("words").alias("src_words"))
+    dst = words.select("workspace_id", F.col("content_item_id").alias("dst_id"), F.col("words").alias("dst_words"))
+    met = pairs.join(src, ["workspace_id", "src_id"]).join(dst, ["workspace_id", "dst_id"])
+    cos = F.size(F.array_intersect("src_words", "dst_words")) / (F.sqrt(F.size("src_words")) * F.sqrt(F.size("dst_words")))
+    scored = met.select("workspace_id", "src_id", "dst_id", cos.alias("cos"))
+    return scored.where(F.col("cos") >= threshold).select("workspace_id", "src_id", "dst_id", (1 + F.col("cos")).alias("score"))
 
 
 def pairs_from_weights(weights: DataFrame, threshold: float, slice_rows: int = POSTING_SLICE) -> DataFrame:
@@ -179,7 +178,7 @@ def pairs_from_weights(weights: DataFrame, threshold: float, slice_rows: int = P
     _check(threshold)
     weights = cut(weights)
     prefix = rare_prefix(weights, threshold)
-    once = F.col("src_content_item_id") < F.col("dst_content_item_id")
+    once = (F.col("src_content_item_id") < F.col("dst_content_item_id")) & _sizes_fit(threshold)
     return score_pairs(_promising(_meet(prefix, prefix, slice_rows, once), threshold), weights, threshold)
 
 
@@ -192,7 +191,7 @@ def similar_texts(items: DataFrame, threshold: float, text: str = "content", sli
     return pairs_from_weights(word_sets(texts, text), threshold, slice_rows)
 
 
-def _meet_across(frequent: DataFrame, near: DataFrame, components, slice_rows: int) -> DataFrame:
+def _meet_across(frequent: DataFrame, near: DataFrame, components, slice_rows: int, threshold: float) -> DataFrame:
     """Shared words of items that ``near`` does not connect: per word, the items outside its largest
     group meet each other and that group."""
     key = ["workspace_id", "term"]
@@ -205,7 +204,7 @@ def _meet_across(frequent: DataFrame, near: DataFrame, components, slice_rows: i
     inside = F.col("group_id") == F.col("largest_group")
     columns = [*frequent.columns, "group_id"]
     few, rest = grouped.where(~inside).select(*columns), grouped.where(inside).select(*columns)
-    across = F.col("src_group_id") != F.col("dst_group_id")
+    across = (F.col("src_group_id") != F.col("dst_group_id")) & _sizes_fit(threshold)
     once = across & (F.col("src_content_item_id") < F.col("dst_content_item_id"))
     return _meet(few, few, slice_rows, once).unionByName(_meet(few, rest, slice_rows, across))
 
@@ -231,10 +230,10 @@ def linking_texts(items: DataFrame, threshold: float, components, text: str = "c
         "workspace_id", F.col("leader.content_item_id").alias("src_id"), F.col("content_item_id").alias("dst_id")
     ).distinct()
     near = cut(score_pairs(first, weights, threshold))
-    once = F.col("src_content_item_id") < F.col("dst_content_item_id")
+    once = (F.col("src_content_item_id") < F.col("dst_content_item_id")) & _sizes_fit(threshold)
     rare = prefix.where(F.col("df") <= LARGE_POSTING)
     met = _meet(rare, rare, slice_rows, once).unionByName(
-        _meet_across(frequent, near, components, slice_rows) if near.take(1) else _meet(frequent, frequent, slice_rows, once)
+        _meet_across(frequent, near, components, slice_rows, threshold) if near.take(1) else _meet(frequent, frequent, slice_rows, once)
     )
     more = _promising(met, threshold)
     behind = members.where(F.col("rep_id") != F.col("content_item_id"))

@@ -287,7 +287,7 @@ oracle("ingest_status", """SELECT workspace_id, 'junkipedia' AS source_id, count
   count(*) FILTER (NOT bad) AS loaded FROM status GROUP BY ALL""", STATUS)
 oracle("error_gate", """
 SELECT workspace_id, items, errors, round(errors / items, 6) AS error_rate,
-  errors >= 9999 OR (items > 100 AND errors / items >= 0.25) AS must_stop
+  items > 100 AND errors / items >= 0.25 AS must_stop
 FROM (SELECT workspace_id, count(*) AS items, count(*) FILTER (bad) AS errors FROM status GROUP BY ALL)""", STATUS)
 oracle("page_flatten", """
 SELECT 'ws0' AS workspace_id, 'q0' AS query_id, conv_id * 1000 + turn // 100 AS page_id,
@@ -331,7 +331,8 @@ WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE {same} AND NOT ({replaceable}))""
 ORACLES["upsert_items"] = f"WITH {LOADS}" + _upsert(
     "current_state = 'failed', CASE WHEN current_state = 'failed' THEN -arrival ELSE arrival END", "s.current_state = 'failed'")
 ORACLES["upsert_items_forced"] = f"WITH {LOADS}" + _upsert("arrival DESC", "true")
-oracle("insert_absent", """SELECT content_item_id, raw_content_id FROM incoming w WHERE NOT EXISTS (SELECT 1 FROM stored s
+oracle("insert_absent", """SELECT content_item_id, raw_content_id FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, raw_content_id, source_field
+  ORDER BY current_state = 'failed', CASE WHEN current_state = 'failed' THEN -arrival ELSE arrival END) AS place FROM incoming) w WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM stored s
 WHERE s.workspace_id = w.workspace_id AND s.raw_content_id = w.raw_content_id AND s.source_field IS NOT DISTINCT FROM w.source_field)""", LOADS)
 oracle("delete_items", """
 SELECT 'items' AS name, count(*) AS num_rows FROM item WHERE content_item_id NOT IN (SELECT content_item_id FROM toxic_doc)
@@ -530,3 +531,31 @@ walk(run_id, n, state, end_ts, done_ts) AS (
     LEFT JOIN run_allowed a ON a.from_state = w.state AND a.to_state = e.to_state)""", recursive=True)
 oracle("stream_clusters", "SELECT vec_id AS content_item_id, coalesce(root, vec_id) AS content_cluster_id FROM embeddings LEFT JOIN component ON id = vec_id",
        "vector", "pair", "link AS (SELECT src_id AS a, dst_id AS b FROM pair UNION ALL SELECT dst_id, src_id FROM pair)", _components("link"), recursive=True)
+oracle("sample_items", """SELECT content_item_id FROM item
+WHERE CAST(concat('0x', substr(md5(concat('42:', content_item_id)), 1, 8)) AS BIGINT) % 10000 < 1000""", "item")
+oracle("merge_pass", """
+SELECT vec_id AS content_item_id, coalesce(target, home) AS content_cluster_id
+FROM vec LEFT JOIN component ON component.id = home LEFT JOIN final ON final.root = component.root""",
+       "vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, ((label % 5) + 5) % 5 * 1000 + vec_id % 97 AS home FROM embeddings)",
+       "home_cluster AS (SELECT home, count(*) AS n, min(vec_id) AS exemplar FROM vec GROUP BY home)",
+       f"""offer AS (
+  SELECT c.home AS source, o.home AS target, o.vec_id AS dst, list_cosine_similarity(e.v, o.v) AS score, t.n
+  FROM home_cluster c JOIN vec e ON e.vec_id = c.exemplar JOIN vec o ON o.home <> c.home JOIN home_cluster t ON t.home = o.home
+  WHERE c.home % 4 <> 0 AND list_cosine_similarity(e.v, o.v) >= {VECTOR_THRESHOLD})""",
+       "best AS (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, n DESC, dst DESC) AS r FROM offer) WHERE r = 1)",
+       "merge_link AS (SELECT source AS a, target AS b FROM best UNION SELECT target, source FROM best)", _components("merge_link"),
+       """final AS (SELECT root, id AS target FROM (
+  SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY id IN (SELECT source FROM best), n DESC, id) AS r
+  FROM component JOIN home_cluster ON home = id WHERE id IN (SELECT target FROM best)) WHERE r = 1)""", recursive=True)
+oracle("assign_clusters", """
+SELECT content_item_id, coalesce(placed.origin, component.root, content_item_id) AS content_cluster_id
+FROM vector LEFT JOIN placed ON placed.id = content_item_id LEFT JOIN component ON component.id = content_item_id""",
+       "vector", "pair", BOTH,
+       """step(id, k) AS (SELECT content_item_id, 0 FROM vector WHERE label = 0
+  UNION SELECT src_id, k + 1 FROM step JOIN both_ways ON dst_id = id WHERE k < 40)""",
+       "layer AS (SELECT id, min(k) AS k FROM step GROUP BY id)",
+       """parent AS (SELECT id, parent FROM (SELECT l.id, dst_id AS parent, row_number() OVER (PARTITION BY l.id ORDER BY score DESC, dst_id DESC) AS r
+  FROM layer l JOIN both_ways ON src_id = l.id JOIN layer m ON m.id = dst_id AND m.k = l.k - 1) WHERE r = 1)""",
+       "placed(id, origin) AS (SELECT id, id FROM layer WHERE k = 0 UNION ALL SELECT p.id, origin FROM parent p JOIN placed ON placed.id = p.parent)",
+       "rest_link AS (SELECT src_id AS a, dst_id AS b FROM both_ways WHERE src_id NOT IN (SELECT id FROM layer) AND dst_id NOT IN (SELECT id FROM layer))",
+       _components("rest_link"), recursive=True)

@@ -94,7 +94,7 @@ LIVE_DAYS = {"base": 1}
 RETRY_CAP = 100
 IN_FLIGHT_SECONDS = 10
 CLASSIFY_IN_FLIGHT_SECONDS = {"hashtaged": 120}
-ERROR_CAP, ERROR_RATE, ERROR_RATE_AFTER = 9999, 0.25, 100
+ERROR_RATE, ERROR_RATE_AFTER = 0.25, 100
 PAYLOAD_BYTES = 256000
 
 

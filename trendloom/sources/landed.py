@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from trendloom.functions.values import has_path, json_path, parse_callback, parse_keywords, parse_similarity
 from trendloom.session import cut
 
-# Column names of the two CSV exports and the bad-row limit per 1000 rows.
+# Column names of the two CSV exports.
 TWEET_COLUMNS = [
     "author_id", "conversation_id", "created_at", "edit_history_tweet_ids", "id", "lang", "possibly_sensitive",
     "referenced_tweets", "text", "entities.urls", "public_metrics.impression_count", "public_metrics.like_count",
@@ -23,7 +23,7 @@ TIPLINE_COLUMNS = [
     "requests_count", "last_submitted_at", "webhook_url", "last_called_webhook_at", "subscriptions_count",
     "fact_checked_by_count", "project_medias_count", "quote", "type", "file",
 ]
-BAD_ROWS, BAD_ROWS_OF = 100, 1000
+BAD_ROW_RATE = 0.1  # share of a file's rows
 
 
 class TooManyBadRows(RuntimeError):
@@ -87,15 +87,19 @@ def csv_bad_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def csv_items(rows: DataFrame, workspace_id: str, source_id: str, query_id: str, run_id: str, id_column: str = "id") -> DataFrame:
+def csv_quarantine(rows: DataFrame) -> DataFrame:
+    """The rows of the wrong width as they stand in their files."""
+    return rows.where(F.col("_corrupt_record").isNotNull()).select("file", F.col("_corrupt_record").alias("line"))
+
+
+def csv_items(rows: DataFrame, workspace_id: str, source_id: str, query_id: str, run_id: str, id_column: str = "id", most_bad: float = BAD_ROW_RATE) -> DataFrame:
     """CSV rows of the right width as raw items with the row as JSON payload.
 
-    The export is refused when a file has bad rows at or above the limit rate.
+    The export is refused when bad rows make up the limit rate of a file, whatever its length; ``csv_quarantine`` has them.
+    A row without id gets one made from its payload, so that it is the same when the export is read again.
     """
-    over = csv_bad_rows(rows).where(
-        (F.col("bad_rows") >= BAD_ROWS) & (F.col("bad_rows") * BAD_ROWS_OF >= F.col("total") * BAD_ROWS)
-    )
-    refused = over.limit(1).collect()
+    over = csv_bad_rows(rows).where(F.col("bad_rows") >= F.col("total") * most_bad)
+    refused = over.where(F.col("bad_rows") > 0).limit(1).collect()
     if refused:
         raise TooManyBadRows(str(refused[0].asDict()))
     columns = [c for c in rows.columns if c not in ("_corrupt_record", "file")]
@@ -105,7 +109,7 @@ def csv_items(rows: DataFrame, workspace_id: str, source_id: str, query_id: str,
         F.lit(run_id).alias("run_id"), F.lit(workspace_id).alias("workspace_id"), F.lit(source_id).alias("source_id"),
         F.lit(query_id).alias("query_id"), F.lit(None).cast("string").alias("page_id"),
         F.date_format(F.now(), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"),
-        F.coalesce(f"`{id_column}`", F.uuid()).alias("content_id"), payload.alias("content"),
+        F.coalesce(f"`{id_column}`", F.sha2(payload, 256)).alias("content_id"), payload.alias("content"),
     )
 
 
