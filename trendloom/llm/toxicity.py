@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -142,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, seed: int = SEED
     """A model of ``toxic``, learned from at most ``size`` labelled documents outside fold 0.
 
     Which ones is drawn by hash, a third at most with label 1; the bias is then moved to the share that label has in all of
-    ``labels``. A doc_id labelled both ways counts as toxic, one that several rows bear gives its smallest text. Only these
-    texts reach the driver, one after the other, and of them it keeps the words.
+    ``labels``. A doc_id labelled both ways counts as toxic, one that several rows bear gives its smallest text. These texts go
+    to one task, which sends the model to the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
     one = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
@@ -151,17 +151,31 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, seed: int = SEED
     drawn = one.withColumn("_draw", F.xxhash64("doc_id", F.lit(seed)))
     chosen = [drawn.where(F.col("toxic") == k).orderBy("_draw", "doc_id").limit(n).select("doc_id", "toxic") for k, n in ((1, size // 3), (0, size - size // 3))]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # two numbers a row, at most ``size`` rows
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id")
-    seen = [0, 0]
-
-    def rows() -> Iterable[tuple[str, int]]:
-        for row in texts.toLocalIterator():
-            seen[row["toxic"]] += 1
-            yield row["text"], row["toxic"]
-
-    model = train(rows(), seed)
-    if all(seen) and 0 < toxic < total:
-        model.bias += float(np.log(toxic / (total - toxic)) - np.log(seen[1] / seen[0]))
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [0, 0]
+
+        def rows() -> Iterator[tuple[str, int]]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    seen[row["toxic"]] += 1
+                    yield row["text"], row["toxic"]
+
+        model = train(rows(), seed)
+        words = list(model.weights)
+        yield pa.RecordBatch.from_pydict({
+            "shares": [model.shares.astype("<f4").tobytes()], "words": [words], "weights": [[model.weights[w] for w in words]],
+            "bias": [model.bias], "good": [seen[0]], "toxic": [seen[1]],
+        })
+
+    one_task = texts.repartition(1).sortWithinPartitions("doc_id").select("text", F.col("toxic").cast("int"))
+    row = one_task.mapInArrow(learn, "shares binary, words array<string>, weights array<double>, bias double, good long, toxic long").first()
+    if row is None:
+        return train([])
+    model = Model(np.frombuffer(bytes(row.shares), "<f4"), dict(zip(row.words, row.weights, strict=True)), row.bias)
+    if row.good and row.toxic and 0 < toxic < total:
+        model.bias += float(np.log(toxic / (total - toxic)) - np.log(row.toxic / row.good))
     return model
 
 
