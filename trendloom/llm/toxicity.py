@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 SAMPLE = 8_000  # labelled rows that the model is fitted on; at most a third of them toxic
-EPOCHS = 10
+EPOCHS = 6
 BATCH = 32
 RATE = 1.0
 SMOOTH = 1e-3  # a word as frequent as this counts half
