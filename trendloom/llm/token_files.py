@@ -17,10 +17,12 @@ from trendloom.session import cut, cut_and_measure
 LENGTH = 2048  # ids of a sequence
 ROWS = 64  # sequences of a record batch
 WORDS = 500_000  # encoded words held at a time
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
-    """Ids by a tokenizer that drops white space, so that a text's ids are those of its words one after the other.
+    """Ids by a tokenizer that drops white space and cuts words where letters, digits and other characters meet, so that a text's
+    ids are those of its words one after the other, and a word's those of its letters and of the punctuation after them.
 
     Each word goes through the tokenizers library once while it is held.
     """
@@ -32,17 +34,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(found.ids, self.kind).tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters alone, as one text: each ends with its first id that ends a word, if there are as many ends as words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._each(words)
+        flat, size = ids.tobytes(), self.kind.itemsize
+        borders = [0, *(ends * size).tolist()]
+        self.known.update(zip(words, (flat[x:y] for x, y in zip(borders, borders[1:], strict=False)), strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        parts = {}
+        for word in words:
+            letters = word.rstrip(PUNCTUATION)
+            if letters != word and letters.isalpha():
+                parts[word] = (letters, word[len(letters) :])
+        needed = (words - parts.keys()) | {part for pair in parts.values() for part in pair if part not in self.known}
+        letters = [word for word in needed if word.isalpha()]
+        self._each([word for word in needed if not word.isalpha()])
+        for i in range(0, len(letters), 1000):
+            self._letters(letters[i : i + 1000])
+        for word, (first, rest) in parts.items():
+            self.known[word] = self.known[first] + self.known[rest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text, little-endian, of the width of ``kind``."""
         if len(self.known) > WORDS:
             self.known.clear()
-        known = self.known
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list({word for words in split for word in words if word not in known})
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        new = {word for words in split for word in words if word not in self.known}
+        if new:
+            self._learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -50,9 +83,9 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    """``ids`` and ``mask`` (1 where ``ids`` holds an id, 0 in the fill at the end of a file)."""
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, kind: np.dtype) -> pa.Schema:
+    """``ids`` (16 bits wide where the vocabulary allows it) and ``mask`` (true where ``ids`` holds an id, not the fill at a file's end)."""
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -61,12 +94,10 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 def _sequences(ids: np.ndarray, length: int) -> pa.RecordBatch:
     """Ids as rows of ``length``, the last one filled up."""
     rows = -(-len(ids) // length)
-    full = np.zeros(rows * length, np.uint32)
+    full = np.zeros(rows * length, ids.dtype)
     full[: len(ids)] = ids
-    mask = np.zeros(rows * length, np.uint8)
-    mask[: len(ids)] = 1
-    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (full, mask)]
-    return pa.RecordBatch.from_arrays(lists, schema=sequence_schema(length))
+    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (full, np.arange(len(full)) < len(ids))]
+    return pa.RecordBatch.from_arrays(lists, schema=sequence_schema(length, ids.dtype))
 
 
 def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, length: int = LENGTH) -> DataFrame:
@@ -86,7 +117,8 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
         from pyspark import TaskContext
 
         encoder, task = _encoder(tokenizer), TaskContext.get()
-        end = np.array([end_id], "<u4").tobytes()
+        kind = encoder.kind
+        end = np.array([end_id], kind).tobytes()
         system, root = shared_files(folder)
         path, n_docs, n_ids = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}", 0, 0
         held, size, files = [], 0, None
@@ -96,23 +128,23 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
             if files is None:
                 system.create_dir(root, recursive=True)
                 streams = system.open_output_stream(f"{path}.arrow"), system.open_output_stream(f"{path}.index.arrow")
-                files = pa.ipc.new_file(streams[0], sequence_schema(length)), pa.ipc.new_file(streams[1], INDEX)
+                files = pa.ipc.new_file(streams[0], sequence_schema(length, kind)), pa.ipc.new_file(streams[1], INDEX)
             encoded = [ids + end for ids in encoder.encode([t or "" for t in drop_from(batch, "text").to_pylist()])]
-            counts = np.array([len(ids) // 4 for ids in encoded], np.int64)
+            counts = np.array([len(ids) // kind.itemsize for ids in encoded], np.int64)
             starts = n_ids + np.concatenate([[0], np.cumsum(counts)[:-1]])
             files[1].write(pa.RecordBatch.from_arrays([drop_from(batch, "doc_id").cast(pa.int64()), pa.array(starts), pa.array(counts)], schema=INDEX))
             n_docs, n_ids = n_docs + len(encoded), n_ids + int(counts.sum())
             held += encoded
             size += int(counts.sum())
             if size >= length * ROWS:
-                ids = np.frombuffer(b"".join(held), "<u4")
+                ids = np.frombuffer(b"".join(held), kind)
                 whole = len(ids) // (length * ROWS) * length * ROWS
                 for i in range(0, whole, length * ROWS):
                     files[0].write(_sequences(ids[i : i + length * ROWS], length))
                 held, size = [ids[whole:].tobytes()], len(ids) - whole
         if files is not None:
             if size:
-                files[0].write(_sequences(np.frombuffer(b"".join(held), "<u4"), length))
+                files[0].write(_sequences(np.frombuffer(b"".join(held), kind), length))
             for file, stream in zip(files, streams, strict=True):
                 file.close()
                 stream.close()
@@ -128,18 +160,18 @@ def opened(system, path: str) -> pa.ipc.RecordBatchFileReader:
     return pa.ipc.open_file(pa.memory_map(path) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(path))
 
 
-def sequence(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Ids and mask of sequence ``i`` of an opened file, as views of it: all batches but the last have ``ROWS`` sequences."""
     batch = reader.get_batch(i // ROWS)
     length = batch.schema.field("ids").type.list_size
-    at = slice(i % ROWS * length, (i % ROWS + 1) * length)
-    return tuple(batch.column(c).flatten().to_numpy()[at] for c in (0, 1))
+    ids, mask = (batch.column(c).flatten().slice(i % ROWS * length, length) for c in (0, 1))
+    return ids.to_numpy(), mask
 
 
 def documents_in(system, path: str) -> Iterator[pa.RecordBatch]:
     """(doc_id, start, n_tokens, ids_crc32) of the documents of one file, batch after batch of its index."""
     reader, index = opened(system, f"{path}.arrow"), opened(system, f"{path}.index.arrow")
-    batch, ids, first = -1, np.zeros(0, np.uint32), 0  # ids [first, first + len(ids)) of the file
+    batch, ids, first = -1, np.zeros(0, np.uint16), 0  # ids [first, first + len(ids)) of the file
 
     for k in range(index.num_record_batches):
         part = index.get_batch(k)
@@ -151,8 +183,8 @@ def documents_in(system, path: str) -> Iterator[pa.RecordBatch]:
                     first += len(ids)
                     batch += 1
                     rows = reader.get_batch(batch)
-                    values, mask = (rows.column(c).flatten().to_numpy() for c in (0, 1))
-                    ids = values[: int(mask.sum())]
+                    values, mask = (rows.column(c).flatten() for c in (0, 1))
+                    ids = values.to_numpy()[: mask.true_count]
                 piece = ids[at - first : int(start + n) - first]
                 crc = zlib.crc32(np.ascontiguousarray(piece, "<u4"), crc)
                 at += len(piece)
