@@ -279,7 +279,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     counts = said.groupBy("host", "n.node", "n.inside").agg(F.count(F.lit(1)).alias("n"))
     share = F.when(F.col("inside"), CONSTANT_INSIDE).otherwise(CONSTANT)
     constant = counts.join(pivots.select("of", "pages"), F.col("host") == F.col("of")).where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), share * F.col("pages")))
-    templates = constant.groupBy(F.col("host").alias("of")).agg(F.collect_set("node").alias("template"))
+    # written, so that Spark knows its size before it deals out the pages
+    templates = cut(constant.groupBy(F.col("host").alias("of")).agg(F.collect_set("node").alias("template")))
 
     marked = found.join(templates, F.col("host") == F.col("of"), "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
     content = F.filter("blocks", lambda b: ~b.other)
