@@ -179,3 +179,13 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
     """
     records = cut(read_records(write_archives(pages, folder), folder))
     return resolved(captures(records))
+
+
+# The DuckDB twin of ``archived`` over ``pages``, for distinct ids; base32 takes five bits at a time from the hexadecimal digest.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST(concat('0x', substr(x, i // 4 * 5 + 1, 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
+FROM p"""
