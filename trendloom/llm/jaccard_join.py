@@ -18,7 +18,7 @@ SHINGLE = 5
 LEAST = 80  # per cent of the union that two sets must share
 FREQUENT = 1 << 17  # shingles whose counts settle the order; all others come before them
 SMALL = 16  # rows of a token that are compared with each other right away
-TILE = 256  # rows of one side of a tile
+TILE = 2048  # rows of one side of a tile
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -80,8 +80,9 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(row, doc_id, text_key, set_key, n_shingles, prefix, bits) of every row of ``docs``, written to the shared folder.
+    """(row, doc_id, text_key, set_key, n_shingles, rare, prefix, bits) of every row of ``docs``, written to the shared folder.
 
+    ``rare`` counts the shingles that are not among the frequent ones: few in a text that its near copies were made from.
     ``prefix`` holds the shingles, rarest first, of which two texts must share one if they link: a set of n shares at least
     0.8 n with any partner, so all but 0.8 n - 1 of its shingles are enough. ``set_key`` is null for an empty set.
     """
@@ -91,7 +92,7 @@ def profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
         import hashlib
 
         for batch in batches:
-            keys, sizes, prefixes, bitmaps = [], [], [], []
+            keys, sizes, rare, prefixes, bitmaps = [], [], [], [], []
             for s in shingle_sets(drop_from(batch, "text")):
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -99,18 +100,20 @@ def profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     n = np.where(known[at] == s, counts[at], 0)
                     order = np.lexsort((s, n))
+                    rare.append(int((n == 0).sum()))
                 else:
                     order = np.arange(len(s))
+                    rare.append(len(s))
                 prefixes.append(s[order[: len(s) - (LEAST * len(s) + 99) // 100 + 1]] if len(s) else s)
                 bitmaps.append(_bitmap(s))
             yield pa.RecordBatch.from_arrays(
-                [drop_from(batch, "doc_id"), drop_from(batch, "text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), _lists(prefixes), _lists(bitmaps)],
-                names=["doc_id", "text_key", "set_key", "n_shingles", "prefix", "bits"],
+                [drop_from(batch, "doc_id"), drop_from(batch, "text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()), _lists(prefixes), _lists(bitmaps)],
+                names=["doc_id", "text_key", "set_key", "n_shingles", "rare", "prefix", "bits"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
-    found = keyed.mapInArrow(profile, f"doc_id {kind}, text_key binary, set_key binary, n_shingles long, prefix array<long>, bits array<long>")
+    found = keyed.mapInArrow(profile, f"doc_id {kind}, text_key binary, set_key binary, n_shingles long, rare long, prefix array<long>, bits array<long>")
     return cut(found.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -187,36 +190,53 @@ def linked(pairs: DataFrame, docs: DataFrame, profile: DataFrame) -> DataFrame:
 def tile_pairs(members: DataFrame, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) that tiles leave over, of rows that share a token but no component.
 
-    ``members`` has (token, row, n_shingles, bits, component). Up to ``tile`` rows of a token are one tile. More are cut by size
-    into bands of ratio 0.8 and each band by hash into slices of about ``tile`` rows; rows can only link inside a band or with
-    the next one, and each pair of such slices is a tile. Inside a tile the bitmaps bound the overlap from above.
+    ``members`` has (token, row, n_shingles, bits, component). In each token the rows outside its largest component, on the left,
+    are compared with all its rows, on the right. More than ``tile`` rows are cut by size into bands of ratio 0.8 and each side of
+    a band by hash into slices of about ``tile`` rows; rows can only link inside a band or with a neighbouring one, and a slice of
+    the left with one of the right is a tile. Inside a tile the bitmaps bound the overlap from above.
     """
-    counts = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("slices"))
-    band = F.when(F.col("slices") > 1, F.floor(F.log(F.col("n_shingles") * 1.0) / math.log(100 / LEAST))).otherwise(0).cast("int")
-    cuts = members.join(counts, "token").withColumns({"band": band, "slice": F.pmod(F.xxhash64("row"), F.col("slices")).cast("int")})
-    every = F.sequence(F.lit(0), F.col("slices") - 1)
-    own, band = F.col("slice"), F.col("band")
-    same = F.transform(every, lambda s: F.struct(band.alias("low"), F.lit(0).alias("step"), F.least(own, s).alias("s"), F.greatest(own, s).alias("t"), (s < own).alias("right")))
-    up = F.transform(every, lambda s: F.struct(band.alias("low"), F.lit(1).alias("step"), own.alias("s"), s.alias("t"), F.lit(False).alias("right")))
-    down = F.transform(every, lambda s: F.struct((band - 1).alias("low"), F.lit(1).alias("step"), s.alias("s"), own.alias("t"), F.lit(True).alias("right")))
-    tiles = F.when(F.col("slices") > 1, F.concat(same, up, down)).otherwise(same)
-    spread = cuts.select("token", "row", "n_shingles", "bits", "component", F.inline(tiles))
+    parts = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("token").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("largest"))
+    slices = whole.select(
+        "token", F.col("largest.component").alias("main"), F.ceil(F.col("rows") / tile).cast("int").alias("rights"),
+        F.greatest(F.ceil((F.col("rows") - F.col("largest.n")) / tile), F.lit(1)).cast("int").alias("lefts"),
+    )
+    split = F.col("rights") > 1
+    band = F.when(split, F.floor(F.log(F.col("n_shingles") * 1.0) / math.log(100 / LEAST))).otherwise(0).cast("int")
+    cuts = members.join(slices, "token").withColumns({"band": band, "rest": F.col("component") != F.col("main"), "mixed": F.xxhash64("row")})
+    steps = F.when(split, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    own = F.col("band")
+
+    def side(left: bool) -> Column:
+        mine, others = ("lefts", "rights") if left else ("rights", "lefts")
+        at = F.pmod("mixed", F.col(mine)).cast("int")
+
+        def tiles(step: Column) -> Column:
+            one = lambda o: F.struct(
+                (own if left else own + step).alias("left_band"), (own + step if left else own).alias("right_band"),
+                (at if left else o).alias("s"), (o if left else at).alias("t"), F.lit(left).alias("left"),
+            )
+            return F.transform(F.sequence(F.lit(0), F.col(others) - 1), one)
+
+        return F.flatten(F.transform(steps, tiles))
+
+    spread = cuts.select(
+        "token", "row", "n_shingles", "bits", "component", "rest", F.inline(F.when(F.col("rest"), F.concat(side(True), side(False))).otherwise(side(False)))
+    )
 
     def compare(table: pa.Table) -> pa.Table:
         rows, n, component = (table.column(c).to_numpy() for c in ("row", "n_shingles", "component"))
-        right = table.column("right").to_numpy(zero_copy_only=False)
-        inside = table.column("step")[0].as_py() == 0 and table.column("s")[0].as_py() == table.column("t")[0].as_py()
+        left, rest = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "rest"))
         bits = table.column("bits").to_numpy(zero_copy_only=False)
         widths = np.array([len(x) for x in bits])
-        wide = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
-        table_of = {w: np.stack([bits[i] for i in at]) for w, at in wide.items()}
+        wide = {w: np.flatnonzero((widths == w) & ~left) for w in np.unique(widths)}
+        table_of = {w: np.stack([bits[i] for i in at]) for w, at in wide.items() if len(at)}
         a, b = [], []
-        for i in range(len(rows)) if inside else np.flatnonzero(~right):
-            fit = (component != component[i]) & (100 * np.minimum(n, n[i]) >= LEAST * np.maximum(n, n[i]))
-            fit &= (np.arange(len(rows)) > i) if inside else right
-            for w, at in wide.items():
-                chosen = fit[at]
-                j = at[chosen]
+        for i in np.flatnonzero(left):
+            fit = (component != component[i]) & (100 * np.minimum(n, n[i]) >= LEAST * np.maximum(n, n[i])) & (~rest | (rows > rows[i]))
+            for w in table_of:
+                chosen = fit[wide[w]]
+                j = wide[w][chosen]
                 if len(j):
                     size = min(w, widths[i])
                     apart = _folded(table_of[w][chosen], size) ^ _folded(bits[i], size)
@@ -226,7 +246,7 @@ def tile_pairs(members: DataFrame, tile: int = TILE) -> DataFrame:
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
-    return spread.groupBy("token", "low", "step", "s", "t").applyInArrow(compare, "a long, b long").distinct()
+    return spread.groupBy("token", "left_band", "right_band", "s", "t").applyInArrow(compare, "a long, b long").distinct()
 
 
 def small_pairs(members: DataFrame) -> DataFrame:
@@ -251,17 +271,17 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, text_key, n_shingles, component, component_id) of every row of ``docs`` (doc_id, text).
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased; a set holds the distinct runs of five words,
     compared by 64-bit hashes. Two rows link when their sets share at least 80 % of their union; component_id is the smallest
-    doc_id that links reach.
+    doc_id that links reach; ``component`` numbers components, also where a doc_id that several rows bear names two of them.
 
     Rows of equal sets are handled as one. A set is dealt out by its rarest shingles, so only near copies and chance meet. The
-    few rows of a rare shingle are compared with each other. Those of a frequent one are first compared with one of them, which
-    joins a group of near copies in as many comparisons as it has rows; only rows that are then in different components are
-    compared with each other, tile by tile. No link that could join two components is left out, and rows of one component need
-    no more of them.
+    few rows of a rare shingle are compared with each other. Those of a frequent one are first compared with the one that holds
+    the fewest rare shingles, which joins a group of near copies in as many comparisons as it has rows; only rows that are then
+    in different components are compared with each other, tile by tile. No link that could join two components is left out,
+    and rows of one component need no more of them.
 
     Null, empty and blank texts have an empty set and link with nothing: component_id is their own doc_id. A null doc_id is
     never the smallest; a component of such rows alone has a null id. Repeated rows are rows of equal sets. An empty table
@@ -271,13 +291,14 @@ def near_duplicates(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     profile = profiles(docs, frequent_shingles(docs, frequent))
     filled = profile.where(F.col("n_shingles") > 0)
     classes = cut(filled.groupBy("set_key").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")))
-    chosen = cut(filled.select("row", "n_shingles", "prefix").join(classes.select("row"), "row", "left_semi"))
-    tokens = chosen.select("row", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "token"))
-    groups = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("hub")).where(F.col("rows") > 1))
+    chosen = cut(filled.select("row", "n_shingles", "rare", "prefix").join(classes.select("row"), "row", "left_semi"))
+    tokens = chosen.select("row", F.col("n_shingles").alias("n"), "rare", F.posexplode("prefix").alias("at", "token"))
+    central = F.min(F.struct("rare", "row"))["row"].alias("hub")
+    groups = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1))
     members = cut(tokens.join(groups, "token"))
-    small = small_pairs(members.where(F.col("rows") <= SMALL).drop("rows", "hub"))
-    large = members.where(F.col("rows") > SMALL).select("token", "row", "hub")
-    stars = large.where(F.col("row") != F.col("hub")).select(F.col("hub").alias("a"), F.col("row").alias("b"))
+    small = small_pairs(members.where(F.col("rows") <= SMALL).drop("rows", "rare"))
+    large = members.where(F.col("rows") > SMALL).select("token", "row", "rare")
+    stars = large.join(large.groupBy("token").agg(central), "token").where(F.col("row") != F.col("hub")).select(F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b"))
     first = cut(bounded(small.unionByName(stars.distinct()).distinct(), profile))
     edges = cut(linked(first, docs, profile))
     components = _components(edges)
@@ -293,6 +314,19 @@ def near_duplicates(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
     whole = classes.join(components, "row", "left").withColumn("component", F.coalesce("component", "row"))
     smallest = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_set = whole.select("set_key", "component").join(smallest, "component").select("set_key", "component_id")
+    by_set = whole.select("set_key", "component").join(smallest, "component")
     result = profile.select("doc_id", "text_key", "n_shingles", "set_key").join(by_set, "set_key", "left")
-    return result.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return result.select("doc_id", "text_key", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+# The DuckDB twin over ``documents``, for distinct ids: all pairs that share a shingle, and their closure.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(id, seen) AS (SELECT DISTINCT a, a FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON r.seen = l.a),
+component AS (SELECT id, min(seen) AS root FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(root, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN component ON id = d.doc_id"""

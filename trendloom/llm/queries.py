@@ -53,7 +53,7 @@ def op7_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.near_duplicates(_table(spark, folder, "documents")).drop("text_key")
+    return jaccard_join.near_duplicates(_table(spark, folder, "documents")).drop("text_key", "component")
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,4 +73,9 @@ QUERIES = {
     for f in (op1_wrapper_induction, op2_warc_transactions, op3_winnowing, op4_subword_toxicity, op5_feistel_shards, op6_token_files, op7_bpe_transducer, op8_jaccard_join, op9_quality_rules, op10_resampling)
 }
 
-ORACLES = {"op3_winnowing": decontaminate.ORACLE, "op9_quality_rules": quality_rules.oracle()}
+ORACLES = {
+    "op2_warc_transactions": warc.ORACLE,
+    "op3_winnowing": decontaminate.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
+    "op9_quality_rules": quality_rules.oracle(),
+}
