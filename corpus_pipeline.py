@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm import bpe_transducer, common, decontaminate, jaccard_join, quality_rules, resampling
@@ -35,10 +35,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, others: DataFrame) -> DataFrame:
-    """``docs`` without the rows of the (doc_id, text_key) of ``others``; a null doc_id equals a null one."""
-    gone = others.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    """``docs`` without the rows of the (doc_id, text_key) of ``others``; a null doc_id equals a null one.
+
+    A bitmap of the hashes of ``others`` (16 bits for each, 16 MB at most) goes to all tasks first: rows that it rules out stay
+    without a shuffle of their text, and only the few others are joined.
+    """
+    gone = cut(others.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct())
+    size = 1 << min(27, max(15, (16 * gone.count()).bit_length()))
+
+    def slot(doc_id: Column, key: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id, key), F.lit(size)) + 1
+
+    own = slot(F.col("_gone_id"), F.col("_gone_key"))
+    bitmap = gone.groupBy(F.bitmap_bucket_number(own).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias("_bits"))
+    at = slot(F.col("doc_id"), common.text_key())
+    marked = docs.withColumns({"_in": F.bitmap_bucket_number(at), "_at": F.bitmap_bit_position(at)})
+    marked = marked.join(F.broadcast(bitmap), F.col("_in") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    maybe = F.coalesce(F.expr("_bits IS NOT NULL") & ((F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")) % 2) == 1), F.lit(False))
+    marked = marked.select(*docs.columns, maybe.alias("_maybe"))
     same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & common.text_key().eqNullSafe(F.col("_gone_key"))
-    return docs.join(gone, same, "left_anti")
+    doubtful = marked.where("_maybe").join(gone, same, "left_anti")
+    return marked.where("NOT _maybe").unionByName(doubtful).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +68,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _prepare(spark)
     classes = cut(jaccard_join.near_duplicates(docs).where("n_shingles > 0"))
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    winners = classes.where(first).groupBy("component_id").agg(F.min("text_key").alias("best_key"), F.count(F.lit(1)).alias("n"))
-    same = F.col("component_id").eqNullSafe(F.col("of_id"))
-    named = classes.join(winners.withColumnRenamed("component_id", "of_id"), same)
+    winners = classes.where(first).groupBy("component", "component_id").agg(F.min("text_key").alias("best_key"), F.count(F.lit(1)).alias("n"))
+    named = classes.drop("component_id").join(winners, "component")
     kept = _without(docs, named.where(~first | (F.col("text_key") != F.col("best_key"))))
     repeated = cut(winners.where("n > 1").select(F.col("component_id").alias("_id"), F.col("best_key").alias("_key")))
     if repeated.isEmpty():
