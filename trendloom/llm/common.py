@@ -15,8 +15,13 @@ from trendloom.session import cut
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Settings of all operators here: batches that stay small where texts are long.
-SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
+# Settings of all operators here: batches that stay small where texts are long; and a Bloom filter of the smaller side before
+# texts are shuffled, where Spark can tell that side to be selective.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0b",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
 
 
 def words(text: Column) -> Column:

@@ -102,7 +102,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int
     base = cut(marked.select("doc_id", "text_key", "n_words", "_prints"))
     hits = cut(base.select("text_key", F.explode("_prints").alias("fingerprint")).join(wanted, "fingerprint", "left_semi").distinct())
 
-    found = hits.select("text_key").distinct()
+    # true of all hits: with a comparison on one side Spark sends its Bloom filter ahead, and only texts with a hit are shuffled
+    found = hits.where(F.col("fingerprint") <= F.lit((1 << 63) - 1)).select("text_key")
     texts = docs.select(text_key().alias("text_key"), "text").join(found, "text_key", "left_semi").dropDuplicates(["text_key"])
     held = cut(texts.select("text_key", F.transform(_words(F.col("text")), ascii_lower).alias("_words")))
     grams = with_grams(held, [k, *short])
