@@ -95,7 +95,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int
     short = [r[0] for r in windows.select("length").where(F.col("length") < window).distinct().collect()]  # at most nine numbers
     short.sort()
     item_words = items.select(_words(F.col("text")).alias("_words"))
-    wanted = cut(_fingerprints(item_words, short, k, window).select(F.explode("_prints").alias("fingerprint")).distinct())
+    # outer generators: for inner ones Spark infers a filter on the array and writes all levels below out in full for it
+    wanted = _fingerprints(item_words, short, k, window).select(F.explode_outer("_prints").alias("fingerprint"))
+    wanted = cut(wanted.where(F.col("fingerprint").isNotNull()).distinct())
 
     split = docs.select("doc_id", text_key().alias("text_key"), _words(F.col("text")).alias("_words"))
     marked = _fingerprints(split.withColumn("n_words", F.size("_words").cast("long")), short, k, window)
@@ -112,7 +114,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int
         return F.transform(column, lambda x, i: F.struct(x.alias("fingerprint"), i.alias("at"), F.lit(length).alias("length")))
 
     every = F.concat(placed(f"_gram_{k}", window), *[placed(f"_gram_{n}", n) for n in short])
-    at = grams.select("text_key", F.inline(every)).join(hits, ["text_key", "fingerprint"], "left_semi")
+    at = grams.select("text_key", F.inline_outer(every)).join(hits, ["text_key", "fingerprint"], "left_semi")
     reach = F.when(F.col("length") == window, window - k).otherwise(0)
     starts = at.select("text_key", "length", F.explode(F.sequence(F.greatest(F.col("at") - reach, F.lit(0)), F.col("at"))).alias("start"))
     starts = starts.distinct().groupBy("text_key").agg(F.collect_list(F.struct("start", "length")).alias("starts"))
