@@ -109,3 +109,31 @@ def test_captures_carry_all_parts(frame, spark):
 
 def test_no_captures(frame, spark):
     assert warc.archived(frame([], "page_id long, url string, html string"), work_folder(spark)).count() == 0
+
+
+OWN = "A sentence that is only on this page: "
+
+
+@pytest.mark.parametrize("words", ["page has-sidebar", "no-sidebar", "with-comments", "search-result"])
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_words_of_a_wrapper_do_not_drop_the_article(frame, words, tag):
+    related = "<div class='related posts'><article class=card>Other {i}</article></div>" if tag == "article" else ""
+    html = (
+        f"<body><div class='sidebar menu'>Links</div><form id=aspnet><div class='{words}'><{tag}><h1>T{{i}}</h1><p>{OWN}{{i}}</p><div class='share'>Post {{i}}</div></{tag}>"
+        f"{related}</div></form><div class='footer'>Site {{i}}</div>"
+    )
+    got = texts(frame, [(i, "http://wrapped.example/", html.format(i=i)) for i in range(4)])
+    assert got == {i: f"T{i}\n\n{OWN}{i}" for i in range(4)}
+
+
+def test_marks_that_leave_nothing_do_not_count(frame):
+    rows = [(i, "http://marked.example/", f"<body><div>Menu</div><div class=promo>First half {i}</div><div class=widget>Other half {i}</div>") for i in range(4)]
+    assert texts(frame, rows) == {i: f"First half {i}\n\nOther half {i}" for i in range(4)}
+
+
+def test_lists_of_articles_and_comments_of_copies(frame):
+    hits = "".join(f"<div class=search-result><article>Hit {{i}} {j}</article></div>" for j in range(5))
+    copy = "<body><article><p>The same long text on every page of it</p><div class=comments>Reply {i}</div></article>"
+    got = texts(frame, [(i, "http://hits.example/", f"<body><main><h1>Hits {{i}}</h1>{hits}</main>".format(i=i)) for i in range(4)])
+    assert got == {i: "\n\n".join([f"Hits {i}", *(f"Hit {i} {j}" for j in range(5))]) for i in range(4)}
+    assert set(texts(frame, [(i, "http://copy.example/", copy.format(i=i)) for i in range(12)]).values()) == {"The same long text on every page of it"}

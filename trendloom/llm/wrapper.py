@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
 HOLDS_ANY = {"table", "article", "main", "section", "aside", "nav", "footer", "header", "form", "body", "td", "th", "div", "blockquote"}
 
 # Elements, roles and words of a class or id that mark what is no part of an article.
-OTHER_TAGS = set("head script style noscript template nav footer aside form button select option textarea input iframe svg canvas object video audio map dialog menu title".split())
+OTHER_TAGS = set("head script style noscript template nav footer aside button select option textarea input iframe svg canvas object video audio map dialog menu title".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 OTHER_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu "
@@ -41,6 +42,7 @@ OTHER_WORDS = set(
     "share sharing social related recommended recommendations comments comment disqus replies reply search pagination pager toolbar masthead "
     "copyright disclaimer widget".split()
 )
+OTHER_ARTICLES = set("comment comments reply ad advert sponsored related promo".split())
 
 
 @dataclass(slots=True)
@@ -49,6 +51,10 @@ class Node:
     label: str
     other: bool = False  # no part of an article, by itself or by what it is in
     inside: bool = False  # in an article or main element
+    kind: str = ""  # article or main
+    words: str = ""  # words of its class or id that speak against it
+    around: int = 0  # number of the nearest element with a kind or such words, itself included
+    outer: int = 0  # the same for what such an element is in
     children: list[Node] = field(default_factory=list)
     blocks: list[str] = field(default_factory=list)  # texts of the blocks right in this node
     places: list[int] = field(default_factory=list)  # their places among all blocks of the page
@@ -59,18 +65,33 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
 
 
+def _kind(tag: str, attributes: dict[str, str]) -> str:
+    role = attributes.get("role", "").lower()
+    return tag if tag in ("article", "main") else role if role in ("article", "main") else ""
+
+
 def _is_other(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     if tag in OTHER_TAGS or (tag == "header" and not inside) or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
     if tag in ("html", "body", "main", "article"):
-        words = ()
-        if tag == "article":
-            words = re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-        return any(w in ("comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo") for w in words)
-    if attributes.get("role", "").lower() in OTHER_ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
+        return False
+    role = attributes.get("role", "").lower()
+    return (role in OTHER_ROLES and not (tag == "form" and role == "form")) or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
+
+
+def _other_words(tag: str, kind: str, attributes: dict[str, str], inside: bool) -> str:
+    """What in the class or id of an element, or in its being a form, speaks against it; whether that counts is seen from the whole page."""
+    if tag in ("html", "body") or kind == "main":
+        return ""
     words = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return not OTHER_WORDS.isdisjoint(words) or (not inside and "header" in words and words.isdisjoint(("article", "post", "entry", "story", "content")))
+    if kind == "article":
+        return " ".join(sorted(words & OTHER_ARTICLES))
+    found = words & OTHER_WORDS
+    if tag == "form":
+        found.add("form")
+    if not inside and "header" in words and words.isdisjoint(("article", "post", "entry", "story", "content")):
+        found.add("header")
+    return " ".join(sorted(found))
 
 
 def parsed(page: str) -> tuple[Node, list[Node]]:
@@ -126,11 +147,13 @@ def parsed(page: str) -> tuple[Node, list[Node]]:
                     break
             attributes = _attributes(marks) if marks.strip(" /\n") else {}
             up = stack[-1]
-            inside = up.inside or name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
+            kind = _kind(name, attributes)
+            inside = up.inside or kind != ""
             other = up.other or _is_other(name, attributes, up.inside)
+            words = "" if other else _other_words(name, kind, attributes, up.inside)
             first = attributes.get("class", "").split()
-            node = Node(name, f"{name}.{first[0]}" if first else name, other, inside, number=len(nodes))
-            holds = name in BLOCK or (other and not up.other)
+            node = Node(name, f"{name}.{first[0]}" if first else name, other, inside, kind, words, len(nodes) if kind or words else up.around, up.around, number=len(nodes))
+            holds = name in BLOCK or words != "" or (other and not up.other)
             if holds:
                 close()
             nodes.append(node)
@@ -220,34 +243,139 @@ def _pivot(page: str) -> tuple[Node, list[Node]]:
     return parsed(page)
 
 
-BLOCKS = "array<struct<text: string, node: int, other: boolean, inside: boolean, same: boolean>>"
+FOUND = (
+    "struct<marks: array<struct<number: int, outer: int, kind: string, words: string>>, "
+    "blocks: array<struct<text: string, node: int, other: boolean, inside: boolean, same: boolean, around: int>>>"
+)
+
+
+def _lists(sizes: list[int], **columns: pa.Array) -> pa.ListArray:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
 
 def aligned_blocks(html: Column, pivot: Column) -> Column:
-    """Blocks of a page in page order; ``node`` is the pivot's node they are aligned with, ``same`` whether that says the same."""
-    kind = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("other", pa.bool_()), ("inside", pa.bool_()), ("same", pa.bool_())]))
+    """Blocks of a page in page order; ``node`` is the pivot's node they are aligned with, ``same`` whether that says the same.
+
+    ``marks`` are the articles, main elements and elements with words against them; ``around`` is the nearest of these.
+    """
 
-    @F.arrow_udf(BLOCKS)
+    @F.arrow_udf(FOUND)
     def blocks(pages: pa.Array, pivots: pa.Array) -> pa.Array:
-        out = []
+        marks, rows, sizes = [], [], ([], [])
         for page, reference in zip(pages.to_pylist(), pivots.to_pylist(), strict=True):
             root, nodes = parsed(page or "")
             met, there = {}, []
             if reference is not None:
                 other_root, there = _pivot(reference)
                 met = matched(root, other_root)
-            rows = []
+            own = []
             for node in nodes:
-                at = met.get(node.number)
-                same = at is not None and node.blocks == there[at].blocks
-                rows += [(place, text, at, node.other, node.inside, same) for place, text in zip(node.places, node.blocks, strict=True)]
-            rows.sort(key=lambda row: row[0])
-            out.append([dict(zip(("text", "node", "other", "inside", "same"), row[1:], strict=True)) for row in rows])
-        return pa.array(out, kind)
+                if node.blocks:
+                    at = met.get(node.number)
+                    same = at is not None and node.blocks == there[at].blocks
+                    own += [(place, text, at, node.other, node.inside, same, node.around) for place, text in zip(node.places, node.blocks, strict=True)]
+            own.sort(key=lambda row: row[0])
+            held = [(n.number, n.outer, n.kind, n.words) for n in nodes if n.kind or n.words]
+            rows += own
+            marks += held
+            sizes[0].append(len(held))
+            sizes[1].append(len(own))
+        number, outer, kind, words = zip(*marks, strict=True) if marks else [()] * 4
+        _, text, node, other, inside, same, around = zip(*rows, strict=True) if rows else [()] * 7
+        whole, flag, string = pa.int32(), pa.bool_(), pa.string()
+        return pa.StructArray.from_arrays(
+            [
+                _lists(sizes[0], number=pa.array(number, whole), outer=pa.array(outer, whole), kind=pa.array(kind, string), words=pa.array(words, string)),
+                _lists(sizes[1], text=pa.array(text, string), node=pa.array(node, whole), other=pa.array(other, flag), inside=pa.array(inside, flag), same=pa.array(same, flag), around=pa.array(around, whole)),
+            ],
+            ["marks", "blocks"],
+        )
 
     return blocks(html, pivot)
 
 
+def _standing(marks: list[tuple], content: list[tuple]) -> set[int]:
+    """Numbers of the elements whose words stand, and of all elements in them.
+
+    ``marks`` are (number, outer, kind, words), outer ones first, ``content`` (length, constant, inside, around) of the blocks.
+    Words do not count against an element that holds a main element or the article with most text, nor against articles'
+    holders of the same words; nor against one that holds most of the varying text, unless the constant text of the article
+    outside it is longer still, as with the comments of copied pages.
+    """
+    outer = {number: up for number, up, _, _ in marks}
+    varying, length, still = dict.fromkeys(outer, 0), dict.fromkeys(outer, 0), dict.fromkeys(outer, 0)
+    for size, constant, inside, around in content:
+        if around:
+            length[around] += size
+            varying[around] += 0 if constant else size
+            still[around] += size if constant and inside else 0
+    for number, up, _, _ in reversed(marks):
+        if up:
+            for sums in (varying, length, still):
+                sums[up] += sums[number]
+    all_varying = sum(size for size, constant, _, _ in content if not constant)
+    all_still = sum(size for size, constant, inside, _ in content if constant and inside)
+    articles = [number for number, _, kind, words in marks if kind == "article" and not words]
+    held, free = set(), {number for number, _, kind, _ in marks if kind == "main"}
+    if articles:
+        free.add(max(articles, key=lambda n: (varying[n], length[n], -n)))
+    todo = list(free)
+    while todo:
+        if (up := outer[todo.pop()]) and up not in free:
+            free.add(up)
+            todo.append(up)
+    for number, up, kind, _ in reversed(marks):
+        if number in held or (kind == "article" and number in articles):
+            held |= {number, up}
+    spared = {words for number, _, kind, words in marks if words and number in free}
+    standing = set()
+    for number, up, _, words in marks:
+        most = 2 * varying[number] > all_varying and length[number] >= all_still - still[number]
+        if up in standing or (words and not (number in free or (number in held and words in spared) or most)):
+            standing.add(number)
+    return standing
+
+
+def _chosen(marks: list[tuple], blocks: list[tuple]) -> list[int]:
+    """Places of the blocks (length, constant, inside, around, other) that are the page's main text."""
+    content = [i for i, b in enumerate(blocks) if not b[4]]
+    if not any(words for _, _, _, words in marks):
+        levels = (set(),)
+    else:
+        levels = _standing(marks, [blocks[i][:4] for i in content]), set()
+    for left_out in levels:
+        left = [i for i in content if blocks[i][3] not in left_out]
+        varies = [i for i in left if not blocks[i][1]]
+        chosen = [i for i in varies if blocks[i][2]] or [i for i in left if blocks[i][2]] or varies
+        if chosen:
+            return chosen
+    return []
+
+
+def main_text(found: Column, constant: Column) -> Column:
+    """The main text of a page as found by ``aligned_blocks``, given for each block whether it is template."""
+
+    @F.arrow_udf("string")
+    def text(pages: pa.Array, constants: pa.Array) -> pa.Array:
+        out = []
+        marks, blocks = pages.field("marks"), pages.field("blocks")
+        mark_ends, block_ends = marks.offsets.to_pylist(), blocks.offsets.to_pylist()
+        mark, block = marks.values, blocks.values
+        all_marks = list(zip(*(mark.field(c).to_pylist() for c in ("number", "outer", "kind", "words")), strict=True))
+        texts = block.field("text").to_pylist()
+        flags = constants.values.to_pylist()
+        first = constants.offsets[0].as_py() - block_ends[0]
+        other, inside, around = (block.field(c).to_pylist() for c in ("other", "inside", "around"))
+        for i in range(len(pages)):
+            a, b = block_ends[i], block_ends[i + 1]
+            rows = [(len(texts[j]), flags[j + first], inside[j], around[j], other[j]) for j in range(a, b)]
+            out.append("\n\n".join(texts[a + j] for j in _chosen(all_marks[mark_ends[i] : mark_ends[i + 1]], rows)))
+        return pa.array(out, pa.string())
+
+    return text(found, constant)
+
+
 def host_of(url: Column) -> Column:
     """Host of an address in lower case; null where there is none."""
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#\s]+)", 1))
@@ -260,8 +388,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     One page per host, drawn by hash, is the pivot; every other page of the host is aligned with it by simple tree matching.
     Over all pages of the host it is counted in how many a node of the pivot says the same: from half of them on, and at least
     three, it is template (nine tenths inside an article or main element, where pages may be copies of each other). Other
-    slots vary and are content, unless an element, role, class or id marks them as menu, header, footer, sidebar, notice,
-    advert, form or comment. If content is left inside an article or main element, what is outside goes. If the template would
+    slots vary and are content, unless an element or role marks them as menu, header, footer, sidebar or notice, or a class or
+    id as such or as advert, form or comment. A class, id or form does not count where it holds a main element, the largest
+    article or most of the page's varying text, nor where nothing would be left. If content is left inside an article or main element, what is outside goes. If the template would
     take all there is inside, the page is a copy and keeps it.
 
     Blocks are joined by two line feeds; white space in a block is one blank, references are decoded. Null and empty html give
@@ -273,9 +402,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     drawn = filled.groupBy("host").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("p"), F.count(F.lit(1)).alias("pages"))
     pivots = cut(drawn.where(F.col("pages") >= LEAST_PAGES).select(F.col("host").alias("of"), F.col("p.html").alias("pivot"), "pages"))
     dressed = own.join(pivots.select("of", "pivot"), F.col("host") == F.col("of"), "left")
-    found = cut(dressed.select("page_id", "url", "host", aligned_blocks(F.col("html"), F.col("pivot")).alias("blocks")))
+    found = cut(dressed.select("page_id", "url", "host", aligned_blocks(F.col("html"), F.col("pivot")).alias("page")))
 
-    said = found.select("host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: b.same), lambda b: F.struct(b.node.alias("node"), b.inside.alias("inside"))))).alias("n"))
+    said = found.select("host", F.explode(F.array_distinct(F.transform(F.filter("page.blocks", lambda b: b.same), lambda b: F.struct(b.node.alias("node"), b.inside.alias("inside"))))).alias("n"))
     counts = said.groupBy("host", "n.node", "n.inside").agg(F.count(F.lit(1)).alias("n"))
     share = F.when(F.col("inside"), CONSTANT_INSIDE).otherwise(CONSTANT)
     constant = counts.join(pivots.select("of", "pages"), F.col("host") == F.col("of")).where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), share * F.col("pages")))
@@ -283,9 +412,5 @@ def main_texts(pages: DataFrame) -> DataFrame:
     templates = cut(constant.groupBy(F.col("host").alias("of")).agg(F.collect_set("node").alias("template")))
 
     marked = found.join(templates, F.col("host") == F.col("of"), "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
-    content = F.filter("blocks", lambda b: ~b.other)
-    marked = marked.select("page_id", "url", content.alias("content"), F.filter(content, lambda b: ~(b.same & F.array_contains("template", b.node))).alias("varies"))
-    chosen = F.when(F.exists("varies", lambda b: b.inside), F.filter("varies", lambda b: b.inside)).when(F.exists("content", lambda b: b.inside), F.filter("content", lambda b: b.inside)).otherwise(F.col("varies"))
-    text = F.array_join(F.transform(chosen, lambda b: b.text), "\n\n")
-    return marked.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-
+    constant = F.transform("page.blocks", lambda b: b.same & F.array_contains("template", b.node))
+    return marked.select("page_id", "url", main_text(F.col("page"), constant).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
