@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import pytest
 
@@ -137,3 +138,43 @@ def test_lists_of_articles_and_comments_of_copies(frame):
     got = texts(frame, [(i, "http://hits.example/", f"<body><main><h1>Hits {{i}}</h1>{hits}</main>".format(i=i)) for i in range(4)])
     assert got == {i: "\n\n".join([f"Hits {i}", *(f"Hit {i} {j}" for j in range(5))]) for i in range(4)}
     assert set(texts(frame, [(i, "http://copy.example/", copy.format(i=i)) for i in range(12)]).values()) == {"The same long text on every page of it"}
+
+
+def weighed(met, left, right):
+    return sum(1 + (bool(left[i].blocks) and left[i].blocks == right[j].blocks) for i, j in met.items())
+
+
+def most(a, b):
+    """Weight of the best matching by plain recursion."""
+    table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            pair = table[i - 1][j - 1] + most(x, y) if x.label == y.label else 0
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], pair)
+    return 1 + (bool(a.blocks) and a.blocks == b.blocks) + table[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [0, 6, 250_000])
+def test_matching_is_exact_at_every_size(monkeypatch, cells):
+    monkeypatch.setattr(wrapper, "CELLS", cells)
+    draw = random.Random(7)
+
+    def tree(depth):
+        return "".join(f"<{t}>{draw.choice('xyz')}{tree(depth - 1) if draw.random() < 0.6 and depth else ''}</{t}>" for t in draw.choices(["div", "section", "ul"], k=draw.randrange(7)))
+
+    for _ in range(150):
+        (a, left), (b, right) = wrapper.parsed(tree(3)), wrapper.parsed(tree(3))
+        met = wrapper.matched(a, b)
+        assert len(set(met.values())) == len(met) and all(left[i].label == right[j].label for i, j in met.items())
+        assert weighed(met, left, right) == most(a, b)
+
+
+def test_template_between_long_runs_is_found(frame):
+    def html(i):
+        def run(name, n):
+            return "".join(f"<p>{name} {i} {j}</p>" for j in range(n))
+
+        return f"<body>{run('a', 400 + 9 * i)}<div class=x>Between</div>{run('b', 400 + 7 * i)}<div class=y>Again</div>{run('c', 300 + i)}"
+
+    for got in texts(frame, [(i, "http://long.example/", html(i)) for i in range(4)]).values():
+        assert "Between" not in got and "Again" not in got and got.count("\n\n") > 1000

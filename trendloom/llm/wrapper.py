@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -17,7 +18,7 @@ from trendloom.session import cut
 CONSTANT = 0.5  # share of a host's pages in which a node says the same, from which it is template
 CONSTANT_INSIDE = 0.9  # the same for a node inside the article, where pages may be copies
 LEAST_PAGES = 3
-CELLS = 250_000  # children of two nodes are matched freely up to this product, beyond it from both ends
+CELLS = 250_000  # the table that matches the children of two nodes is held whole up to this size, beyond it computed again in parts
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -171,73 +172,196 @@ def parsed(page: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
-def matched(page: Node, pivot: Node) -> dict[int, int]:
-    """Simple tree matching: which node of the pivot each node of the page is aligned with.
+class _Shapes:
+    """Subtrees of two pages by shape: label, text if both pages have it, and shapes of the children.
 
-    Nodes match if their labels do and their parents match, children in order; of all such matchings the one with most nodes,
-    and most nodes that say the same.
+    How many nodes two subtrees have in common, and which, follows from their shapes, so it is found once for each two shapes.
     """
-    weights: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
-    todo = [(page, pivot, False)]
-    while todo:  # children before parents, without recursion: pages may be deep
-        a, b, ready = todo.pop()
-        key = (a.number, b.number)
-        if key in weights:
-            continue
-        left, right = a.children, b.children
-        free = len(left) * len(right) <= CELLS
-        if free:
-            pairs = [(x, y) for x in left for y in right if x.label == y.label]
+
+    def __init__(self, *pages: Node):
+        self.label: list[str] = []
+        self.text: list[int] = []  # 0 for none and for what only one page says
+        self.children: list[tuple[int, ...]] = []
+        self.size: list[int] = []  # weight of a shape with itself
+        self.of: list[dict[int, int]] = []  # by page, shape of each node
+        self.weights: dict[tuple[int, int], int] = {}
+        self.found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        orders, said = [], []
+        for page in pages:
+            order, todo = [], [page]
+            while todo:
+                node = todo.pop()
+                order.append(node)
+                todo += node.children
+            orders.append(order)
+            said.append({tuple(n.blocks) for n in order if n.blocks})
+        texts = {t: i for i, t in enumerate(set.intersection(*said), 1)}
+        known: dict[tuple, int] = {}
+        for order in orders:
+            shapes: dict[int, int] = {}
+            for node in reversed(order):
+                children = tuple([shapes[c.number] for c in node.children])
+                text = texts.get(tuple(node.blocks), 0) if node.blocks else 0
+                key = node.label, text, children
+                shape = known.get(key)
+                if shape is None:
+                    shape = known[key] = len(self.size)
+                    self.label.append(node.label)
+                    self.text.append(text)
+                    self.children.append(children)
+                    self.size.append(1 + (text > 0) + sum([self.size[c] for c in children]))
+                shapes[node.number] = shape
+            self.of.append(shapes)
+
+    def own(self, x: int, y: int) -> int:
+        return 1 + (self.text[x] > 0 and self.text[x] == self.text[y])
+
+    def weight(self, x: int, y: int) -> int:
+        """Nodes in common, and nodes that say the same; 0 if the labels differ. Of two inner nodes it must have been found before."""
+        if x == y:
+            return self.size[x]
+        if self.label[x] != self.label[y]:
+            return 0
+        return self.weights[x, y] if self.children[x] and self.children[y] else self.own(x, y)
+
+    def middle(self, x: int, y: int) -> tuple[int, int, int]:
+        """Lengths of the equal starts and equal ends of the children, which belong to a best matching, and of the shorter list."""
+        left, right = self.children[x], self.children[y]
+        n = min(len(left), len(right))
+        start = end = 0
+        while start < n and left[start] == right[start]:
+            start += 1
+        while end < n - start and left[-1 - end] == right[-1 - end]:
+            end += 1
+        return start, end, n
+
+    def find(self, x: int, y: int) -> None:
+        """Weights of two shapes and of all inner nodes in them that may meet, children first."""
+        todo = [(x, y, False)]
+        while todo:
+            x, y, ready = todo.pop()
+            if x == y or (x, y) in self.weights:
+                continue
+            start, end, _ = self.middle(x, y)
+            left, right = self.children[x], self.children[y]
+            left, right = left[start : len(left) - end], right[start : len(right) - end]
+            if not ready:
+                todo.append((x, y, True))
+                inner: dict[str, list[int]] = {}
+                for d in set(right):
+                    if self.children[d]:
+                        inner.setdefault(self.label[d], []).append(d)
+                todo += [(c, d, False) for c in set(left) if self.children[c] for d in inner.get(self.label[c], ()) if c != d]
+                continue
+            ends = sum([self.size[c] for c in self.children[x][:start]]) + sum([self.size[c] for c in self.children[x][len(self.children[x]) - end :]])
+            total, chosen = self.best(left, right)
+            self.weights[x, y] = self.own(x, y) + ends + total
+            self.found[x, y] = chosen
+
+    def pairs(self, x: int, y: int) -> list[tuple[int, int]]:
+        """Places of the children of two shapes that are matched."""
+        n, m = len(self.children[x]), len(self.children[y])
+        if x == y:
+            return [(i, i) for i in range(n)]
+        if not n or not m:
+            return []
+        start, end, _ = self.middle(x, y)
+        return [(i, i) for i in range(start)] + [(start + i, start + j) for i, j in self.found[x, y]] + [(n - i, m - i) for i in range(1, end + 1)]
+
+    def best(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, list[tuple[int, int]]]:
+        """Largest weight of matching two lists in order, and the places matched.
+
+        Only every ``step``-th row of the table is kept; the rows between are computed again on the way back.
+        """
+        if not left or not right:
+            return 0, []
+        if len(left) * len(right) <= CELLS:
+            step, row = len(left), self._row
+            first = [0] * (len(right) + 1)
         else:
-            pairs = _from_both_ends(left, right)
-        if not ready:
-            todo.append((a, b, True))
-            todo.extend((x, y, False) for x, y in pairs if (x.number, y.number) not in weights)
-            continue
-        own = 1 + (bool(a.blocks) and a.blocks == b.blocks)
-        if not free:
-            weights[key] = own + sum(weights[x.number, y.number][0] for x, y in pairs), pairs
-            continue
-        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+            step, row = math.isqrt(len(left)) + 1, self._long_row
+            first = np.zeros(len(right) + 1, np.int64)
+        held: dict[int, list[int]] = {}
+        kept, above = [first], first
         for i, x in enumerate(left, 1):
-            row, above = best[i], best[i - 1]
-            for j, y in enumerate(right, 1):
-                w = max(row[j - 1], above[j])
-                if x.label == y.label:
-                    w = max(w, above[j - 1] + weights[x.number, y.number][0])
-                row[j] = w
+            above = row(above, x, right, held)
+            if i % step == 0 or step == len(left):
+                kept.append(above)
+        total = int(above[-1])
+        rows, low = (kept, 0) if step == len(left) else ([], len(left) + 1)
         chosen, i, j = [], len(left), len(right)
         while i and j:
-            if best[i][j] == best[i - 1][j]:
+            if i - 1 < low:
+                low = (i - 1) // step * step
+                rows = [kept[low // step]]
+                for x in left[low:i]:
+                    rows.append(row(rows[-1], x, right, held))
+            here, above = rows[i - low], rows[i - 1 - low]
+            if here[j] == above[j]:
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
+            elif here[j] == here[j - 1]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                chosen.append((left[i], right[j]))
-        weights[key] = own + best[-1][-1], chosen
+                chosen.append((i, j))
+        return total, chosen
+
+    def _row(self, above: list[int], x: int, right: tuple[int, ...], held: dict) -> list[int]:
+        weights = held.get(x)
+        if weights is None:
+            weights = held[x] = [self.weight(x, y) for y in right]
+        row, last = [0], 0
+        for j, w in enumerate(weights):
+            if above[j + 1] > last:
+                last = above[j + 1]
+            if w and above[j] + w > last:
+                last = above[j] + w
+            row.append(last)
+        return row
+
+    def _long_row(self, above: np.ndarray, x: int, right: tuple[int, ...], held: dict) -> np.ndarray:
+        if "shapes" not in held:
+            shapes, held["places"] = np.unique(np.array(right), return_inverse=True)
+            held["shapes"] = shapes.tolist()
+            names: dict[str, int] = {}
+            held["names"] = names
+            held["labels"] = np.array([names.setdefault(self.label[y], len(names)) for y in held["shapes"]])
+            held["texts"] = np.array([self.text[y] for y in held["shapes"]])
+            held["inner"] = [k for k, y in enumerate(held["shapes"]) if self.children[y]]
+            held["at"] = {y: k for k, y in enumerate(held["shapes"])}
+        equal = held["labels"] == held["names"].get(self.label[x], -1)
+        weights = equal.astype(np.int64)
+        if self.text[x]:
+            weights += equal & (held["texts"] == self.text[x])
+        if self.children[x]:
+            for k in held["inner"]:
+                if equal[k]:
+                    weights[k] = self.weight(x, held["shapes"][k])
+        if x in held["at"]:
+            weights[held["at"][x]] = self.size[x]
+        row = np.zeros_like(above)
+        np.maximum(above[1:], above[:-1] + weights[held["places"]], out=row[1:])
+        return np.maximum.accumulate(row, out=row)
+
+
+def matched(page: Node, pivot: Node) -> dict[int, int]:
+    """Simple tree matching: which node of the pivot each node of the page is aligned with.
+
+    Nodes match if their labels do and their parents match, children in order; of all such matchings one with most nodes, and
+    most nodes that say the same, at every size.
+    """
+    shapes = _Shapes(page, pivot)
+    ours, theirs = shapes.of
+    shapes.find(ours[page.number], theirs[pivot.number])
     out, todo = {}, [(page, pivot)]
     while todo:
         a, b = todo.pop()
         out[a.number] = b.number
-        todo.extend(weights[a.number, b.number][1])
+        if a.children and b.children:
+            todo += [(a.children[i], b.children[j]) for i, j in shapes.pairs(ours[a.number], theirs[b.number])]
     return out
 
 
-def _from_both_ends(left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
-    """Children with equal labels from the start, then from the end."""
-    n, pairs = min(len(left), len(right)), []
-    i = 0
-    while i < n and left[i].label == right[i].label:
-        pairs.append((left[i], right[i]))
-        i += 1
-    j = 1
-    while j <= n - i and left[-j].label == right[-j].label:
-        pairs.append((left[-j], right[-j]))
-        j += 1
-    return pairs
-
-
 @lru_cache(maxsize=64)
 def _pivot(page: str) -> tuple[Node, list[Node]]:
     return parsed(page)
