@@ -178,3 +178,23 @@ def test_template_between_long_runs_is_found(frame):
 
     for got in texts(frame, [(i, "http://long.example/", html(i)) for i in range(4)]).values():
         assert "Between" not in got and "Again" not in got and got.count("\n\n") > 1000
+
+
+def test_every_layout_has_its_template(frame):
+    """Three layouts, a third of the host's pages each, and what is constant in one only."""
+    def html(i):
+        kind = "abc"[i % 3]
+        return f"<body><div class=top>Site</div><div class={kind}><div class=box>Only in {kind}</div><div class=text>Text {i}</div><div class=tail>{kind} ends</div></div>"
+
+    assert texts(frame, [(i, "http://layouts.example/", html(i)) for i in range(15)]) == {i: f"Text {i}" for i in range(15)}
+
+
+def test_template_that_no_single_page_has(frame):
+    """Three notices, each on six of ten pages, and every page lacks one."""
+    lacks = {"x": (0, 1, 2, 3), "y": (4, 5, 6, 0), "z": (7, 8, 9, 1)}
+
+    def html(i):
+        notices = "".join(f"<p class={name}>Notice {name}</p>" for name, pages in lacks.items() if i not in pages)
+        return f"<body><div><div><div><p class=text>Text {i}</p>{notices}</div></div></div>"
+
+    assert texts(frame, [(i, "http://notices.example/", html(i)) for i in range(10)]) == {i: f"Text {i}" for i in range(10)}

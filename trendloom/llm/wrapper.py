@@ -7,6 +7,7 @@ import math
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from trendloom.session import cut
 
-CONSTANT = 0.5  # share of a host's pages in which a node says the same, from which it is template
+CONSTANT = 0.5  # share of the pages of a host, or of a layout of it, in which a node says the same, from which it is template
 CONSTANT_INSIDE = 0.9  # the same for a node inside the article, where pages may be copies
 LEAST_PAGES = 3
+LEVELS = 2  # levels of containers below the body that make a layout
+CONTAINERS = set("div section article main header footer nav aside form table center".split())
 CELLS = 250_000  # the table that matches the children of two nodes is held whole up to this size, beyond it computed again in parts
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -95,6 +98,18 @@ def _other_words(tag: str, kind: str, attributes: dict[str, str], inside: bool)
     return " ".join(sorted(found))
 
 
+TELLING = re.compile("class|id|role|hidden|style", re.I)  # attributes without any of these say nothing about an element
+
+
+@lru_cache(maxsize=4096)
+def _element(tag: str, marks: str, inside: bool) -> tuple[str, str, bool, str]:
+    """Label, kind, whether it is no part of an article, and words against it."""
+    attributes = _attributes(marks) if marks else {}
+    kind, other = _kind(tag, attributes), _is_other(tag, attributes, inside)
+    first = attributes.get("class", "").split()
+    return f"{tag}.{first[0]}" if first else tag, kind, other, "" if other else _other_words(tag, kind, attributes, inside)
+
+
 def parsed(page: str) -> tuple[Node, list[Node]]:
     """The tree of a page, and its nodes in page order.
 
@@ -132,7 +147,9 @@ def parsed(page: str) -> tuple[Node, list[Node]]:
         at = tag.end()
         if tag[1]:
             name = tag[1].lower()
-            if any(n.tag == name for n in stack[1:]):
+            if stack[-1].tag == name:
+                pop()
+            elif any(n.tag == name for n in stack[1:]):
                 while stack[-1].tag != name:
                     pop()
                 pop()
@@ -140,20 +157,18 @@ def parsed(page: str) -> tuple[Node, list[Node]]:
             name, marks = tag[2].lower(), tag[3]
             if name == "br":
                 pieces.append(" ")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ENDS.get(name, ()):
+            ends = ENDS.get(name)
+            for i in range(len(stack) - 1, 0, -1) if ends else ():
+                if stack[i].tag in ends:
                     while len(stack) > i:
                         pop()
                 elif stack[i].tag in HOLDS.get(name, HOLDS_ANY):
                     break
-            attributes = _attributes(marks) if marks.strip(" /\n") else {}
             up = stack[-1]
-            kind = _kind(name, attributes)
-            inside = up.inside or kind != ""
-            other = up.other or _is_other(name, attributes, up.inside)
-            words = "" if other else _other_words(name, kind, attributes, up.inside)
-            first = attributes.get("class", "").split()
-            node = Node(name, f"{name}.{first[0]}" if first else name, other, inside, kind, words, len(nodes) if kind or words else up.around, up.around, number=len(nodes))
+            label, kind, other, words = _element(name, marks if TELLING.search(marks) else "", up.inside)
+            if up.other:
+                other, words = True, ""
+            node = Node(name, label, other, up.inside or kind != "", kind, words, len(nodes) if kind or words else up.around, up.around, number=len(nodes))
             holds = name in BLOCK or words != "" or (other and not up.other)
             if holds:
                 close()
@@ -367,9 +382,42 @@ def _pivot(page: str) -> tuple[Node, list[Node]]:
     return parsed(page)
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) or 1
+
+
+def layout_and_keys(page: str) -> tuple[int, list[int]]:
+    """Hash of the label paths of a page's upper containers, and of every node with text the hash of its label path and text."""
+    _, nodes = parsed(page)
+    upper, keys = set(), set()
+    todo = [(nodes[0], "", 0)]
+    while todo:
+        node, path, level = todo.pop()
+        if node.blocks:
+            keys.add(_hash("\0".join([path, *node.blocks])))
+        for child in node.children:
+            below = f"{path}/{child.label}"
+            deep = level if child.tag in ("html", "body") else level + 1 if child.tag in CONTAINERS else LEVELS + 1
+            if level < deep <= LEVELS:
+                upper.add(below)
+            todo.append((child, below, deep))
+    return _hash("\n".join(sorted(upper))), list(keys)
+
+
+def layouts_and_keys(html: Column) -> Column:
+    """``layout_and_keys`` of every page; nulls for none."""
+
+    @F.arrow_udf("struct<layout: bigint, keys: array<bigint>>")
+    def hashed(pages: pa.Array) -> pa.Array:
+        both = [(None, []) if page is None else layout_and_keys(page) for page in pages.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.list_(pa.int64()))], ["layout", "keys"])
+
+    return hashed(html)
+
+
 FOUND = (
     "struct<marks: array<struct<number: int, outer: int, kind: string, words: string>>, "
-    "blocks: array<struct<text: string, node: int, other: boolean, inside: boolean, same: boolean, around: int>>>"
+    "blocks: array<struct<text: string, said: array<bigint>, other: boolean, inside: boolean, around: int>>>"
 )
 
 
@@ -378,27 +426,30 @@ def _lists(sizes: list[int], **columns: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
 
-def aligned_blocks(html: Column, pivot: Column) -> Column:
-    """Blocks of a page in page order; ``node`` is the pivot's node they are aligned with, ``same`` whether that says the same.
+def aligned_blocks(html: Column, pivots: Column, layout_pivots: Column) -> Column:
+    """Blocks of a page in page order; ``said`` has the nodes of the pivots that they are aligned with and that say the same.
 
-    ``marks`` are the articles, main elements and elements with words against them; ``around`` is the nearest of these.
+    A node is its place in the pivot, plus 2^32 times the place of the pivot among the host's; for the pivots of the layout
+    all that counts down from -1. ``marks`` are the articles, main elements and elements with words against them; ``around``
+    is the nearest of these.
     """
 
     @F.arrow_udf(FOUND)
-    def blocks(pages: pa.Array, pivots: pa.Array) -> pa.Array:
+    def blocks(pages: pa.Array, pivots: pa.Array, layout_pivots: pa.Array) -> pa.Array:
         marks, rows, sizes = [], [], ([], [])
-        for page, reference in zip(pages.to_pylist(), pivots.to_pylist(), strict=True):
+        for page, *references in zip(pages.to_pylist(), pivots.to_pylist(), layout_pivots.to_pylist(), strict=True):
             root, nodes = parsed(page or "")
-            met, there = {}, []
-            if reference is not None:
-                other_root, there = _pivot(reference)
-                met = matched(root, other_root)
+            said: dict[int, list[int]] = {}
+            for of_layout, pages_there in enumerate(references):
+                for k, reference in enumerate(pages_there or ()):
+                    other_root, there = _pivot(reference)
+                    for number, at in matched(root, other_root).items():
+                        if there[at].blocks and nodes[number].blocks == there[at].blocks:
+                            said.setdefault(number, []).append(-1 - (k << 32 | at) if of_layout else k << 32 | at)
             own = []
             for node in nodes:
                 if node.blocks:
-                    at = met.get(node.number)
-                    same = at is not None and node.blocks == there[at].blocks
-                    own += [(place, text, at, node.other, node.inside, same, node.around) for place, text in zip(node.places, node.blocks, strict=True)]
+                    own += [(place, text, said.get(node.number, ()), node.other, node.inside, node.around) for place, text in zip(node.places, node.blocks, strict=True)]
             own.sort(key=lambda row: row[0])
             held = [(n.number, n.outer, n.kind, n.words) for n in nodes if n.kind or n.words]
             rows += own
@@ -406,17 +457,17 @@ def aligned_blocks(html: Column, pivot: Column) -> Column:
             sizes[0].append(len(held))
             sizes[1].append(len(own))
         number, outer, kind, words = zip(*marks, strict=True) if marks else [()] * 4
-        _, text, node, other, inside, same, around = zip(*rows, strict=True) if rows else [()] * 7
+        _, text, same, other, inside, around = zip(*rows, strict=True) if rows else [()] * 6
         whole, flag, string = pa.int32(), pa.bool_(), pa.string()
         return pa.StructArray.from_arrays(
             [
                 _lists(sizes[0], number=pa.array(number, whole), outer=pa.array(outer, whole), kind=pa.array(kind, string), words=pa.array(words, string)),
-                _lists(sizes[1], text=pa.array(text, string), node=pa.array(node, whole), other=pa.array(other, flag), inside=pa.array(inside, flag), same=pa.array(same, flag), around=pa.array(around, whole)),
+                _lists(sizes[1], text=pa.array(text, string), said=pa.array(same, pa.list_(pa.int64())), other=pa.array(other, flag), inside=pa.array(inside, flag), around=pa.array(around, whole)),
             ],
             ["marks", "blocks"],
         )
 
-    return blocks(html, pivot)
+    return blocks(html, pivots, layout_pivots)
 
 
 def _standing(marks: list[tuple], content: list[tuple]) -> set[int]:
@@ -506,35 +557,86 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def _common(n: Column, pages: Column, share: Column) -> Column:
+    return n >= F.greatest(F.lit(LEAST_PAGES), share * pages)
+
+
+def _scopes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Number of pages of each (site, scope) that can have a template, and (site, scope, h, keys) of each page in its scopes.
+
+    Scope 0 is the host, the others are layouts that only some of its pages have.
+    """
+    layouts = keyed.groupBy("site", "layout").agg(F.count(F.lit(1)).alias("pages"))
+    hosts = layouts.groupBy("site").agg(F.sum("pages").alias("pages"))
+    some = layouts.join(hosts.withColumnRenamed("pages", "all"), "site").where((F.col("pages") < F.col("all")) & (F.col("pages") >= LEAST_PAGES))
+    sizes = cut(hosts.where(F.col("pages") >= LEAST_PAGES).select("site", F.lit(0).cast("long").alias("scope"), "pages").union(some.select("site", "layout", "pages")))
+    of_layouts = sizes.where("scope != 0").select("site", F.col("scope").alias("layout"), F.col("scope"))
+    scopes = F.filter(F.array(F.lit(0).cast("long"), F.col("scope")), lambda x: x.isNotNull())
+    return sizes, keyed.join(of_layouts, ["site", "layout"], "left").select("site", F.explode(scopes).alias("scope"), "h", "keys")
+
+
+def pivots_of(filled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, scope, pages), and the pages (site, scope, html) that the pages of a host or layout are aligned with.
+
+    What enough pages say at the same label path may be template, and of each such text the page that holds most of them is a
+    pivot. So one page is enough where it has all, and no text is missed because a page drawn lacks it. A layout has pivots for
+    what is common in it and not on the whole host.
+    """
+    keyed = cut(filled.select("site", F.xxhash64("html").alias("h"), layouts_and_keys(F.col("html")).alias("k")).select("site", "h", "k.layout", "k.keys"))
+    sizes, scoped = _scopes(keyed)
+    counts = scoped.select("site", "scope", F.explode("keys").alias("key")).groupBy("site", "scope", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    common = counts.join(sizes, ["site", "scope"]).where(_common(F.col("n"), F.col("pages"), F.lit(CONSTANT)))
+    everywhere = F.max(F.col("scope") == 0)
+    common = common.groupBy("site", "key").agg(F.collect_list("scope").alias("scopes"), everywhere.alias("host"))
+    common = common.select("site", "key", F.explode(F.when(F.col("host"), F.array(F.lit(0).cast("long"))).otherwise(F.col("scopes"))).alias("scope"))
+    sets = cut(common.groupBy("site", "scope").agg(F.collect_set("key").alias("common")))
+    held = scoped.join(sets, ["site", "scope"]).select("site", "scope", "h", F.array_intersect("keys", "common").alias("held"))
+    best = held.select("site", "scope", F.explode("held").alias("key"), F.struct(F.size("held").alias("n"), "h").alias("page")).groupBy("site", "scope", "key").agg(F.max("page").alias("page"))
+    drawn = cut(best.select("site", "scope", F.col("page.h").alias("h")).distinct())
+    found = filled.select("site", "html", F.xxhash64("html").alias("h")).join(drawn, ["site", "h"])
+    return sizes, found.groupBy("site", "scope", "h").agg(F.min("html").alias("html"))
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html): the text of the article.
 
-    One page per host, drawn by hash, is the pivot; every other page of the host is aligned with it by simple tree matching.
-    Over all pages of the host it is counted in how many a node of the pivot says the same: from half of them on, and at least
-    three, it is template (nine tenths inside an article or main element, where pages may be copies of each other). Other
+    Every page of a host is aligned by simple tree matching with the host's pivots, pages that hold between them all that may
+    be template, and with those of its layout (``pivots_of``). Over all pages of the host, or of the layout, it is counted in
+    how many a node of the pivot says the same: from half of them on, and at least three, it is template (nine tenths inside an
+    article or main element, where pages may be copies of each other). Other
     slots vary and are content, unless an element or role marks them as menu, header, footer, sidebar or notice, or a class or
     id as such or as advert, form or comment. A class, id or form does not count where it holds a main element, the largest
-    article or most of the page's varying text, nor where nothing would be left. If content is left inside an article or main element, what is outside goes. If the template would
-    take all there is inside, the page is a copy and keeps it.
+    article or most of the page's varying text, nor where nothing would be left. If content is left inside an article or main
+    element, what is outside goes. If the template would take all there is inside, the page is a copy and keeps it.
 
     Blocks are joined by two line feeds; white space in a block is one blank, references are decoded. Null and empty html give
     an empty text. Pages without a host in their url, and hosts of fewer than three pages, have no template. Repeated rows come
     out each. An empty table gives an empty one; other columns are not read.
     """
-    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    filled = own.where(F.col("host").isNotNull() & (F.length("html") > 0))
-    drawn = filled.groupBy("host").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("p"), F.count(F.lit(1)).alias("pages"))
-    pivots = cut(drawn.where(F.col("pages") >= LEAST_PAGES).select(F.col("host").alias("of"), F.col("p.html").alias("pivot"), "pages"))
-    dressed = own.join(pivots.select("of", "pivot"), F.col("host") == F.col("of"), "left")
-    found = cut(dressed.select("page_id", "url", "host", aligned_blocks(F.col("html"), F.col("pivot")).alias("page")))
-
-    said = found.select("host", F.explode(F.array_distinct(F.transform(F.filter("page.blocks", lambda b: b.same), lambda b: F.struct(b.node.alias("node"), b.inside.alias("inside"))))).alias("n"))
-    counts = said.groupBy("host", "n.node", "n.inside").agg(F.count(F.lit(1)).alias("n"))
+    host = host_of(F.col("url"))
+    own = pages.select("page_id", "url", "html", F.when(host.isNotNull(), F.xxhash64(host)).alias("site"))
+    sizes, drawn = pivots_of(own.where(F.col("site").isNotNull() & (F.length("html") > 0)))
+    pivots = cut(drawn.groupBy("site", "scope").agg(F.transform(F.sort_array(F.collect_list(F.struct("h", "html"))), lambda x: x.html).alias("pivots")))
+    of_hosts = pivots.where("scope = 0").select(F.col("site").alias("of"), "pivots")
+    of_layouts = pivots.where("scope != 0").select(F.col("site").alias("of_site"), F.col("scope").alias("of_layout"), F.col("pivots").alias("layout_pivots"))
+    several = of_layouts.select(F.col("of_site").alias("several")).distinct()
+    dressed = own.join(of_hosts, F.col("site") == F.col("of"), "left").join(several, F.col("site") == F.col("several"), "left")
+    dressed = dressed.withColumn("layout", layouts_and_keys(F.when(F.col("several").isNotNull(), F.col("html")))["layout"])
+    dressed = dressed.join(of_layouts, (F.col("site") == F.col("of_site")) & (F.col("layout") == F.col("of_layout")), "left")
+    found = cut(dressed.select("page_id", "url", "site", "layout", aligned_blocks(F.col("html"), F.col("pivots"), F.col("layout_pivots")).alias("page")))
+
+    nodes = F.flatten(F.transform("page.blocks", lambda b: F.transform(b.said, lambda n: F.struct(n.alias("node"), b.inside.alias("inside")))))
+    said = found.select("site", "layout", F.explode(F.array_distinct(nodes)).alias("n")).withColumn("scope", F.when(F.col("n.node") < 0, F.col("layout")).otherwise(F.lit(0).cast("long")))
+    counts = said.groupBy("site", "scope", "n.node", "n.inside").agg(F.count(F.lit(1)).alias("n"))
     share = F.when(F.col("inside"), CONSTANT_INSIDE).otherwise(CONSTANT)
-    constant = counts.join(pivots.select("of", "pages"), F.col("host") == F.col("of")).where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), share * F.col("pages")))
+    constant = counts.join(sizes, ["site", "scope"]).where(_common(F.col("n"), F.col("pages"), share))
     # written, so that Spark knows its size before it deals out the pages
-    templates = cut(constant.groupBy(F.col("host").alias("of")).agg(F.collect_set("node").alias("template")))
-
-    marked = found.join(templates, F.col("host") == F.col("of"), "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
-    constant = F.transform("page.blocks", lambda b: b.same & F.array_contains("template", b.node))
+    templates = cut(constant.groupBy("site", "scope").agg(F.collect_set("node").alias("template")))
+
+    of_hosts = templates.where("scope = 0").select(F.col("site").alias("of"), "template")
+    of_layouts = templates.where("scope != 0").select(F.col("site").alias("of_site"), F.col("scope").alias("of_layout"), F.col("template").alias("layout_template"))
+    marked = found.join(of_hosts, F.col("site") == F.col("of"), "left").join(of_layouts, (F.col("site") == F.col("of_site")) & (F.col("layout") == F.col("of_layout")), "left")
+    none = F.array().cast("array<bigint>")
+    marked = marked.withColumn("template", F.concat(F.coalesce("template", none), F.coalesce("layout_template", none)))
+    constant = F.transform("page.blocks", lambda b: F.arrays_overlap(b.said, F.col("template")))
     return marked.select("page_id", "url", main_text(F.col("page"), constant).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
