@@ -93,3 +93,12 @@ def test_resampling_of_odd_rows(frame, corpus):
         by_row.setdefault((r.doc_id, r.text), set()).add(r.kept)
     assert all(len(v) == 1 for v in by_row.values()) and 3 <= sum(r.kept for r in result) <= 4
     assert resampling.resampled(cut(resampling.weighed(docs.where("false"), ratios)), 0.5).count() == 0
+
+
+def test_buckets_follow_the_labelled_text(frame):
+    docs = frame([(i, " ".join(f"w{i}x{j}" for j in range(20_000))) for i in range(40)], "doc_id long, text string")
+    labels = frame([(i, int(i < 30)) for i in range(40)], "doc_id long, quality int")
+    ratios, share = resampling.fit(docs, labels)
+    assert share == 0.75 and len(ratios) == 1 << 16  # 30 texts of 39 999 n-grams, at most 32 in a bucket
+    assert len(resampling.fit(docs, labels.where("doc_id = 1"))[0]) == resampling.LEAST_BUCKETS
+    assert len(resampling.fit(docs, labels, 777)[0]) == 777

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import drop_from, gram_hashes, row_numbers, word_hashes
+from trendloom.llm.common import drop_from, gram_hashes, row_numbers, word_hashes, words
+from trendloom.session import cut
 
-BUCKETS = 10_000
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 18
+GRAMS_A_BUCKET = 32  # n-grams of the target in a bucket, at most, up to MOST_BUCKETS
 SAMPLE = 10_000  # labelled rows, good and bad together, that the target model and the share of good text are fitted on
 WEIGHT_GRAMS = 400  # a text weighs as one of at most so many n-grams, else length alone would decide
 SEED = 17
@@ -37,7 +39,12 @@ def labelled_sample(labels: DataFrame, size: int = SAMPLE, label: str = "quality
     return one.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(size)
 
 
-def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def width(grams: int) -> int:
+    """Buckets for a target of so many n-grams: a power of two. The target tells buckets apart only as far as it fills them."""
+    return min(max(LEAST_BUCKETS, 1 << (-(-grams // GRAMS_A_BUCKET) - 1).bit_length()), MOST_BUCKETS) if grams else LEAST_BUCKETS
+
+
+def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, raw, target): n-grams in all texts, and in those whose ``good`` is 1. Each task sends one row per bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,17 +67,21 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, size: int = SAMPLE) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, size: int = SAMPLE) -> tuple[np.ndarray, float]:
     """(log ratio per bucket, share of good text): the raw model counts all texts, the target model the good ones of the sample.
 
-    Only the counts of the buckets reach the driver. Without good labelled text all ratios are 0 and the share is 1.
+    There are as many buckets as the measured n-grams of the target call for (``width``), unless a number is given. Only the
+    counts of the buckets reach the driver. Without good labelled text all ratios are 0 and the share is 1.
     """
-    sample = labelled_sample(labels, size)
+    sample = cut(labelled_sample(labels, size))
+    n_words = F.when(F.col("good") == 1, F.size(words(F.col("text")))).otherwise(0).cast("long")
+    grams = F.sum(F.greatest(2 * n_words - 1, F.lit(0)))
+    good, grams = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").agg(F.avg("good"), F.coalesce(grams, F.lit(0))).first()
+    buckets = buckets or width(grams)
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left")  # at most ``size`` rows of two numbers
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for row in bucket_counts(marked, buckets).toLocalIterator():
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    good = docs.select("doc_id").join(F.broadcast(sample), "doc_id").agg(F.avg("good")).first()[0]
     if not target.sum():
         return np.zeros(buckets), 1.0
     smooth = lambda x: (x + 1.0) / (x.sum() + buckets)
