@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe_transducer, common, decontaminate, jaccard_join, quality_rules, resampling, sharding, token_files, toxicity, warc, wrapper
+from trendloom.llm import bpe_transducer, collocations, common, decontaminate, jaccard_join, language, periodic_runs, quality_rules, resampling, sharding, token_files, toxicity, warc, wrapper
 from trendloom.session import SETTINGS, cut, work_folder
 
 
@@ -68,9 +68,21 @@ def op10_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resampled(scored, share).select("doc_id", "log_ratio", "kept")
 
 
+def op11_hat_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.top_phrases(_table(spark, folder, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digests(_table(spark, folder, "documents"))
+
+
+def op13_language_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predicted(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_wrapper_induction, op2_warc_transactions, op3_winnowing, op4_subword_toxicity, op5_feistel_shards, op6_token_files, op7_bpe_transducer, op8_jaccard_join, op9_quality_rules, op10_resampling)
+    for f in (op1_wrapper_induction, op2_warc_transactions, op3_winnowing, op4_subword_toxicity, op5_feistel_shards, op6_token_files, op7_bpe_transducer, op8_jaccard_join, op9_quality_rules, op10_resampling, op11_hat_collocations, op12_periodic_runs, op13_language_spans)
 }
 
 ORACLES = {
@@ -78,4 +90,5 @@ ORACLES = {
     "op3_winnowing": decontaminate.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_quality_rules": quality_rules.oracle(),
+    "op11_hat_collocations": collocations.ORACLE,
 }
