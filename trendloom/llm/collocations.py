@@ -70,8 +70,10 @@ class Pieces:
             a = b
         return out
 
-    def word(self, i: int) -> bytes:
-        return _FOLD.astype(np.uint8)[self.flat[self.begin[i] : self.end[i]]].tobytes()
+    def words(self, at: np.ndarray) -> list[bytes]:
+        """The words at these places, A-Z lower-cased."""
+        text = _FOLD.astype(np.uint8)[self.flat].tobytes()
+        return [text[a:b] for a, b in zip(self.begin[at].tolist(), self.end[at].tolist(), strict=True)]
 
     def starts(self, n: int) -> np.ndarray:
         """Places from which n words lie in one piece."""
@@ -210,8 +212,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 continue
             lang = number[pieces.text_of]
             first, times = _distinct([lang, pieces.hashes])
-            for i, l, h, n in zip(first.tolist(), lang[first].tolist(), _signed(pieces.hashes)[first].tolist(), times.tolist(), strict=True):
-                key = (names[l], pieces.word(i), h)
+            keys = zip([names[i] for i in lang[first].tolist()], pieces.words(first), _signed(pieces.hashes)[first].tolist(), strict=True)
+            for key, n in zip(keys, times.tolist(), strict=True):
                 held[key] = held.get(key, 0) + n
             if len(held) > KEYS:
                 yield rows(held)
