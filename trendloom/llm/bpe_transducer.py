@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -13,8 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STATES = 200_000  # determinised states held at a time; then all are dropped and built anew
-PIECES = 500_000  # encoded pieces held at a time
+# What a worker holds beside the ranks, in bytes as estimated for each entry. A table that is full is dropped and built anew,
+# of pieces only the older half.
+STATES = 100_000  # determinised states with their moves, about 600 bytes each: 60 MB
+PAIRS = 400_000  # verdicts on neighbours, about 110 bytes each: 44 MB
+PIECE_BYTES, PIECES_HELD = 200, 64 << 20  # encoded pieces and words: their text, ids and so many bytes each
 LONG = 1 << 20  # characters from which a text is cut into pieces bit by bit
 
 
@@ -37,28 +41,28 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.bound = ranks, states
         self.bytes_of = {i: b for b, i in ranks.items()}
-        # trie: node -> {byte: node}; what token ends at a node
-        self.next: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        # trie: 256 * node + byte -> node; what token ends at a node
+        self.next: dict[int, int] = {}
+        ends = [-1]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                step = self.next[node].get(byte)
+                step = self.next.get(node << 8 | byte)
                 if step is None:
-                    step = self.next[node][byte] = len(self.next)
-                    self.next.append({})
-                    self.ends.append(-1)
+                    step = self.next[node << 8 | byte] = len(ends)
+                    ends.append(-1)
                 node = step
-            self.ends[node] = rank
+            ends[node] = rank
+        self.ends = array("i", ends)
         self.spines: dict[int, tuple[list[int], list[int]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
         start = ((0, -1, ()),)  # (trie node, last token, tokens not yet written)
         self.ids = {start: 0}
         self.guesses = [start]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # 256 * state + byte -> (state, tokens to write)
 
     def merged(self, text: bytes, stop: int = 1) -> list[bytes]:
         """Plain merging by rank, down to ``stop`` parts, for the few bytes of a token."""
@@ -94,11 +98,12 @@ class Transducer:
         """Whether merging the bytes of both leaves the two tokens."""
         if last < 0:
             return bool(self._spines(token)[0])
-        known = self.pairs.get((last, token))
+        key = last << 32 | token
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= 4 * self.bound:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[last, token] = self._stay_apart(self._spines(last)[0], self._spines(token)[1])
+            known = self.pairs[key] = self._stay_apart(self._spines(last)[0], self._spines(token)[1])
         return known
 
     def _stay_apart(self, left: list[int], right: list[int]) -> bool:
@@ -125,7 +130,7 @@ class Transducer:
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         found = []
         for node, last, held in self.guesses[state]:
-            step = self.next[node].get(byte)
+            step = self.next.get(node << 8 | byte)
             if step is None:
                 continue
             found.append((step, last, held))
@@ -143,8 +148,7 @@ class Transducer:
         if target is None:
             target = self.ids[key] = len(self.guesses)
             self.guesses.append(key)
-            self.moves.append({})
-        move = self.moves[state][byte] = (target, first[:common])
+        move = self.moves[state << 8 | byte] = (target, first[:common])
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -157,7 +161,7 @@ class Transducer:
         out: list[int] = []
         state = 0
         for byte in piece:
-            move = self.moves[state].get(byte) or self._move(state, byte)
+            move = self.moves.get(state << 8 | byte) or self._move(state, byte)
             state = move[0]
             if move[1]:
                 out.extend(move[1])
@@ -167,7 +171,6 @@ class Transducer:
                 state = self.ids.setdefault(guesses, len(self.guesses))
                 if state == len(self.guesses):
                     self.guesses.append(guesses)
-                    self.moves.append({})
         out.extend(next(held for node, _, held in self.guesses[state] if node == 0))
         return out
 
@@ -188,8 +191,17 @@ class Encoder:
         import regex
 
         self.pattern, self.transducer = regex.compile(pattern), Transducer(ranks)
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by piece, and by word where a word is a stretch between safe cuts
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def _learn(self, text: str, ids: bytes) -> bytes:
+        """Holds the ids. The younger half becomes the older one when it is full; what is used again comes back from there."""
+        if self.held > PIECES_HELD // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+        self.held += len(text) + len(ids) + PIECE_BYTES
+        self.known[text] = ids
+        return ids
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) < LONG:
@@ -199,27 +211,36 @@ class Encoder:
         while block := [m.group() for m in islice(matches, LONG // 8)]:
             yield block
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.older.get(piece)
+            ids = self._learn(piece, ids if ids is not None else np.array(self.transducer.encode(piece.encode()), "<u4").tobytes())
+        return ids
+
     def _by_pattern(self, text: str) -> bytes:
-        known, out = self.known, []
-        for pieces in self._pieces(text):
-            if len(known) > PIECES:
-                known.clear()
-            for piece in pieces:
-                ids = known.get(piece)
-                if ids is None:
-                    ids = known[piece] = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
-                out.append(ids)
-        return b"".join(out)
+        return b"".join([self._piece(p) for pieces in self._pieces(text) for p in pieces])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a stretch between safe cuts."""
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                pieces = self.pattern.findall(word) if len(word) < LONG else []
+                if len(pieces) == 1:
+                    return self._piece(word)
+                ids = self._by_pattern(word) if not pieces else b"".join(map(self._piece, pieces))
+            self._learn(word, ids)
+        return ids
 
     def _line(self, line: str) -> bytes:
         first, *rest = line.split(" ")
         words = [first, *[" " + word for word in rest]]
         try:
-            return b"".join(map(self.words.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            if len(self.words) > PIECES:
-                self.words.clear()
-            return b"".join([self.words[w] if w in self.words else self.words.setdefault(w, self._by_pattern(w)) for w in words])
+            return b"".join(map(self._word, words))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -259,7 +280,7 @@ class StreamDecoder:
 
 @lru_cache(maxsize=2)
 def _coder(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
-    """One coder for all batches of a Python worker."""
+    """One coder for all tasks of a Python worker, which lives on between them: hence the bounds in bytes."""
     ranks = read_ranks(path)
     return Encoder(ranks, pattern), StreamDecoder(ranks)
 
@@ -298,6 +319,8 @@ def round_trip(text: Column, path: str, pattern: str, chunk: int = 1 << 16, with
 
     ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256 of the UTF-8 bytes of the decoded text.
     With ``with_ids`` the bytes of the ids are a fourth field. Null is an empty text: no tokens, and the digests of nothing.
+    Every row is worked out by itself, so equal rows have equal results, an empty table gives an empty one, other columns do
+    not matter and there are no ties. Texts are taken whole; one of ``LONG`` characters or more is cut into pieces bit by bit.
     """
     fields = "n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", ids: binary" if with_ids else "")
 
