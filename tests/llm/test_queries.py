@@ -1,5 +1,7 @@
 """Registered queries: twins where SQL has one, the contract's columns for all, the pipeline stage by stage."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -75,3 +77,29 @@ def test_stages_on_odd_rows(spark, frame):
     )
     assert corpus_pipeline.no_benchmark(spark, docs, FOLDER).count() == len(rows)
     assert corpus_pipeline.token_ids(spark, docs, FOLDER).count() == len(rows)
+
+
+CLASHING = """kept n_words n_symbols base_failed passes_length log_ratio sample_key row_number bits within at maybe bucket gone_id gone_key
+id key twice_id _bits _in _at _maybe _bucket _gone_id _gone_key _id _key text_key component component_id n_shingles n_hit contaminated
+good doc both _order_0 _tie _part""".split()
+
+
+def test_columns_of_any_name_keep_their_values(spark, frame):
+    """Documents with columns named like those of the stages, among them a very long text, come through each stage unchanged."""
+    source = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(120).collect()
+    words = [w for r in source if r.lang == "en" and "http" not in r.text for w in r.text.split()] * 3
+    random.Random(1).shuffle(words)
+    long_text = " ".join(w + "\n" * (i % 15 == 14) for i, w in enumerate(words))
+    rows = [(r.doc_id, r.text) for r in source] + [(10_001, long_text), (10_002, None), (10_003, ""), (10_004, source[0].text), (10_004, source[0].text)]
+    values = [(i, t, *[f"{c} of {i}" for c in CLASHING[:-1]], float(i)) for i, t in rows]
+    docs = frame(values, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING[:-1]) + f", `{CLASHING[-1]}` double")
+    given = {tuple(v) for v in values}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, FOLDER)
+        assert found.columns == docs.columns and found.dtypes == docs.dtypes, name
+        got = [tuple(r) for r in found.collect()]
+        assert got and set(got) <= given, name
+        assert any(r[0] == 10_001 for r in got), name
+    _, last = corpus_pipeline.STAGES[-1]
+    assert last(spark, docs, FOLDER).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert last(spark, docs, FOLDER).count() == len(rows)
