@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from trendloom.llm import collocations
@@ -48,10 +49,10 @@ def texts(seed, size=400):
     return rows + [("", "en"), (None, "en"), (None, None), ("...", "fr"), ("once", "fr"), ("New york " * 3000, "es"), ("  ", "")]
 
 
-@pytest.mark.parametrize(("least", "longest", "percent", "burst", "keys"), [(10, 3, 50, 4096, 400_000), (3, 4, 40, 2, 40), (2, 2, 50, 1, 1)])
+@pytest.mark.parametrize(("least", "longest", "percent", "burst", "keys"), [(10, 3, 50, 8192, 400_000), (3, 4, 40, 2, 40), (2, 2, 50, 1, 1)])
 def test_equal_to_plain_counting(spark, frame, monkeypatch, least, longest, percent, burst, keys):
     monkeypatch.setattr(collocations, "KEYS", keys)
-    monkeypatch.setattr(collocations.HatTrie.__init__, "__defaults__", (burst, keys))
+    monkeypatch.setattr(collocations, "BURST", burst)
     rows = texts(least)
     docs = frame([(t, lang, "x", 1) for t, lang in rows], "text string, lang string, w1 string, n int").repartition(3)
     got = collocations.top_phrases(docs, 50, least, longest, percent)
@@ -66,19 +67,27 @@ def test_scores_beyond_64_bits(spark):
     assert row["s"] == 1_000_000 * big * big // ((big + 7) * (big + 1))
 
 
-@pytest.mark.parametrize(("burst", "keys"), [(1, 5), (3, 1000), (100, 50)])
-def test_trie_counts_and_spills_sorted_runs(burst, keys):
+@pytest.mark.parametrize(("burst", "keys", "words"), [(1, 5, 6), (3, 1000, 6), (100, 50, 300)])
+def test_trie_counts_and_spills_sorted_runs(burst, keys, words):
+    """Ids that differ in their first or in their last byte only, so that containers burst at every depth."""
     r, trie, want, got = random.Random(burst), collocations.HatTrie(3, burst, keys), Counter(), Counter()
+    ids = [r.choice([i, (i % 256) << 56, r.getrandbits(64)]) for i in range(1, words)]
+
+    def take(run):
+        rows = [tuple(x) for x in run[0].T.tolist()]
+        assert rows == sorted(rows) and len(set(rows)) == len(rows) and len({x[0] >> 60 for x in rows}) == 1
+        got.update(dict(zip(rows, run[1].tolist(), strict=True)))
+
     for _ in range(60):
-        batch = Counter(tuple(r.randrange(6) for _ in range(3)) for _ in range(30))
+        batch = Counter(tuple(r.choice(ids) for _ in range(3)) for _ in range(30))
         want += batch
-        trie.add(iter(sorted(batch)), (batch[x] for x in sorted(batch)))
+        rows = sorted(batch)
+        trie.add(np.array(rows, np.uint64).T, np.array([batch[x] for x in rows]))
         for run in [*trie.spill(), *(trie.spill(all_of_it=True) if r.random() < 0.05 else [])]:
-            assert run == sorted(run) and len({x[0] for x in run}) == 1
-            got += Counter({x[:3]: x[3] for x in run})
-        assert trie.held == sum(trie.sizes.values()) <= max(keys, 30)
+            take(run)
+        assert trie.held <= max(keys, 30)
     for run in trie.spill(all_of_it=True):
-        got += Counter({x[:3]: x[3] for x in run})
+        take(run)
     assert got == want and not trie.root and not trie.held
 
 

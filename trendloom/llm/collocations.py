@@ -21,8 +21,10 @@ from trendloom.session import cut
 LEAST, LONGEST, TOP = 10, 3, 2000
 PERCENT = 50  # of the occurrences of a phrase that a longer candidate must have to absorb it
 NO_LANG = "und"
-BURST = 4096  # keys in a container before it bursts
-KEYS = 400_000  # keys in a trie before whole subtrees are spilled
+BURST = 8192  # keys in a container before it bursts
+KEYS = 1_000_000  # keys in the tries of a task before whole subtrees are spilled: about 80 MB
+WORDS = 300_000  # words that a task holds before it sends their counts
+GATHER = 400_000  # phrases added to the tries at a time
 MOST_BITS = 1 << 27
 STEP = 1 << 20  # bytes worked through at a time
 
@@ -91,79 +93,133 @@ def phrase_hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+class Container:
+    """A hash table from the ids of a phrase to its count, in arrays, with open addressing; whole batches are added at once."""
+
+    def __init__(self, n: int):
+        self.n, self.held = n, 0
+        self._room(64)
+
+    def _room(self, size: int) -> None:
+        self.mask = np.uint64(size - 1)
+        self.ids = np.zeros((self.n, size), np.uint64)
+        self.counts = np.zeros(size, np.int64)  # 0: free
+        self.claims = np.zeros(size, np.int64)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the columns of ``ids``, all different."""
+        if 2 * (self.held + len(counts)) > len(self.counts):
+            old_ids, old_counts = self.rows()
+            self.held = 0
+            self._room(1 << int(4 * (len(old_counts) + len(counts))).bit_length() - 1)
+            self._insert(old_ids, old_counts)
+        self._insert(ids, counts)
+
+    def _insert(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        slot = np.zeros(len(counts), np.uint64)
+        for column in ids:
+            slot = _mixed(slot + column)
+        slot = (slot & self.mask).astype(np.int64)
+        todo = np.arange(len(counts))
+        while len(todo):
+            at = slot[todo]
+            free = self.counts[at] == 0
+            wanted = todo[free]
+            self.claims[slot[wanted]] = wanted  # of several, one gets the place
+            won = wanted[self.claims[slot[wanted]] == wanted]
+            self.ids[:, slot[won]] = ids[:, won]
+            self.counts[slot[won]] = counts[won]
+            self.held += len(won)
+            met = todo[~free]
+            same = (self.ids[:, slot[met]] == ids[:, met]).all(0)
+            self.counts[slot[met[same]]] += counts[met[same]]
+            lost = wanted[self.claims[slot[wanted]] != wanted]
+            on = met[~same]
+            slot[on] = (slot[on] + 1) & np.int64(self.mask)
+            todo = np.concatenate([lost, on])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        used = np.flatnonzero(self.counts)
+        return self.ids[:, used], self.counts[used]
+
+
 class HatTrie:
-    """Counts of sequences of word ids: a shallow trie of ids over burstable hash containers.
+    """Counts of sequences of word ids: a shallow trie over the ids, four bits a step, with burstable hash containers below it.
 
-    A container is a hash table from the rest of a sequence to its count. One that outgrows ``burst`` keys becomes a node with
-    a container for every first id, as long as a rest of two ids or more is left. When the whole holds more than ``keys`` keys,
-    the subtrees with the most keys are cut off as sorted runs until half is left.
+    A container holds all sequences of one prefix. One that outgrows ``burst`` keys becomes a node with a container
+    for every next step, so that only the prefixes of frequent words lie deep. When the whole holds more than ``keys`` keys,
+    the subtrees under the root with the most keys are cut off as sorted runs until half is left.
     """
 
     def __init__(self, n: int, burst: int = BURST, keys: int = KEYS):
         self.n, self.burst, self.bound = n, burst, keys
-        self.root: dict = {}
+        self.root: dict[int, dict | Container] = {}
         self.sizes: dict[int, int] = {}
-        self.held = 0
-
-    def _burst(self, container: dict, depth: int) -> dict:
-        node: dict = {}
-        for rest, count in container.items():
-            node.setdefault(rest[0], {})[rest[1:]] = count
-        return {first: self._grown(inner, depth + 1) for first, inner in node.items()}
-
-    def _grown(self, container: dict, depth: int) -> tuple[bool, dict]:
-        """(is a node, children), burst as often as needed."""
-        if len(container) > self.burst and self.n - depth >= 2:
-            return True, self._burst(container, depth)
-        return False, container
-
-    def add(self, sequences: Iterator[tuple], counts: Iterator[int]) -> None:
-        """Adds sequences with the same first id one after another; each at most once."""
-        for sequence, count in zip(sequences, counts, strict=True):
-            first = sequence[0]
-            found = self.root.get(first)
-            if found is None:
-                found = self.root[first] = (False, {})
-                self.sizes[first] = 0
-            depth, parent, key = 1, self.root, first
-            while found[0]:
-                parent, key = found[1], sequence[depth]
-                depth += 1
-                found = parent.get(key)
-                if found is None:
-                    found = parent[key] = (False, {})
-            container, rest = found[1], sequence[depth:]
-            known = container.get(rest)
-            if known is not None:
-                container[rest] = known + count
-                continue
-            container[rest] = count
-            self.sizes[first] += 1
-            self.held += 1
-            if len(container) > self.burst:
-                parent[key] = self._grown(container, depth)
-
-    def _walk(self, found: tuple[bool, dict], prefix: tuple) -> Iterator[tuple]:
-        is_node, inner = found
-        for key in sorted(inner):
-            if is_node:
-                yield from self._walk(inner[key], (*prefix, key))
-            else:
-                yield (*prefix, *key, inner[key])
 
-    def cut_off(self, first: int) -> list[tuple]:
+    @property
+    def held(self) -> int:
+        return sum(self.sizes.values())
+
+    @staticmethod
+    def _by_nibble(ids: np.ndarray, depth: int) -> Iterator[tuple[int, slice]]:
+        """Sorted columns cut where the four bits at this depth change."""
+        nibble = (ids[depth // 16] >> np.uint64(60 - 4 * (depth % 16))) & np.uint64(15)
+        first = np.flatnonzero(np.r_[True, nibble[1:] != nibble[:-1]])
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(nibble)], strict=True):
+            yield int(nibble[a]), slice(a, b)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Adds sequences, one a column, all different and sorted."""
+        if len(counts):
+            self._into(self.root, ids, counts, 0)
+
+    def _into(self, node: dict, ids: np.ndarray, counts: np.ndarray, depth: int) -> int:
+        """Adds below a node; gives the number of new keys."""
+        new = 0
+        for step, part in self._by_nibble(ids, depth):
+            child = node.get(step)
+            if child is None:
+                child = node[step] = Container(self.n)
+            if isinstance(child, dict):
+                grown = self._into(child, ids[:, part], counts[part], depth + 1)
+            else:
+                before = child.held
+                child.add(ids[:, part], counts[part])
+                grown = child.held - before
+                if child.held > self.burst and depth + 1 < 16 * self.n:
+                    node[step] = {}
+                    self._into(node[step], *_sorted(*child.rows()), depth + 1)
+            if not depth:
+                self.sizes[step] = self.sizes.get(step, 0) + grown
+            new += grown
+        return new
+
+    def _walk(self, found: dict | Container) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if isinstance(found, Container):
+            yield _sorted(*found.rows())
+        else:
+            for step in sorted(found):
+                yield from self._walk(found[step])
+
+    def cut_off(self, step: int) -> tuple[np.ndarray, np.ndarray]:
         """The sorted run of a subtree, which leaves the trie."""
-        self.held -= self.sizes.pop(first)
-        return list(self._walk(self.root.pop(first), (first,)))
+        self.sizes.pop(step)
+        parts = list(self._walk(self.root.pop(step)))
+        return np.concatenate([ids for ids, _ in parts], axis=1), np.concatenate([counts for _, counts in parts])
 
-    def spill(self, all_of_it: bool = False) -> Iterator[list[tuple]]:
+    def spill(self, all_of_it: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Sorted runs of the largest subtrees until half the bound is left, or of all."""
         if self.held <= self.bound and not all_of_it:
             return
-        for first in sorted(self.sizes, key=self.sizes.get, reverse=True):
+        for step in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if not all_of_it and self.held <= self.bound // 2:
                 return
-            yield self.cut_off(first)
+            yield self.cut_off(step)
+
+
+def _sorted(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort(ids[::-1])
+    return ids[:, order], counts[order]
 
 
 def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +271,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             keys = zip([names[i] for i in lang[first].tolist()], pieces.words(first), _signed(pieces.hashes)[first].tolist(), strict=True)
             for key, n in zip(keys, times.tolist(), strict=True):
                 held[key] = held.get(key, 0) + n
-            if len(held) > KEYS:
+            if len(held) > WORDS:
                 yield rows(held)
                 held = {}
         yield rows(held)
@@ -269,43 +325,47 @@ def phrase_counts(docs: DataFrame, n: int, shorter: Broadcast, least: int = LEAS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        waiting = 0
         for batch in batches:
-            number, langs = _lang_seeds(drop_from(batch, "lang"))
-            pieces = Pieces(drop_from(batch, "text"))
-            at = pieces.starts(n)
-            if not len(at):
-                continue
-            lang = number[pieces.text_of[at]]
-            seeds = np.array([_seed(x) for x in langs], np.uint64)[lang]
-            words = [pieces.hashes[at + i] for i in range(n)]
-            good = _known(shorter.value, phrase_hash(seeds, words[:-1])) & _known(shorter.value, phrase_hash(seeds, words[1:]))
-            lang, words = lang[good], [w[good] for w in words]
-            first, times = _distinct([lang, *words])
-            lang, words = lang[first], [_signed(w)[first] for w in words]
-            for i, name in enumerate(langs):
-                own = slice(*np.searchsorted(lang, [i, i + 1]))
-                if own.start < own.stop:
-                    trie = tries.setdefault(name, HatTrie(n))
-                    trie.add(zip(*(w[own].tolist() for w in words), strict=True), times[own].tolist())
-            while sum(t.held for t in tries.values()) > KEYS:
-                name = max(tries, key=lambda x: tries[x].held)
-                yield from runs(name, tries[name].spill(all_of_it=tries[name].held <= KEYS))
-        for name, trie in tries.items():
-            yield from runs(name, trie.spill(all_of_it=True))
-
-    def runs(lang: str, subtrees: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for run in subtrees:
-            held += run
-            if len(held) > 20_000:
-                yield as_batch(lang, held)
-                held = []
-        if held:
-            yield as_batch(lang, held)
-
-    def as_batch(lang: str, rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *columns], ["lang", *names, "n"])
+            for lang, ids in phrases(batch):
+                held.setdefault(lang, []).append(ids)
+                waiting += ids.shape[1]
+            if waiting > GATHER:
+                yield from into_tries(tries, held)
+                held, waiting = {}, 0
+        yield from into_tries(tries, held)
+        for lang, trie in tries.items():
+            yield from runs(lang, trie.spill(all_of_it=True))
+
+    def phrases(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+        """By language the ids of all phrases of the texts that may be frequent."""
+        number, langs = _lang_seeds(drop_from(batch, "lang"))
+        pieces = Pieces(drop_from(batch, "text"))
+        at = pieces.starts(n)
+        lang = number[pieces.text_of[at]]
+        ids = np.stack([pieces.hashes[at + i] for i in range(n)])
+        if not len(at):
+            return
+        seeds = np.array([_seed(x) for x in langs], np.uint64)[lang]
+        good = np.flatnonzero(_known(shorter.value, phrase_hash(seeds, list(ids[:-1]))))
+        good = good[_known(shorter.value, phrase_hash(seeds[good], list(ids[1:, good])))]
+        for i, name in enumerate(langs):
+            yield name, ids[:, good[lang[good] == i]]
+
+    def into_tries(tries: dict[str, HatTrie], held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            ids = np.concatenate(parts, axis=1)
+            first, times = _distinct(list(ids))
+            tries.setdefault(lang, HatTrie(n, BURST, KEYS)).add(ids[:, first], times)
+        while sum(t.held for t in tries.values()) > KEYS:
+            lang = max(tries, key=lambda x: tries[x].held)
+            yield from runs(lang, tries[lang].spill(all_of_it=tries[lang].held <= KEYS))
+
+    def runs(lang: str, subtrees: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for ids, counts in subtrees:
+            columns = [pa.array(_signed(np.ascontiguousarray(c))) for c in ids]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), *columns, pa.array(counts)], ["lang", *names, "n"])
 
     found = docs.mapInArrow(count, f"lang string, {', '.join(f'{w} long' for w in names)}, n long")
     found = found.withColumn("slice", F.pmod(F.xxhash64(*names[1:]), F.lit(64)))
