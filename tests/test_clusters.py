@@ -78,7 +78,7 @@ def test_merge_keeps_the_proposed_target(spark):
 
 
 def test_a_long_chain_is_placed(spark):
-    n = 66
+    n = 500
     items = spark.createDataFrame([("w", i, 7 if i == 0 else None) for i in range(n)], "workspace_id STRING, content_item_id BIGINT, content_cluster_id BIGINT")
     edges = spark.createDataFrame([("w", i, i + 1, 1.9) for i in range(n - 1)], "workspace_id STRING, src_id BIGINT, dst_id BIGINT, score DOUBLE")
     assert {r.content_cluster_id for r in clusters.assign_clusters(items, edges).collect()} == {7}
@@ -280,6 +280,29 @@ def test_assign_against_brute_force(spark):
     assert got == greedy(members, edges)
 
 
+def chains(seed, n=90):
+    """Long chains between placed items, side branches, a ring of its own, equal scores that leave the choice to sizes."""
+    rng = random.Random(seed)
+    members = {i: None for i in range(n)}
+    edges = [(i, i + 1, 1.5) for i in range(n - 1) if i % 30 != 29]
+    for i in rng.sample(range(n), 5):
+        members[i] = 1000 + i % 3
+    edges += [(rng.randrange(n), rng.randrange(n), rng.choice([1.5, 1.6])) for _ in range(rng.choice([0, 6, 25]))]
+    edges += [(n + i, n + (i + 1) % 8, 1.9) for i in range(8)]
+    members |= {n + i: None for i in range(12)}
+    edges = list({(min(a, b), max(a, b)): (min(a, b), max(a, b), s) for a, b, s in edges if a != b}.values())
+    return members, edges
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_assign_over_chains_and_ties(spark, seed):
+    members, edges = chains(seed)
+    items = spark.createDataFrame([("w", i, c) for i, c in members.items()], "workspace_id STRING, content_item_id BIGINT, content_cluster_id BIGINT")
+    pairs = spark.createDataFrame([("w", *e) for e in edges], "workspace_id STRING, src_id BIGINT, dst_id BIGINT, score DOUBLE")
+    got = {r["content_item_id"]: r["content_cluster_id"] for r in clusters.assign_clusters(items, pairs).collect()}
+    assert got == greedy(members, edges)
+
+
 def test_recluster_moves_items_out(spark):
     items = spark.createDataFrame([("w", 1, 1), ("w", 2, 1)], "workspace_id STRING, content_item_id BIGINT, content_cluster_id BIGINT")
     none = spark.createDataFrame([], "workspace_id STRING, src_id BIGINT, dst_id BIGINT, score DOUBLE")

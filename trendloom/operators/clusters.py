@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.operators.aggregates import items_added, recompute_clusters
+from trendloom.operators.placing import place
 from trendloom.operators.ranking import with_running_sum
 from trendloom.operators.similarity import linking_texts
-from trendloom.session import cut, cut_and_measure, work_folder
+from trendloom.session import cut, cut_and_measure
 
 MAX_ROUNDS = 60
 
@@ -87,7 +88,9 @@ def same_text_clusters(items: DataFrame, text: str = "content") -> DataFrame:
     return items.withColumn("k", key).join(first, ["workspace_id", "k"]).drop("k")
 
 
-def assign_clusters(items: DataFrame, edges: DataFrame, recluster: DataFrame | None = None) -> DataFrame:
+def assign_clusters(
+    items: DataFrame, edges: DataFrame, recluster: DataFrame | None = None, stored_sizes: DataFrame | None = None,
+) -> DataFrame:
     """Cluster of each item, given similar pairs.
 
     ``items`` has (workspace_id, content_item_id, content_cluster_id or null); ``edges`` undirected
@@ -95,8 +98,9 @@ def assign_clusters(items: DataFrame, edges: DataFrame, recluster: DataFrame | N
     cluster size, then id), until no more can; the rest form new clusters by connected components,
     single items included. Items in ``recluster`` lose their cluster first.
 
-    Each round carries only the items placed in the round before and those that still wait, and writes only what it places;
-    rounds go on until none is placed, as many as the longest chain needs.
+    ``items`` need only have the clustered items that an edge reaches, if ``stored_sizes`` (content_cluster_id, num_items) has
+    the sizes of all clusters in question; else sizes are counted from ``items``. See ``placing`` for how long chains of items
+    are placed in few rounds.
     """
     members = items.select("workspace_id", "content_item_id", "content_cluster_id")
     if recluster is not None:
@@ -110,50 +114,32 @@ def assign_clusters(items: DataFrame, edges: DataFrame, recluster: DataFrame | N
     both = edges.select("workspace_id", "src_id", "dst_id", "score").unionByName(
         edges.select("workspace_id", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), "score")
     )
-    both = cut(both.join(unplaced.withColumnRenamed("content_item_id", "src_id"), ["workspace_id", "src_id"], "left_semi"))
-    spark, folder = items.sparkSession, work_folder(items.sparkSession)
-    start = members.where(F.col("content_cluster_id").isNotNull())
-    frontier, placed, n = start, start, 0
-    while True:
-        joined, seen = cut_and_measure(_join_best(frontier, placed, both, n > 0), placed=F.count(F.lit(1)))
-        if not seen["placed"]:
-            break
-        joined.write.parquet(f"{folder}/round={n}")
-        added = spark.read.schema(members.schema).parquet(folder).select(*members.columns)
-        frontier, placed, n = joined, start.unionByName(added), n + 1
-    found = placed.select("content_item_id", F.col("content_cluster_id").alias("found"))
-    members = members.join(found, "content_item_id", "left").select(
+    both = both.join(unplaced.withColumnRenamed("content_item_id", "src_id"), ["workspace_id", "src_id"], "left_semi")
+    there = members.select("workspace_id", F.col("content_item_id").alias("dst_id"), F.col("content_cluster_id").alias("home"))
+    links = cut(both.join(there, ["workspace_id", "dst_id"]))
+    if stored_sizes is None:
+        sizes = members.where("content_cluster_id IS NOT NULL").groupBy("content_cluster_id").agg(F.count(F.lit(1)).alias("num_items"))
+    else:
+        sizes = stored_sizes
+    sizes = sizes.select(F.col("content_cluster_id").alias("cluster"), F.col("num_items").alias("size"))
+    found = place(links, sizes).select("workspace_id", "content_item_id", F.col("content_cluster_id").alias("found"))
+    members = members.join(found, ["workspace_id", "content_item_id"], "left").select(
         "workspace_id", "content_item_id", F.coalesce("content_cluster_id", "found").alias("content_cluster_id")
     )
-    return _new_clusters(cut(members), both)
+    return _new_clusters(cut(members), links, sizes)
 
 
-def _join_best(frontier: DataFrame, placed: DataFrame, edges: DataFrame, later: bool) -> DataFrame:
-    """Waiting items next to the frontier, each with the cluster of its best neighbour there.
-
-    A waiting item has no placed neighbour but those of the frontier, or it would have been placed before.
-    """
-    target = frontier.select("workspace_id", F.col("content_item_id").alias("dst_id"), "content_cluster_id")
-    offers = edges.join(target, ["workspace_id", "dst_id"])
-    if later:
-        offers = offers.join(placed.select("workspace_id", F.col("content_item_id").alias("src_id")), ["workspace_id", "src_id"], "left_anti")
-    wanted = offers.select("content_cluster_id").distinct()
-    sizes = placed.join(wanted, "content_cluster_id", "left_semi").groupBy("content_cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
-    best = F.max(F.struct("score", "cluster_size", "dst_id", "content_cluster_id"))["content_cluster_id"]
-    return offers.join(sizes, "content_cluster_id").groupBy("workspace_id", F.col("src_id").alias("content_item_id")).agg(
-        best.alias("content_cluster_id")
-    )
-
-
-def _new_clusters(members: DataFrame, edges: DataFrame) -> DataFrame:
+def _new_clusters(members: DataFrame, links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Components of the items that are still waiting; one that would take the id of a cluster gets a hashed id instead."""
     waiting = members.where(F.col("content_cluster_id").isNull()).select("workspace_id", "content_item_id")
-    inside = edges.join(waiting.withColumnRenamed("content_item_id", "src_id"), ["workspace_id", "src_id"], "left_semi")
+    inside = links.join(waiting.withColumnRenamed("content_item_id", "src_id"), ["workspace_id", "src_id"], "left_semi")
     inside = inside.join(waiting.withColumnRenamed("content_item_id", "dst_id"), ["workspace_id", "dst_id"], "left_semi")
     groups = connected_components(inside)
     named = waiting.join(groups, ["workspace_id", "content_item_id"], "left").withColumn(
         "new_id", F.coalesce("group_id", "content_item_id")
     )
-    taken = members.select(F.col("content_cluster_id").alias("new_id")).where("new_id IS NOT NULL").distinct()
+    taken = members.select(F.col("content_cluster_id").alias("new_id")).where("new_id IS NOT NULL")
+    taken = taken.unionByName(sizes.select(F.col("cluster").alias("new_id"))).distinct()
     named = named.join(taken.withColumn("is_taken", F.lit(True)), "new_id", "left")
     fresh = F.when(F.col("is_taken"), F.xxhash64(F.lit("cluster"), "new_id")).otherwise(F.col("new_id"))
     placed = members.where(F.col("content_cluster_id").isNotNull())
