@@ -79,7 +79,7 @@ def test_cluster_stream_joins_earlier_clusters(spark):
         df.where((F.col("content_item_id") >= low) & (F.col("content_item_id") < high)).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(df.schema).parquet(path)
         models.cluster_stream(stream, root, 0.9, checkpoint).awaitTermination()
-    got = {r["content_item_id"]: r["content_cluster_id"] for r in snapshots.read_snapshot(spark, root, models.VECTORS).collect()}
+    got = {r["content_item_id"]: r["content_cluster_id"] for r in models.stored_vectors(spark, root).collect()}
     assert len(got) == 60
     pairs = brute_pairs(m, 0.9, 1)
     first = union_find(30, [p for p in pairs if p[1] < 30])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.operators.aggregates import items_added, recompute_clusters
+from trendloom.operators.pivot_index import find_stored
 from trendloom.operators.placing import place
 from trendloom.operators.ranking import with_running_sum
 from trendloom.operators.similarity import linking_texts
@@ -217,6 +218,13 @@ def _looked_at(clusters: DataFrame, n: int | None) -> DataFrame:
     return clusters.where(F.col("priority_score") > 0.0).withColumn("place", place).where(F.col("place") <= n).drop("place")
 
 
+def exemplar_pairs(clusters: DataFrame, vectors: DataFrame, root: str, threshold: float, n: int | None = None) -> DataFrame:
+    """Similar items of the exemplars of the clusters that a merge pass looks at, from the vector index at ``root``."""
+    looked = _looked_at(clusters, n).select(F.col("exemplar_item_id").alias("content_item_id")).distinct()
+    queries = vectors.join(looked, "content_item_id", "left_semi").withColumnRenamed("content_item_id", "query_id")
+    return find_stored(queries, root, threshold).where(F.col("src_id") != F.col("dst_id"))
+
+
 def proposed_merges(clusters: DataFrame, items: DataFrame, edges: DataFrame, n: int | None = None) -> DataFrame:
     """For the clusters with priority: the best similar item of the exemplar in another cluster."""
     from trendloom.operators.ranking import both_ways

@@ -11,7 +11,7 @@ from trendloom import schema
 from trendloom.functions import text as T
 from trendloom.functions import values as V
 from trendloom.operators import (
-    aggregates, clusters, extract, filters, joins, keywords, maintenance, ranking, setops, similarity, state,
+    aggregates, clusters, extract, filters, joins, keywords, maintenance, pivot_index, ranking, setops, similarity, state,
 )
 from trendloom.plans import adapters, reports, workflow
 from trendloom.session import work_folder
@@ -709,7 +709,20 @@ def find_similar(spark, folder):
         F.col("vec_id").alias("content_item_id"), F.col("embedding").alias("vector"), "label",
     )
     queries = vectors.where(F.col("label") == 0).withColumnRenamed("content_item_id", "query_id")
-    return _rounded(similarity.find_similar(queries, vectors.where(F.col("label") != 0), 0.2, 5))
+    root = work_folder(spark)
+    pivot_index.extend_index(vectors.where(F.col("label") != 0), root)
+    return _rounded(pivot_index.find_stored(queries, root, 0.2, 5))
+
+
+@query
+def find_similar_extended(spark, folder):
+    """Every twentieth vector looks for stored ones in an index that was built from a few vectors and extended by batches."""
+    vectors = adapters.item_vectors(spark, folder)
+    root = work_folder(spark)
+    for batch, share in enumerate(("pmod(content_item_id, 8) = 0", "pmod(content_item_id, 8) IN (1, 2, 3)", "pmod(content_item_id, 8) > 3")):
+        pivot_index.extend_index(vectors.where(share), root, str(batch))
+    queries = vectors.where("content_item_id % 20 = 0").withColumnRenamed("content_item_id", "query_id")
+    return _rounded(pivot_index.find_stored(queries, root, VECTOR_THRESHOLD))
 
 
 @query
@@ -795,8 +808,9 @@ def merge_pass(spark, folder):
         "priority_score": (F.col("content_cluster_id") % 4) / 10, "stress_score": F.lit(0.0),
     })
     flat = vectors.select(F.lit("all").alias("workspace_id"), F.col("vec_id").alias("content_item_id"), F.col("embedding").alias("vector"))
-    pairs = similarity.similar_vectors(flat, VECTOR_THRESHOLD)
-    after, _ = clusters.merge_pass(table, items, pairs)
+    root = work_folder(spark)
+    pivot_index.extend_index(flat, root)
+    after, _ = clusters.merge_pass(table, items, clusters.exemplar_pairs(table, flat, root, VECTOR_THRESHOLD))
     return after.select("content_item_id", "content_cluster_id")
 
 
@@ -972,7 +986,7 @@ def stream_clusters(spark, folder):
     shape = adapters.table(spark, folder, "embeddings").schema
     stream = spark.readStream.schema(shape).parquet(f"{folder.rstrip('/')}/embeddings.parquet*")
     models.cluster_stream(adapters.as_item_vectors(stream), root, VECTOR_THRESHOLD, checkpoint).awaitTermination()
-    return snapshots.read_snapshot(spark, root, models.VECTORS).select("content_item_id", "content_cluster_id")
+    return models.stored_vectors(spark, root).select("content_item_id", "content_cluster_id")
 
 
 def _run(spark, folder, name: str) -> dict[str, DataFrame]:

@@ -413,6 +413,10 @@ SELECT workspace_id, src_id, dst_id, round(1 + cos, 4) AS score, CAST(r AS INTEG
   SELECT *, row_number() OVER (PARTITION BY workspace_id, src_id ORDER BY cos DESC, dst_id) AS r FROM (
     SELECT q.workspace_id, q.content_item_id AS src_id, s.content_item_id AS dst_id, list_cosine_similarity(q.v, s.v) AS cos
     FROM vector q JOIN vector s ON q.workspace_id = s.workspace_id AND q.label = 0 AND s.label <> 0) WHERE cos >= 0.2) WHERE r <= 5""", "vector")
+oracle("find_similar_extended", f"""
+SELECT q.workspace_id, q.content_item_id AS src_id, s.content_item_id AS dst_id, round(1 + list_cosine_similarity(q.v, s.v), 4) AS score
+FROM vector q JOIN vector s ON q.workspace_id = s.workspace_id AND q.content_item_id % 20 = 0
+WHERE list_cosine_similarity(q.v, s.v) >= {VECTOR_THRESHOLD}""", "vector")
 oracle("similar_texts", "SELECT workspace_id, src_id, dst_id, round(1 + cos, 4) AS score FROM text_pair", DISTINCT_DOCS, TEXT_PAIRS)
 oracle("same_text_clusters", "SELECT doc_id AS content_item_id, min(doc_id) OVER (PARTITION BY text) AS content_cluster_id FROM documents")
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trendloom.operators import clusters, similarity
+from trendloom.operators import clusters, pivot_index, similarity
 from trendloom.operators.keywords import KEYWORD_COLUMNS, attach_keywords
-from trendloom.session import settle_batch
+from trendloom.session import cut, path_exists, settle_batch
 from trendloom.sources import landed, snapshots
 
+SIZE_BUCKETS = 64
+SIZES = "content_cluster_id BIGINT, num_items BIGINT, bucket INT, batch STRING"
 VECTORS = "content_item_id BIGINT, workspace_id STRING, vector ARRAY<FLOAT>, content_cluster_id BIGINT"
 
 
@@ -35,36 +37,76 @@ def callback_stream(
     )
 
 
-def add_vectors(batch: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
-    """Clusters for a batch of new vectors, from similar stored ones and from each other.
+def add_vectors(batch: DataFrame, root: str, threshold: float, batch_id: str) -> DataFrame:
+    """Clusters for a batch of new vectors, from similar ones in the index at ``root`` and from each other.
 
-    Copies inside the batch and copies of stored vectors come as one edge each.
+    Only the cells that the batch can meet are read, and of the clusters only the buckets of those found. Copies inside the
+    batch come as one edge each.
     """
-    fresh = batch.select("content_item_id", "workspace_id", "vector")
+    spark = batch.sparkSession
+    fresh = cut(batch.select("content_item_id", "workspace_id", "vector").where("vector IS NOT NULL"))
     queries = similarity.representatives(fresh, F.col("vector"), "vector").withColumnRenamed("content_item_id", "query_id")
-    old = similarity.find_similar(queries, stored, threshold).select("workspace_id", "src_id", "dst_id", "score")
-    new = similarity.similar_vectors(fresh, threshold)
+    old = pivot_index.find_stored(queries, root, threshold, columns=["content_cluster_id"], but=batch_id)
     stars = similarity.copies(fresh, F.col("vector")).where("rep_id <> content_item_id").select(
         "workspace_id", F.col("rep_id").alias("src_id"), F.col("content_item_id").alias("dst_id"), F.lit(2.0).alias("score")
     )
-    members = stored.select("workspace_id", "content_item_id", "content_cluster_id").unionByName(
-        fresh.select("workspace_id", "content_item_id", F.lit(None).cast("bigint").alias("content_cluster_id"))
-    )
-    placed = clusters.assign_clusters(members, old.unionByName(new).unionByName(stars))
+    edges = similarity.similar_vectors(fresh, threshold).unionByName(stars)
+    members = fresh.select("workspace_id", "content_item_id", F.lit(None).cast("bigint").alias("content_cluster_id"))
+    sizes = None
+    if old is not None:
+        old = cut(old)
+        edges = edges.unionByName(old.select("workspace_id", "src_id", "dst_id", "score"))
+        members = members.unionByName(old.select("workspace_id", F.col("dst_id").alias("content_item_id"), "content_cluster_id").distinct())
+        sizes = cluster_sizes(spark, root, members, batch_id)
+    placed = clusters.assign_clusters(members, edges, stored_sizes=sizes)
     return fresh.join(placed.select("content_item_id", "content_cluster_id"), "content_item_id")
 
 
+def _bucket(cluster: str) -> Column:
+    return F.pmod(F.xxhash64(cluster), F.lit(SIZE_BUCKETS)).cast("int")
+
+
+def cluster_sizes(spark: SparkSession, root: str, members: DataFrame, but: str | None = None) -> DataFrame:
+    """(content_cluster_id, num_items) of the clusters of ``members``, and of any named like a new item; other buckets are not read."""
+    wanted = members.select(F.coalesce("content_cluster_id", "content_item_id").alias("content_cluster_id")).distinct()
+    if not path_exists(spark, f"{root}/sizes"):
+        return spark.createDataFrame([], "content_cluster_id BIGINT, num_items BIGINT")
+    wanted = cut(wanted.withColumn("bucket", _bucket("content_cluster_id")))
+    buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]
+    stored = spark.read.schema(SIZES).parquet(f"{root}/sizes").where(F.col("bucket").isin(buckets))
+    if but is not None:
+        stored = stored.where(F.col("batch") != but)
+    found = stored.join(wanted.select("content_cluster_id"), "content_cluster_id", "left_semi")
+    return found.groupBy("content_cluster_id").agg(F.sum("num_items").alias("num_items"))
+
+
+def store_vectors(placed: DataFrame, root: str, batch_id: str) -> None:
+    """Adds a clustered batch to the index and to the sizes; repeating a batch changes nothing."""
+    pivot_index.extend_index(placed, root, batch_id, ["content_cluster_id"])
+    sizes = placed.groupBy("content_cluster_id").agg(F.count(F.lit(1)).alias("num_items"))
+    sizes = sizes.withColumns({"bucket": _bucket("content_cluster_id"), "batch": F.lit(batch_id)})
+    sizes.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{root}/sizes")
+
+
+def stored_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """All clustered vectors of the index at ``root``."""
+    found = pivot_index.read_index(spark, root)
+    return spark.createDataFrame([], VECTORS) if found is None else found.select("content_item_id", "workspace_id", "vector", "content_cluster_id")
+
+
 def cluster_stream(vectors: DataFrame, root: str, threshold: float, checkpoint: str) -> StreamingQuery:
-    """New vectors into the clustered vector table at ``root``, micro-batch by micro-batch."""
+    """New vectors into the clustered vector index at ``root``, micro-batch by micro-batch.
+
+    Batches are named by the checkpoint's last folder and their number; one that is repeated after a failure does not see its
+    own earlier rows and writes the same ones again.
+    """
     spark = vectors.sparkSession
+    name = "".join(c if c.isalnum() else "-" for c in checkpoint.rstrip("/").rsplit("/", 1)[-1])
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        tag = f"{checkpoint}#{batch_id}"
-        if snapshots.has_batch(spark, root, tag):
-            return
-        stored = snapshots.read_snapshot(spark, root, VECTORS)
-        placed = add_vectors(settle_batch(df, spark), stored, threshold).select("content_item_id", "workspace_id", "vector", "content_cluster_id")
-        snapshots.commit_changes(placed, root, batch_id=tag)
+        tag = f"{name}-{batch_id}"
+        placed = cut(add_vectors(settle_batch(df, spark), root, threshold, tag))
+        store_vectors(placed, root, tag)
 
     return (
         vectors.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
