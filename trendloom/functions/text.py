@@ -33,6 +33,12 @@ EDGE_SPACE = rf"^[{SPACE}]+|[{SPACE}]+$"
 WITHOUT_EDGE_SPACE = rf"(?s)^[{SPACE}]*(.*[^{SPACE}])"
 TERM = rf"[{WORD}]+"
 
+# Scripts written without spaces (Thai, Lao, Myanmar, Khmer, Kana, Han), with their marks.
+SPACELESS = (
+    r"\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{2e80}-\x{2fdf}\x{3005}-\x{3007}\x{3040}-\x{30ff}\x{31f0}-\x{31ff}"
+    r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff66}-\x{ff9f}\x{20000}-\x{323af}"
+)
+
 # Url prefix of each platform.
 PLATFORMS = {
     "https://t.me/": "telegram",
@@ -102,9 +108,28 @@ def clean_text(c: Column) -> Column:
     return ustrip(strip_emoji_runs(strip_rt(strip_urls(strip_mentions(unescape_html(c))))))
 
 
+def spaced_terms(c: Column) -> Column:
+    """Lower-case words of a text, without scripts that are written without spaces."""
+    plain = F.regexp_extract_all(F.lower(c), F.lit(TERM), 0)
+    rest = F.regexp_extract_all(F.lower(F.regexp_replace(c, f"[{SPACELESS}]+", " ")), F.lit(TERM), 0)
+    return F.when(c.rlike(f"[{SPACELESS}]"), rest).otherwise(plain)
+
+
+def spaceless_runs(c: Column) -> Column:
+    """Runs of characters of scripts that are written without spaces."""
+    return F.regexp_extract_all(c, F.lit(f"[{SPACELESS}]+"), 0)
+
+
 def terms(c: Column) -> Column:
-    """Lower-case words of a text."""
-    return F.regexp_extract_all(F.lower(c), F.lit(TERM), 0)
+    """Words of a text in lower case; of scripts without spaces the pairs of neighbouring characters, or a character that stands alone."""
+    pairs = F.regexp_extract_all(c, F.lit(f"(?=([{SPACELESS}]{{2}}|(?<![{SPACELESS}])[{SPACELESS}](?![{SPACELESS}])))[{SPACELESS}]"), 1)
+    return F.when(c.rlike(f"[{SPACELESS}]"), F.concat(spaced_terms(c), pairs)).otherwise(F.regexp_extract_all(F.lower(c), F.lit(TERM), 0))
+
+
+def segments(c: Column) -> Column:
+    """Stretches of words, in lower case, that no sign but white space parts; scripts without spaces part them too."""
+    signs = f"[^{WORD}{SPACE}]+"
+    return F.split(F.lower(F.regexp_replace(c, f"[{SPACELESS}]+", "|")), signs)
 
 
 def is_blank(c: Column, extra: tuple[str, ...] = ()) -> Column:

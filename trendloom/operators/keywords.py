@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.functions.batches import plain
-from trendloom.functions.text import hashtags, terms
+from trendloom.functions.text import hashtags, segments, spaceless_runs, terms
 from trendloom.operators.filters import in_list, in_workspace, keep_listed, published_between
 from trendloom.operators.ranking import top_per_key
+from trendloom.session import cut
 
 KEYWORD_COLUMNS = [
     "content_keyword_id", "workspace_id", "keyword_model_name", "content_item_id", "keyword_text", "keyword_score",
@@ -19,6 +21,8 @@ KEYWORD_COLUMNS = [
 ]
 LIST_PART = 10_000
 CLASSIFY_BATCH = 25
+LONGEST_PHRASE = 3
+ABSORB = 4  # a phrase with 3 of 4 occurrences of a shorter one absorbs it
 
 
 def keyword_id(item: Column, model: Column, position: Column) -> Column:
@@ -142,21 +146,61 @@ def size_filter(rollup: DataFrame, min_items: int = 2, min_clusters: int = 0) ->
     return rollup.where((F.col("num_items") >= min_items) & (F.col("num_clusters") >= min_clusters))
 
 
-def term_counts(items: DataFrame, text: str = "content") -> DataFrame:
-    """Occurrences of each word per item; words of one text meet in the map-side combine."""
-    words = items.select("workspace_id", "content_item_id", F.explode(terms(F.col(text))).alias("term"))
-    return words.groupBy("workspace_id", "content_item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _candidates(segments: list[str], runs: list[str], longest: int) -> dict[str, int]:
+    """Phrases of one text with their counts: words, repeated phrases of 2 to ``longest`` words, less what longer ones explain."""
+    counts: list[Counter] = [Counter() for _ in range(longest + 1)]
+    for words in map(str.split, segments):
+        for n in range(1, longest + 1):
+            counts[n].update(zip(*(words[i:] for i in range(n)), strict=False))
+    for run in runs:  # a text of its own kind, so told apart by its type: n pairs of neighbours are n + 1 characters
+        if len(run) == 1:
+            counts[1][run] += 1
+        for n in range(1, longest + 1):
+            counts[n].update(run[i : i + n + 1] for i in range(len(run) - n))
+    found: dict[str, int] = {}
+    explained: list[dict[tuple | str, int]] = [{} for _ in range(longest + 1)]
+    for n in range(longest, 0, -1):
+        for phrase, count in counts[n].items():
+            if n > 1 and count < 2:
+                continue
+            spaceless = isinstance(phrase, str)
+            if ABSORB * explained[n].get(phrase, 0) < (ABSORB - 1) * count:
+                found[phrase if spaceless else " ".join(phrase)] = count
+            for m in range(1, n):
+                for i in range(n - m + 1):
+                    inner = phrase[i : i + m + spaceless]
+                    explained[m][inner] = max(explained[m].get(inner, 0), count)
+    return found
+
+
+def phrase_counts(items: DataFrame, text: str = "content", longest: int = LONGEST_PHRASE) -> DataFrame:
+    """(workspace_id, content_item_id, term, tf): the candidate phrases of each item with their counts.
+
+    A candidate is a word, or 2 to ``longest`` words that white space alone parts and that occur at least twice; in scripts
+    without spaces 2 to ``longest`` + 1 neighbouring characters. A phrase is left out if a longer one that holds it has at
+    least three quarters of its occurrences. All this happens inside the row, so only distinct phrases are shuffled.
+    """
+
+    @F.pandas_udf("array<struct<term: string, tf: bigint>>")
+    def count(found: pd.Series, runs: pd.Series) -> pd.Series:
+        nothing: list[str] = []
+        return pd.Series([
+            list(_candidates(nothing if s is None else s, nothing if r is None else r, longest).items())
+            for s, r in zip(found, runs, strict=True)
+        ], dtype=object)
+
+    counted = items.select("workspace_id", "content_item_id", F.inline(count(segments(F.col(text)), spaceless_runs(F.col(text)))))
+    return counted
 
 
-def term_weights(items: DataFrame, text: str = "content") -> DataFrame:
-    """Whole-number tf-idf weight of each word per item: tf * (1 + floor(16 ln(N / df))).
+def term_weights(items: DataFrame, text: str = "content", longest: int = LONGEST_PHRASE) -> DataFrame:
+    """Whole-number tf-idf weight of each candidate phrase per item: tf * (1 + floor(16 ln(N / df))).
 
-    Whole weights make sums exact, so that results do not depend on partitioning. The join on
+    Whole weights make sums exact, so that results do not depend on partitioning. Candidates are written once; the join on
     (workspace, term) has a hot side for common words, which AQE splits.
     """
-    counts = term_counts(items, text)
-    # reading tf keeps both branches equal, so that the texts are split and counted once
-    spread = counts.groupBy("workspace_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    counts = cut(phrase_counts(items, text, longest))
+    spread = counts.groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"))
     totals = items.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("total"))
     idf = (1 + F.floor(16 * F.ln(F.col("total") / F.col("df")))).alias("idf")
     rated = spread.join(totals, "workspace_id").select("workspace_id", "term", "df", idf)
@@ -179,7 +223,7 @@ def word_sets(items: DataFrame, text: str = "content") -> DataFrame:
 
 
 def tfidf_keyphrases(items: DataFrame, k: int = 5, text: str = "content", model: str = "tfidf") -> DataFrame:
-    """The k heaviest words of each item as keyword rows; a lower score is better."""
+    """The k heaviest words and phrases of each item as keyword rows; a lower score is better."""
     top = top_per_key(
         term_weights(items, text), ["workspace_id", "content_item_id"], [F.desc("weight"), F.asc("term")], k
     )

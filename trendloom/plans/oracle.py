@@ -79,11 +79,28 @@ CTES["pair"] = f"""pair AS (
 
 
 def _word_ctes(source: str) -> str:
-    """Word weights; ``source`` has (workspace_id, content_item_id, content)."""
-    return f"""word AS (
-  SELECT workspace_id, content_item_id, term, count(*) AS tf FROM (
-    SELECT workspace_id, content_item_id, unnest(regexp_extract_all(lower(content), '{T.TERM}')) AS term FROM {source})
-  GROUP BY ALL),
+    """Weights of words and phrases; ``source`` has (workspace_id, content_item_id, content)."""
+    return f"""segment AS (
+  SELECT workspace_id, content_item_id, regexp_extract_all(s, '{T.TERM}') AS w FROM (
+    SELECT workspace_id, content_item_id, unnest(regexp_split_to_array(lower(regexp_replace(content, '[{T.SPACELESS}]+', '|', 'g')), '[^{T.WORD}{T.SPACE}]+')) AS s
+    FROM {source})),
+spaceless AS (SELECT workspace_id, content_item_id, unnest(regexp_extract_all(content, '[{T.SPACELESS}]+')) AS r FROM {source}),
+gram AS (
+  SELECT workspace_id, content_item_id, n, array_to_string(w[i:i + n - 1], ' ') AS term, w[i:i + n - 1] AS parts FROM (
+    SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM segment, range(1, 4) AS sizes(n) WHERE len(w) >= n)
+  UNION ALL
+  SELECT workspace_id, content_item_id, n, substr(r, i, n + 1), [substr(r, i + j, 2) for j in range(n)] FROM (
+    SELECT *, unnest(range(1, length(r) - n + 1)) AS i FROM spaceless, range(1, 4) AS sizes(n) WHERE length(r) > n)
+  UNION ALL
+  SELECT workspace_id, content_item_id, 1, r, [r] FROM spaceless WHERE length(r) = 1),
+phrase AS (
+  SELECT workspace_id, content_item_id, n, term, parts, count(*) AS tf FROM gram GROUP BY ALL HAVING n = 1 OR count(*) > 1),
+inner_phrase AS (
+  SELECT content_item_id, m, parts[i:i + m - 1] AS parts, max(tf) AS most FROM (
+    SELECT *, unnest(range(1, n - m + 2)) AS i FROM phrase, range(1, 3) AS sizes(m) WHERE m < n) GROUP BY ALL),
+word AS (
+  SELECT p.* FROM phrase p LEFT JOIN inner_phrase q ON p.content_item_id = q.content_item_id AND p.n = q.m AND p.parts = q.parts
+  WHERE 4 * coalesce(most, 0) < 3 * tf),
 weight AS (
   SELECT workspace_id, content_item_id, term, CAST(tf * (1 + floor(16 * ln(total / df))) AS BIGINT) AS weight
   FROM word JOIN (SELECT workspace_id, term, count(*) AS df FROM word GROUP BY ALL) USING (workspace_id, term)
