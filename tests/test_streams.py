@@ -1,12 +1,14 @@
 import json
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trendloom import schema
 from trendloom.operators import extract, similarity, state
 from trendloom.plans import adapters, workflow
-from trendloom.session import work_folder
+from trendloom.session import path_exists, work_folder
 from trendloom.sources import raw_store, snapshots
 from trendloom.streaming import ingest, models, states
 from tests.test_clusters import brute_pairs, clustered_points, union_find, vectors_of
@@ -16,18 +18,111 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_state_stream_over_many_batches_equals_the_batch_fold(spark):
-    path, out, checkpoint = (work_folder(spark) for _ in range(3))
+    path, out, checkpoint, effects = (work_folder(spark) for _ in range(4))
     events = adapters.state_events(spark, FOLDER)
     events.repartitionByRange(4, "event_ts", "event_id").sortWithinPartitions("event_ts", "event_id").write.parquet(path)
     graph = schema.model_graph("default")
     for step in range(2):
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 10).parquet(path)
-        states.to_folder(states.reduce_stream(stream, graph), out, checkpoint, "update").awaitTermination()
+        states.state_stream(stream, graph, effects, out, checkpoint, max_files=10).awaitTermination()
+    assert spark.read.parquet(f"{effects}/batch=*").groupBy("content_item_id", "batch_id").count().where("count > 1").isEmpty()
     rows = spark.read.parquet(f"{out}/batch=*")
     last = {r["content_item_id"]: r["s"] for r in rows.groupBy("content_item_id").agg(F.max_by("current_state", "batch_id").alias("s")).collect()}
     assert last == {r["content_item_id"]: r["current_state"] for r in state.apply_events(events, graph).collect()}
 
 
+class Clock:
+    """A state store, its timers and a clock that is set by hand, for one item."""
+
+    def __init__(self):
+        self.now, self.timers, self.held = 0, set(), None
+
+    def getValueState(self, name, schema):
+        return self
+
+    exists = lambda self: self.held is not None
+    get = lambda self: self.held
+    registerTimer = lambda self, at: self.timers.add(at)
+    deleteTimer = lambda self, at: self.timers.remove(at)
+    listTimers = lambda self: iter([(t,) for t in sorted(self.timers)])
+    getCurrentProcessingTimeInMs = lambda self: self.now
+
+    def update(self, value):
+        self.held = value
+
+
+@pytest.mark.parametrize(("first", "seconds"), [("ready", 10), ("hashtaged", 120)])
+def test_timers_give_items_in_flight_back(first, seconds):
+    names, clock = ["hashtaged", "ready", "undefined"], Clock()
+    processor = states.ItemStateProcessor(names, "undefined", {"hashtaged": 120}, 10)
+    processor.init(clock)
+    stay = [{"state": i, "end_ts": None, "completed_ts": None} for i in range(3)]
+    go = lambda to, at: [{"state": names.index(to), "end_ts": pd.Timestamp(at), "completed_ts": None} for _ in names]
+
+    def feed(batch, effect, starts=0, started=None):
+        rows = pd.DataFrame({"batch_id": [batch], "starts": [starts], "started": [pd.Timestamp(started)], "effect": [effect]})
+        return pd.concat(list(processor.handleInputRows((7,), iter([rows]), clock))).to_dict("records")[0]
+
+    def step(ms):
+        clock.now += ms
+        out = []
+        for at in [t for t in sorted(clock.timers) if t <= clock.now]:
+            clock.timers.discard(at)
+            out += [r for f in processor.handleExpiredTimer((7,), clock, None) for r in f.to_dict("records")]
+        return out
+
+    assert feed(0, go(first, "2024-01-01 00:00:00"))["current_state"] == first and not clock.timers
+    feed(1, stay, 1, "2024-01-01 00:00:05")
+    assert step(1000 * seconds - 1) == []
+    assert [(r["given_back"], r["current_state"], r["transition_num"]) for r in step(1)] == [(True, first, 1)]
+    feed(2, stay, 1, "2024-01-01 00:10:00")  # tried again, and answered in time
+    step(5000)
+    assert feed(3, go(first, "2024-01-01 00:10:04"))["given_back"] is False
+    assert not clock.timers and step(500_000) == []
+    feed(4, stay, 1, "2024-01-01 00:20:00")  # a second start replaces the timer of the first
+    step(1000 * seconds - 1)
+    feed(5, stay, 1, "2024-01-01 00:20:09")
+    assert step(1) == [] and len(step(1000 * seconds)) == 1
+    assert feed(5, go("ready", "2024-01-01 00:30:00"), 9, "2024-01-01")["transition_num"] == 4  # a batch written again
+
+
+def test_timers_run_in_a_stream(spark):
+    path, effects, out, checkpoint = (work_folder(spark) for _ in range(4))
+    rows = [(1, 1, "2024-01-01 00:00:00", "update", "ready"), (1, 2, "2024-01-01 00:00:01", "start", None),
+            (2, 3, "2024-01-01 00:00:00", "start", None), (2, 4, "2024-01-01 00:00:01", "update", "ready")]
+    events = spark.createDataFrame(rows, "content_item_id BIGINT, event_id BIGINT, event_ts STRING, kind STRING, to_state STRING")
+    events.withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz")).coalesce(1).write.parquet(path)
+    graph = schema.model_graph("default")
+    shape = spark.read.parquet(path).schema
+    states.effect_stream(spark.readStream.schema(shape).parquet(path), graph, effects, f"{checkpoint}/e").awaitTermination()
+    timed = states.reduce_stream(states.read_effects(spark, effects), graph, timeouts={}, default=1)
+    keep = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    query = timed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/s").trigger(processingTime="1 second").start()
+    back, until = [], time.time() + 90
+    try:
+        while not back and time.time() < until and query.isActive:  # timers keep the stream busy, so it is never idle
+            time.sleep(1)
+            if path_exists(spark, out):
+                kept = spark.read.schema(f"{states.OUTPUT}, given_back BOOLEAN").parquet(f"{out}/batch=*")
+                back = kept.where("given_back").collect()
+    finally:
+        query.stop()
+    assert [r["content_item_id"] for r in back] == [1]
+
+
+def test_a_hot_item_is_one_row_of_effects(spark):
+    graph = schema.model_graph("default")
+    hot = spark.range(300_000).select(
+        F.lit(5).cast("bigint").alias("content_item_id"), F.col("id").alias("event_id"),
+        F.expr("timestampadd(SECOND, cast(id as int), timestamp_ntz'2024-01-01')").alias("event_ts"), F.lit("update").alias("kind"),
+        F.element_at(F.array(*[F.lit(n) for n in state.state_names(graph)]), (F.pmod(F.xxhash64("id"), len(state.state_names(graph))) + 1).cast("int")).alias("to_state"))
+    effects = state.event_effects(hot, graph).collect()
+    assert len(effects) == 1 and len(effects[0]["effect"]) == len(state.state_names(graph))
+    want = state.apply_events(hot.drop("kind"), graph).first()
+    got = effects[0]["effect"][state.state_names(graph).index("undefined")]
+    assert (state.state_names(graph)[got["state"]], got["end_ts"], got["completed_ts"]) == (want["current_state"], want["transition_end"], want["completed_timestamp"])
+
+
 def test_ingest_is_idempotent_and_replaces_failed(spark):
     path, root, checkpoint = (work_folder(spark) for _ in range(3))
 

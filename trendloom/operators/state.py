@@ -140,7 +140,43 @@ def apply_events(
     )
 
 
+def event_effects(
+    events: DataFrame, graph: dict[str, list[str]], initial: str = "undefined", key: str = "content_item_id",
+    chunk: int = FOLD_CHUNK, large_key: int | None = None,
+) -> DataFrame:
+    """One row per item: what its events, in (event_ts, event_id) order, do to each start state.
+
+    ``effect`` has a result for every state in the order of ``state_names``: the state after, and the times of the last allowed
+    update and of the last end, null where there was none. ``starts`` and ``started`` count the start events. Effects of one
+    batch after another chain, so a log need not be kept to go on from it; no task sees a whole hot log.
+    """
+    g = _Graph(graph, initial)
+    updates = events.where(F.col("kind") == "update").select(key, "event_ts", "event_id", g.number(F.col("to_state")).alias("target"))
+    ordered = F.array_sort(F.collect_list(F.struct("event_ts", "event_id", "target")))
+    every = F.sequence(F.lit(0), F.lit(g.size - 1))
+    if largest_key(updates, [key]) <= chunk:
+        effects = updates.groupBy(key).agg(ordered.alias("log")).select(
+            key, F.transform(every, lambda s: F.aggregate("log", _start(s), g.step)).alias("effect")
+        )
+    else:
+        effects = _stretch_effects(updates, g, key, ordered, chunk, large_key)
+    starts = events.groupBy(key).agg(
+        F.count_if(F.col("kind") == "start").cast("int").alias("starts"),
+        F.max(F.when(F.col("kind") == "start", F.col("event_ts"))).alias("started"),
+    )
+    same = F.transform(every, _start)
+    return starts.join(effects, key, "left").withColumn("effect", F.coalesce("effect", same))
+
+
+def state_names(graph: dict[str, list[str]], initial: str = "undefined") -> list[str]:
+    return _Graph(graph, initial).names
+
+
 def _fold_stretches(updates: DataFrame, g: _Graph, key: str, ordered: Column, chunk: int, large_key) -> DataFrame:
+    return _stretch_effects(updates, g, key, ordered, chunk, large_key).select(key, F.get("effect", F.lit(g.initial)).alias("r"))
+
+
+def _stretch_effects(updates: DataFrame, g: _Graph, key: str, ordered: Column, chunk: int, large_key) -> DataFrame:
     sizes = {} if large_key is None else {"large_key": large_key}
     placed = with_running_sum(updates, [key], ["event_ts", "event_id"], F.lit(1), "place", **sizes)
     place = ((F.col("place") - 1) / chunk).cast("bigint")
@@ -158,7 +194,7 @@ def _fold_stretches(updates: DataFrame, g: _Graph, key: str, ordered: Column, ch
             key, F.col("next").alias("place"),
             F.transform(every, lambda s: F.aggregate("parts", _start(s), _chain)).alias("effect"),
         )
-    return parts.select(key, F.get("effect", F.lit(g.initial)).alias("r"))
+    return parts.select(key, "effect")
 
 
 def in_flight(states: DataFrame, now: Column, timeouts: dict[str, int] | None = None, default: int = IN_FLIGHT_SECONDS) -> DataFrame:

@@ -926,7 +926,7 @@ def backfill_load(spark, folder):
 
 def _event_stream(spark, folder) -> DataFrame:
     shape = adapters.table(spark, folder, "events").schema
-    return spark.readStream.schema(shape).parquet(f"{folder.rstrip('/')}/events.parquet*")
+    return spark.readStream.schema(shape).option("maxFilesPerTrigger", 1000).parquet(f"{folder.rstrip('/')}/events.parquet*")
 
 
 @query
@@ -947,9 +947,9 @@ def _last_batch(spark, out) -> DataFrame:
 @query
 def stream_states(spark, folder):
     """Item states kept by a stateful stream; the last row of each item counts."""
-    out, checkpoint = work_folder(spark), work_folder(spark)
+    effects, out, checkpoint = (work_folder(spark) for _ in range(3))
     events = adapters.as_state_events(_event_stream(spark, folder))
-    states.to_folder(states.reduce_stream(events, schema.model_graph("default")), out, checkpoint, "update").awaitTermination()
+    states.state_stream(events, schema.model_graph("default"), effects, out, checkpoint).awaitTermination()
     rows = spark.read.parquet(f"{out}/batch=*")
     columns = [c for c in rows.columns if c not in ("batch", "batch_id", "content_item_id")]
     last = rows.groupBy("content_item_id").agg(F.max_by(F.struct(*columns), "batch_id").alias("r"))
