@@ -28,6 +28,7 @@ LARGE_POSTING = 200
 BLOCK_ROWS = 2000
 MAX_PIVOTS = 64
 ROUNDING = 1e-9
+LSH_RECALL, LSH_TABLES, LSH_SEED = 0.95, 32, 29
 
 
 def text_key(text: str = "content") -> Column:
@@ -354,12 +355,64 @@ def _compare_blocks(blocks: DataFrame, threshold: float, ordered: bool) -> DataF
     return blocks.groupBy("workspace_id", "cell", "kind", "left_slice", "right_slice").applyInPandas(compare, schema)
 
 
-def similar_vectors(vectors: DataFrame, threshold: float, k: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def lsh_shape(n: int, threshold: float, recall: float = LSH_RECALL) -> tuple[int, int]:
+    """(bits, tables) for n vectors: as many bits as leave some 64 vectors in a bucket, but only so many that ``LSH_TABLES`` tables
+    bring a pair right at the threshold together with a chance of ``recall``."""
+    same = 1 - np.arccos(min(threshold, 1.0)) / np.pi
+    for bits in range(int(np.clip(np.log2(max(n, 2) / 64), 1, 24)), 1, -1):
+        tables = int(np.ceil(np.log(1 - recall) / np.log(1 - min(same**bits, 1 - 1e-12))))
+        if tables <= LSH_TABLES:
+            return bits, max(1, tables)
+    return 1, LSH_TABLES
+
+
+def _buckets(vectors: DataFrame, bits: int, tables: int, probes: int) -> DataFrame:
+    """Home bucket of each vector in every table, by the signs of random projections, and the buckets of its least certain bits.
+
+    The projections come from a fixed seed, so that all tasks draw the same ones.
+    """
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if frame.empty:
+                continue
+            unit = _unit(frame["vector"])
+            planes = np.random.default_rng(LSH_SEED).normal(size=(tables, bits, unit.shape[1]))
+            for t in range(tables):
+                side = unit @ planes[t].T
+                code = ((side > 0) << np.arange(bits)).sum(1)
+                cells = [code, *[code ^ (1 << np.argsort(np.abs(side), 1)[:, i]) for i in range(min(probes, bits))]]
+                for i, cell in enumerate(cells):
+                    yield plain(frame.assign(cell=(t << 32) + cell.astype("int64"), role="visit" if i else "home"))
+
+    return vectors.select("workspace_id", "content_item_id", "vector").mapInPandas(
+        place, "workspace_id STRING, content_item_id BIGINT, vector ARRAY<FLOAT>, cell BIGINT, role STRING"
+    )
+
+
+def _lsh_pairs(distinct: DataFrame, threshold: float, block_rows: int, probes: int, recall: float) -> DataFrame:
+    """Pairs that meet in a bucket, compared exactly; a pair that meets often is one row. Large buckets are cut into blocks, not capped."""
+    bits, tables = lsh_shape(distinct.count(), threshold, recall)
+    found = _compare_blocks(_blocks(_buckets(distinct, bits, tables, probes), block_rows), threshold, False)
+    return found.groupBy("workspace_id", "src_id", "dst_id").agg(F.max("score").alias("score"))
+
+
+def similar_vectors(
+    vectors: DataFrame, threshold: float, k: int | None = None, block_rows: int = BLOCK_ROWS, method: str = "exact",
+    probes: int = 2, recall: float = LSH_RECALL,
+) -> DataFrame:
     """Pairs (workspace_id, src_id, dst_id, score) of distinct vectors with cosine >= threshold.
 
-    With ``k``, the k best partners of each item, seen from both sides.
+    With ``k``, the k best partners of each item, seen from both sides. ``method='lsh'`` looks only at pairs that meet in a
+    bucket of random projections or in one of ``probes`` buckets beside it: every pair it gives is right, and a pair right at the
+    threshold is found with a chance of at least ``recall``, others with a larger one. The default finds all.
     """
     _check(threshold)
+    if method not in ("exact", "lsh"):
+        raise ValueError("method must be 'exact' or 'lsh'")
+    if method == "lsh":
+        pairs = _lsh_pairs(cut(representatives(vectors, F.col("vector"), "vector")), threshold, block_rows, probes, recall)
+        return pairs if k is None else top_per_key(both_ways(pairs), ["src_id"], [F.desc("score"), F.asc("dst_id")], k)
     distinct = cut(representatives(vectors, F.col("vector"), "vector"))
     pivots = choose_pivots(distinct, block_rows)
     if pivots is None:

@@ -916,6 +916,59 @@ def ingest_stream(spark, folder):
     return stored.select(*ITEM_VIEW, "current_state")
 
 
+BROKEN = "concat('{\"content_id\": \"', doc_id, '\", \"content\": ')"
+
+
+def _broken_lines(spark, folder) -> DataFrame:
+    """A line that breaks off, for every tenth document."""
+    return adapters.table(spark, folder, "documents").where("doc_id % 10 = 3").select(F.expr(BROKEN).alias("value"))
+
+
+@query
+def ingest_stream_broken(spark, folder):
+    """Items and quarantined lines of a raw store with malformed lines."""
+    path, root, checkpoint = (work_folder(spark) for _ in range(3))
+    raw_store.append_raw(adapters.raw_posts(spark, folder), path)
+    _broken_lines(spark, folder).write.mode("append").text(f"{path}/date_id=20240104/workspace_id=ws1/source_id=junkipedia")
+    ingest.ingest_stream(spark, path, root, checkpoint, extract.extract_multi_field).awaitTermination()
+    items = snapshots.read_snapshot(spark, root, ingest.ITEMS).select(F.lit("item").alias("kind"), F.col("raw_content_id").alias("name"), "source_field")
+    lost = spark.read.parquet(f"{root}/quarantine").select(F.lit("broken").alias("kind"), F.md5("_corrupt_record").alias("name"), F.lit(None).cast("string").alias("source_field"))
+    return items.unionByName(lost)
+
+
+@query
+def ingest_runs(spark, folder):
+    """Run rows of a job over files with malformed lines, and of a second one that finds nothing."""
+    path, root, checkpoint = (work_folder(spark) for _ in range(3))
+    raw_store.append_raw(adapters.raw_posts(spark, folder), path)
+    first = ingest.ingest_run(spark, path, root, checkpoint, extract.extract_multi_field)
+    second = ingest.ingest_run(spark, path, root, checkpoint, extract.extract_multi_field)
+    return first.unionByName(second).drop("batch")
+
+
+@query
+def stream_callbacks_broken(spark, folder):
+    """Keyword rows and quarantined lines where some callbacks are no JSON."""
+    path, root, events, refused, checkpoint = (work_folder(spark) for _ in range(5))
+    items = _items(spark, folder)
+    adapters.callbacks(items).select("message").unionByName(_broken_lines(spark, folder).select(F.col("value").alias("message"))).write.text(path)
+    models.callback_stream(spark, path, items, root, events, refused, checkpoint).awaitTermination()
+    good = snapshots.read_snapshot(spark, root, key="content_keyword_id").groupBy("content_item_id").agg(F.count(F.lit(1)).alias("n"))
+    lost = spark.read.parquet(f"{root}/quarantine").select(F.lit(None).cast("bigint").alias("content_item_id"), F.lit(1).cast("bigint").alias("n"), F.md5("message").alias("line"))
+    return good.withColumn("line", F.lit(None).cast("string")).unionByName(lost)
+
+
+@query
+def similar_vectors_lsh(spark, folder):
+    """What the hashed search finds of the pairs of each workspace: at least nine tenths of all, and nothing wrong."""
+    vectors = adapters.item_vectors(spark, folder)
+    all_pairs = similarity.similar_vectors(vectors, VECTOR_THRESHOLD)
+    found = similarity.similar_vectors(vectors, VECTOR_THRESHOLD, method="lsh").withColumn("hit", F.lit(1))
+    both = all_pairs.withColumn("real", F.lit(1)).drop("score").join(found.drop("score"), ["workspace_id", "src_id", "dst_id"], "full")
+    counted = both.groupBy("workspace_id").agg(F.count("real").alias("num_pairs"), F.count("hit").alias("hits"), F.count_if(F.col("real").isNull()).alias("num_wrong"))
+    return counted.select("workspace_id", "num_pairs", (F.col("hits") >= 0.9 * F.col("num_pairs")).alias("is_enough"), "num_wrong")
+
+
 @query
 def backfill_load(spark, folder):
     """All dates of the raw store loaded in one job, with a status per date."""

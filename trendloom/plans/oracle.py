@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trendloom.functions import text as T
-from trendloom.plans.catalog import TEXT_THRESHOLD, VECTOR_THRESHOLD
+from trendloom.plans.catalog import BROKEN, TEXT_THRESHOLD, VECTOR_THRESHOLD
 
 ORACLES: dict[str, str] = {}
 
@@ -430,6 +430,7 @@ SELECT workspace_id, src_id, dst_id, round(1 + cos, 4) AS score, CAST(r AS INTEG
   SELECT *, row_number() OVER (PARTITION BY workspace_id, src_id ORDER BY cos DESC, dst_id) AS r FROM (
     SELECT q.workspace_id, q.content_item_id AS src_id, s.content_item_id AS dst_id, list_cosine_similarity(q.v, s.v) AS cos
     FROM vector q JOIN vector s ON q.workspace_id = s.workspace_id AND q.label = 0 AND s.label <> 0) WHERE cos >= 0.2) WHERE r <= 5""", "vector")
+oracle("similar_vectors_lsh", "SELECT workspace_id, count(*) AS num_pairs, true AS is_enough, 0 AS num_wrong FROM pair GROUP BY ALL", "vector", "pair")
 oracle("find_similar_extended", f"""
 SELECT q.workspace_id, q.content_item_id AS src_id, s.content_item_id AS dst_id, round(1 + list_cosine_similarity(q.v, s.v), 4) AS score
 FROM vector q JOIN vector s ON q.workspace_id = s.workspace_id AND q.content_item_id % 20 = 0
@@ -490,6 +491,14 @@ oracle("tipline_csv", """SELECT concat(conv_id, '-', turn) AS raw_content_id, md
 oracle("snapshot_changes", ORACLES["upsert_items"])
 oracle("ingest_stream", f"""SELECT * EXCLUDE is_failed, CASE WHEN is_failed THEN 'failed' ELSE 'ready' END AS current_state
 FROM ({ORACLES["extract_multi_field"]})""")
+oracle("ingest_stream_broken", f"""SELECT 'item' AS kind, raw_content_id AS name, source_field FROM ({ORACLES["extract_multi_field"]})
+UNION ALL SELECT 'broken', md5({BROKEN}), NULL FROM documents WHERE doc_id % 10 = 3""")
+oracle("ingest_runs", f"""
+SELECT 'completed' AS state, 0 AS bad_lines, count(*) AS items, count(*) AS inserted, 0 AS replaced, 0 AS ignored,
+  count(*) FILTER (is_failed) AS failed, count(*) FILTER (NOT is_failed) AS dispatched, 0 AS removed FROM ({ORACLES["extract_multi_field"]})
+UNION ALL SELECT 'failed', 0, 0, 0, 0, 0, 0, 0, 0""")
+oracle("stream_callbacks_broken", f"""SELECT content_item_id, count(*) AS n, NULL AS line FROM ({ORACLES["callback_keywords"]}) GROUP BY ALL
+UNION ALL SELECT NULL, 1, md5({BROKEN}) FROM documents WHERE doc_id % 10 = 3""")
 oracle("backfill_load", f"""
 SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id, 0 AS bad_lines, coalesce(raw_items, 0) AS raw_items, coalesce(items, 0) AS items,
   coalesce(items, 0) AS inserted, 0 AS replaced, 0 AS ignored, coalesce(failed, 0) AS failed,

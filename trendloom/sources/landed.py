@@ -123,7 +123,11 @@ def read_tipline_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_messages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Landed JSON lines as ``message`` rows, and the lines that are not JSON."""
-    lines = spark.read.text(path).select(F.col("value").alias("message"))
+    return split_messages(spark.read.text(path).select(F.col("value").alias("message")))
+
+
+def split_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``message`` rows that are JSON, and those that are not."""
     broken = F.try_parse_json("message").isNull()
     return lines.where(~broken), lines.where(broken)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trendloom.schema import RAW_ITEM
 
 PARTITION = ["date_id", "workspace_id", "source_id"]
+LINES = "value STRING, date_id INT, workspace_id STRING, source_id STRING"
 
 
 def append_raw(df: DataFrame, path: str, fmt: str = "json") -> None:
@@ -39,8 +40,11 @@ def read_raw(spark: SparkSession, path: str, date_ids=None, workspace_id=None, s
     ``strict`` fails on a malformed line. Otherwise such lines stay as rows with ``_corrupt_record``;
     see ``good_rows`` and ``quarantine``.
     """
-    lines = spark.read.schema("value STRING, date_id INT, workspace_id STRING, source_id STRING").text(path)
-    lines = _pick(lines, date_ids, workspace_id, source_id)
+    return parse_lines(_pick(spark.read.schema(LINES).text(path), date_ids, workspace_id, source_id), strict)
+
+
+def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """Lines of the store (``LINES``), from a table or a stream, as raw items."""
     body = ", ".join(f for f in RAW_ITEM.split(", ") if f.split(" ")[0] not in PARTITION)
     options = {"mode": "FAILFAST"} if strict else {"columnNameOfCorruptRecord": "_corrupt_record"}
     parsed = F.from_json("value", body if strict else f"{body}, _corrupt_record STRING", options)

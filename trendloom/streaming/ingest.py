@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trendloom.operators import extract, maintenance, setops
 from trendloom.operators.joins import ITEM_KEY
-from trendloom.schema import RAW_ITEM
 from trendloom.session import cut, settle_batch
-from trendloom.sources import raw_store, snapshots
+from trendloom.sources import raw_store, runs, snapshots
 
 ITEMS = (
     "run_id STRING, workspace_id STRING, source_id STRING, query_id STRING, date_id INT, raw_created_at TIMESTAMP_NTZ, "
@@ -43,13 +43,14 @@ def load_items(raw: DataFrame, root: str, extractor: Callable[[DataFrame], DataF
         F.count_if(F.col("outcome") == "replaced").alias("replaced"),
         F.count_if(F.col("outcome") == "ignored").alias("ignored"),
         F.count_if(F.col("current_state") == "failed").alias("failed"),
+        F.count_if((F.col("outcome") != "ignored") & (F.col("current_state") != "failed")).alias("dispatched"),
     )
 
 
 def raw_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """New raw store files as a stream; the payload stays text."""
-    schema = f"{RAW_ITEM}, date_id INT"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
+    """New raw store files as a stream of raw items; the payload stays text, and a malformed line is a row with ``_corrupt_record``."""
+    lines = spark.readStream.schema(raw_store.LINES).option("maxFilesPerTrigger", max_files).text(path)
+    return raw_store.parse_lines(lines)
 
 
 def ingest_stream(
@@ -57,11 +58,16 @@ def ingest_stream(
 ) -> StreamingQuery:
     """All raw files not seen yet into the item table, then stop (the daily job).
 
-    A batch that is replayed after a failure finds its id in the commit log and changes nothing.
+    A batch that is replayed after a failure finds its id in the commit log and changes nothing. Malformed lines of a batch are
+    kept in ``root``/quarantine/batch=n, and its figures in ``root``/runs/batch=n; both are written anew when it is repeated.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        load_items(settle_batch(df, spark), root, extractor, batch_id=f"{checkpoint}#{batch_id}")
+        raw = settle_batch(df, spark)
+        bad = cut(raw_store.quarantine(raw))
+        bad.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
+        counts = load_items(raw_store.good_rows(raw), root, extractor, batch_id=f"{checkpoint}#{batch_id}")
+        runs.record(counts, bad, f"{root}/runs/batch={batch_id}")
 
     return (
         raw_stream(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -69,6 +75,17 @@ def ingest_stream(
     )
 
 
+def ingest_run(spark: SparkSession, path: str, root: str, checkpoint: str, extractor: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One daily job to its end: the run rows of its batches. A job that found no line at all leaves one row, as failed."""
+    before = runs.batches(spark, root)
+    ingest_stream(spark, path, root, checkpoint, extractor).awaitTermination()
+    new = sorted(runs.batches(spark, root) - before)
+    if not new:
+        new = [f"empty-{uuid.uuid4().hex}"]
+        runs.record_empty(spark, f"{root}/runs/batch={new[0]}")
+    return runs.read(spark, root).where(F.col("batch").isin(new))
+
+
 def dedup_within(stream: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
     """Bounded stream dedup: first row per natural key within the delay."""
     timed = stream.withColumn("event_time", F.col(ts).cast("timestamp")).withWatermark("event_time", delay)
@@ -90,6 +107,6 @@ def backfill(
         F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad_lines"), F.count("run_id").alias("raw_items")
     )
     loaded = load_items(raw_store.good_rows(raw), root, extractor)
-    report = dates.join(broken, "date_id", "left").join(loaded, "date_id", "left")
+    report = dates.join(broken, "date_id", "left").join(loaded.drop("dispatched"), "date_id", "left")
     status = F.when(F.col("raw_items").isNull(), "missing").when(F.col("bad_lines") > 0, "error").otherwise("completed")
     return report.withColumn("status", status).fillna(0)

@@ -20,10 +20,12 @@ def callback_stream(
     spark: SparkSession, path: str, items: DataFrame, keyword_root: str, event_path: str, refused_path: str, checkpoint: str,
 ) -> StreamingQuery:
     """Landed callbacks to keyword rows and state events. Errors change nothing; sets for unknown items
-    or of another workspace are kept apart."""
+    or of another workspace are kept apart, and so are lines that are not JSON (``keyword_root``/quarantine)."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        sets = settle_batch(landed.callback_keyword_sets(landed.callback_rows(df)), spark)
+        good, broken = landed.split_messages(settle_batch(df, spark))
+        broken.write.mode("overwrite").parquet(f"{keyword_root}/quarantine/batch={batch_id}")
+        sets = cut(landed.callback_keyword_sets(landed.callback_rows(good)))
         rows, refused = attach_keywords(sets, items)
         snapshots.commit_changes(rows.select(*KEYWORD_COLUMNS), keyword_root, batch_id=f"{checkpoint}#{batch_id}")
         refused.write.mode("overwrite").json(f"{refused_path}/batch={batch_id}")
