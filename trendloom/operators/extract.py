@@ -8,7 +8,7 @@ but blank gives no row for that field.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -210,6 +210,37 @@ def custom_extractor(fn: Callable[[dict], list[dict]]) -> Callable[[DataFrame],
     return extractor
 
 
+def table_extractor(fn: Callable[[dict], Iterator[dict]]) -> Callable[[DataFrame], DataFrame]:
+    """As ``custom_extractor``, by a Python table function that is called laterally on every payload.
+
+    Items leave the function one by one, so a payload with very many is never held as a list. A payload that fails on the way
+    gives its items up to there and the failed row.
+    """
+    fields = ["text", "published", "url", "language", "source_field"]
+
+    class Items:
+        def eval(self, content: str):
+            try:
+                for one in fn(json.loads(content)):
+                    yield (*(one.get(f) for f in fields), None)
+            except (KeyError, ValueError, TypeError) as e:
+                yield (*([None] * len(fields)), f"{type(e).__name__} {e}")
+
+    table = F.udtf(Items, returnType=", ".join(f"{f} STRING" for f in [*fields, "failed_reason"]))
+
+    def extractor(raw: DataFrame) -> DataFrame:
+        kept = ["run_id", "workspace_id", "source_id", "query_id", "date_id", "created_at", "content_id", "content"]
+        made = raw.select(*kept).lateralJoin(table(F.col("content").outer()))
+        stamp = F.col("published")
+        return _finish(made.withColumns({
+            "published": parse_ts(stamp),
+            "failed_published": F.lit(None).cast("timestamp_ntz"),
+            "failed_reason": _bad_date(F.col("failed_reason"), parse_ts(stamp), stamp),
+        }))
+
+    return extractor
+
+
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "default": extract_default,
     "social": extract_multi_field,

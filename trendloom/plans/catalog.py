@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from trendloom.operators import (
     aggregates, clusters, extract, filters, joins, keywords, maintenance, pivot_index, ranking, setops, similarity, state,
 )
 from trendloom.plans import adapters, reports, workflow
-from trendloom.session import work_folder
-from trendloom.sources import landed, raw_store, snapshots
+from trendloom.session import cut, work_folder
+from trendloom.sources import landed, raw_store, snapshots, tables
 from trendloom.streaming import ingest, models, states
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,6 +451,23 @@ def extract_multi_field(spark, folder):
     return _extracted(extract.extract_multi_field(adapters.raw_posts(spark, folder)))
 
 
+def _post_fields(payload: dict):
+    attributes = payload["attributes"]
+    fields = attributes["search_data_fields"]
+    for name in extract.MULTI_FIELDS:
+        text = fields[name]
+        if text not in (None, "", "null") and not (name == "transcript_text" and text == " "):
+            language = fields["language_code"]
+            yield {"text": text, "published": attributes["published_at"], "url": fields["url"], "source_field": name,
+                   "language": None if language in ("", "null") else language}
+
+
+@query
+def extract_by_table_function(spark, folder):
+    """The fields of posts by a user's table function."""
+    return _extracted(extract.table_extractor(_post_fields)(adapters.raw_posts(spark, folder)))
+
+
 @query
 def extract_tweets(spark, folder):
     return _extracted(extract.extract_tweets(adapters.raw_tweets(spark, folder)))
@@ -549,6 +567,32 @@ def upsert_items(spark, folder):
     return maintenance.upsert_items(stored, incoming)
 
 
+@query
+def upsert_by_table(spark, folder):
+    """Loads against a bucketed table of natural keys, the second one against what the first left behind."""
+    stored, incoming = _loads(spark, folder)
+    name = f"keys_{uuid.uuid4().hex}"
+    tables.append_keys(stored, name, 0, 16, f"{work_folder(spark)}/{name}")
+    first = cut(tables.split_by_table(incoming, name, buckets=16))
+    tables.append_keys(first.where("outcome <> 'ignored'"), name, 1)
+    again = tables.split_by_table(incoming, name, buckets=16)
+    both = first.withColumn("load", F.lit(1)).unionByName(again.withColumn("load", F.lit(2)))
+    return both.groupBy("load", "workspace_id", "outcome").agg(F.count(F.lit(1)).alias("num_items"))
+
+
+@query
+def distinct_sketches(spark, folder):
+    """Items of a language over ten days, from day sketches: the estimate is within 4 % of the exact number."""
+    items = _items(spark, folder)
+    first, last = (F.lit(f"2024-01-{d} 00:00:00").cast("timestamp_ntz") for d in ("05", "14"))
+    rolled = aggregates.distinct_between(cut(aggregates.day_sketches(items, "content_language_code")), "content_language_code", start=first, end=last)
+    day = F.date_trunc("day", "content_published_date").cast("timestamp_ntz")
+    exact = items.where((day >= first) & (day <= last)).groupBy("content_language_code").agg(F.count_distinct("content_item_id").alias("exact"))
+    near = F.abs(F.col("num_distinct") - F.col("exact")) <= F.greatest(0.04 * F.col("exact"), F.lit(1.0))
+    same = rolled.join(exact, F.col("exact").isNotNull() & rolled["content_language_code"].eqNullSafe(exact["content_language_code"]))
+    return same.select(rolled["content_language_code"], "num_items", "exact", near.alias("is_near"))
+
+
 @query
 def upsert_items_forced(spark, folder):
     stored, incoming = _loads(spark, folder)

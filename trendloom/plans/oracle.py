@@ -265,6 +265,9 @@ FROM item GROUP BY ALL""", "item")
 oracle("blank_test", """
 SELECT concat('d', doc_id) AS content_id, doc_id % 3 = 0 OR doc_id % 13 = 0 AS title_blank,
   doc_id % 2 = 0 OR doc_id % 13 = 0 AS transcript_blank, doc_id % 13 <> 0 AS has_language_key FROM documents""")
+oracle("distinct_sketches", """
+SELECT content_language_code, count(*) AS num_items, count(DISTINCT content_item_id) AS exact, true AS is_near
+FROM item WHERE CAST(content_published_date AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-14' GROUP BY ALL""", "item")
 oracle("date_ids", """
 SELECT content_item_id, CAST(strftime(content_published_date, '%Y%m%d') AS INTEGER) AS published_id,
   CAST(strptime(CAST(date_id AS VARCHAR), '%Y%m%d') AS DATE) AS day,
@@ -294,6 +297,7 @@ FIELDS = """(SELECT doc_id, lang, name, body FROM (
 oracle("extract_default", _extract("junkipedia", "text", PUBLISHED, POST_URL, "CAST(NULL AS VARCHAR)", "doc_id % 13 = 0"))
 oracle("extract_multi_field", _extract(
     "junkipedia", "body", PUBLISHED, POST_URL, "CASE WHEN doc_id % 5 <> 0 THEN lang END", "doc_id % 13 = 0", "name", frm=FIELDS))
+oracle("extract_by_table_function", ORACLES["extract_multi_field"])
 oracle("extract_tweets", _extract(
     "tweets", "text", PUBLISHED, "concat('https://twitter.com/twitter/status/', doc_id)", "lang", "false", where="WHERE doc_id % 4 <> 0"))
 oracle("extract_tipline", _extract(
@@ -348,6 +352,15 @@ WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE {same} AND NOT ({replaceable}))""
 ORACLES["upsert_items"] = f"WITH {LOADS}" + _upsert(
     "current_state = 'failed', CASE WHEN current_state = 'failed' THEN -arrival ELSE arrival END", "s.current_state = 'failed'")
 ORACLES["upsert_items_forced"] = f"WITH {LOADS}" + _upsert("arrival DESC", "true")
+oracle("upsert_by_table", """
+SELECT load, workspace_id, CASE WHEN load = 2 AND (is_there AND NOT was_failed OR NOT is_failed) THEN 'ignored' WHEN load = 2 THEN 'replaced'
+  WHEN NOT is_there THEN 'inserted' WHEN was_failed THEN 'replaced' ELSE 'ignored' END AS outcome, count(*) AS num_items
+FROM (SELECT w.workspace_id, w.current_state = 'failed' AS is_failed, s.content_item_id IS NOT NULL AS is_there, coalesce(s.current_state = 'failed', false) AS was_failed
+  FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, raw_content_id, source_field
+    ORDER BY current_state = 'failed', CASE WHEN current_state = 'failed' THEN -arrival ELSE arrival END) AS place FROM incoming) w
+  LEFT JOIN stored s ON s.workspace_id = w.workspace_id AND s.raw_content_id = w.raw_content_id AND s.source_field IS NOT DISTINCT FROM w.source_field
+  WHERE place = 1), (VALUES (1), (2)) AS loads(load)
+GROUP BY ALL""", LOADS)
 oracle("insert_absent", """SELECT content_item_id, raw_content_id FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, raw_content_id, source_field
   ORDER BY current_state = 'failed', CASE WHEN current_state = 'failed' THEN -arrival ELSE arrival END) AS place FROM incoming) w WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM stored s
 WHERE s.workspace_id = w.workspace_id AND s.raw_content_id = w.raw_content_id AND s.source_field IS NOT DISTINCT FROM w.source_field)""", LOADS)
