@@ -1,8 +1,14 @@
 """Quality rules and importance resampling on small tables."""
 
+import itertools
+import math
+import random
 import re
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from trendloom.llm import quality_rules, resampling
@@ -102,3 +108,45 @@ def test_buckets_follow_the_labelled_text(frame):
     assert share == 0.75 and len(ratios) == 1 << 16  # 30 texts of 39 999 n-grams, at most 32 in a bucket
     assert len(resampling.fit(docs, labels.where("doc_id = 1"))[0]) == resampling.LEAST_BUCKETS
     assert len(resampling.fit(docs, labels, 777)[0]) == 777
+
+
+def spark_hash(doc_id, text, seed):
+    """Spark's xxhash64 of a long, a string and an int, nulls left out."""
+    value = 42
+    for data in (None if doc_id is None else struct.pack("<q", doc_id), None if text is None else text.encode(), struct.pack("<i", seed)):
+        value = value if data is None else xxhash.xxh64(data, seed=value).intdigest()
+    return value
+
+
+def plain_grams(text):
+    words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    return [(w,) for w in words] + list(itertools.pairwise(words))
+
+
+@pytest.mark.parametrize("weight", [400, 5, None])
+def test_models_noise_and_choice_equal_dictionaries(frame, weight):
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choice(vocabulary[: 10 if i % 3 else 40]) for _ in range(r.choice([0, 1, 2, 9, 60])))) for i in range(120)]
+    rows += [(500, None), (501, ""), (None, "w1 w2 w1"), (3, rows[3][1]), (502, "W1\tw2\n" * 900)]
+    labels = [(i, int(i % 3 > 0)) for i in range(60)] + [(7, 0), (None, 1), (9, None), (9999, 1)]
+    docs = frame([(i, t, "x", 1.0) for i, t in rows], "doc_id long, text string, kept string, sample_key double")
+    buckets = 1 << 22
+    ratios, share = resampling.fit(docs, frame(labels, "doc_id long, quality int"), buckets)
+    bad = {i for i, q in labels if q == 0}
+    good = {i for i, q in labels if q == 1 and i is not None} - bad
+    raw = Counter(g for _, t in rows for g in plain_grams(t))
+    target = Counter(g for i, t in rows if i in good for g in plain_grams(t))
+    of_labelled = [i in good for i, _ in rows if i in good | bad]
+    assert share == pytest.approx(sum(of_labelled) / len(of_labelled))
+    ratio = {g: math.log((target[g] + 1) / (target.total() + buckets)) - math.log((n + 1) / (raw.total() + buckets)) for g, n in raw.items()}
+    want = []
+    for i, t in rows:
+        grams = plain_grams(t)
+        weight_of = sum(ratio[g] for g in grams) / len(grams) * min(len(grams), weight or len(grams)) if grams else 0.0
+        uniform = ((spark_hash(i, t, resampling.SEED) >> 11) + 0.5) / 2**53
+        want.append((i, t, weight_of, weight_of - math.log(-math.log(uniform))))
+    least = sorted((w[3] for w in want), reverse=True)[max(math.ceil(share * len(rows)), 1) - 1]
+    found = resampling.resampled(cut(resampling.weighed(docs, ratios, weight_grams=weight)), share).collect()
+    got = sorted(((r.doc_id, r.text, round(r.log_ratio, 6), r.kept) for r in found), key=str)
+    assert got == sorted(((i, t, round(w, 6), k >= least - 1e-9) for i, t, w, k in want), key=str)

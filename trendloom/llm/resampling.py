@@ -88,14 +88,18 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, size: in
     return np.log(smooth(target)) - np.log(smooth(raw)), float(good)
 
 
-def log_ratio(text: Column, ratios: np.ndarray, weight_grams: int = WEIGHT_GRAMS) -> Column:
-    """Mean log ratio of a text's n-grams, times their count up to ``weight_grams``; 0 for a text without words."""
+def log_ratio(text: Column, ratios: np.ndarray, weight_grams: int | None = WEIGHT_GRAMS) -> Column:
+    """Mean log ratio of a text's n-grams, times their count up to ``weight_grams``; 0 for a text without words.
+
+    The mean is over all n-grams of the text, however long. With ``weight_grams`` of None it is the plain sum, the log of the
+    ratio of the two models.
+    """
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         out = []
         for grams in _gram_buckets(texts, len(ratios)):
-            out.append(float(ratios[grams].mean()) * min(len(grams), weight_grams) if len(grams) else 0.0)
+            out.append(float(ratios[grams].mean()) * min(len(grams), weight_grams or len(grams)) if len(grams) else 0.0)
         return pa.array(out, pa.float64())
 
     return score(text)
@@ -108,9 +112,9 @@ def gumbel(*identity: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def weighed(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
+def weighed(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, weight_grams: int | None = WEIGHT_GRAMS) -> DataFrame:
     """``docs`` with ``log_ratio`` and ``sample_key`` (log ratio plus noise); columns of those names are replaced."""
-    scored = docs.withColumn("log_ratio", log_ratio(F.col("text"), ratios))
+    scored = docs.withColumn("log_ratio", log_ratio(F.col("text"), ratios, weight_grams))
     return scored.withColumn("sample_key", F.col("log_ratio") + gumbel(F.col("doc_id"), F.col("text"), seed=seed))
 
 
