@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trendloom.functions.batches import plain
 from trendloom.functions.text import hashtags, segments, spaceless_runs, terms
 from trendloom.operators.filters import in_list, in_workspace, keep_listed, published_between
-from trendloom.operators.ranking import top_per_key
+from trendloom.operators.ranking import top_per_key, with_running_sum
 from trendloom.session import cut
 
 KEYWORD_COLUMNS = [
@@ -123,21 +123,24 @@ def keyword_id_lists(
 ) -> DataFrame:
     """The id lists of the keywords in ``rollup``, comma-separated in keyword id order.
 
-    A keyword with more than ``part_size`` items gets its lists in several parts, numbered from 0; each
-    is built by its own group, so that no list grows past a bound and none is cut.
+    A keyword with more than ``part_size`` items gets its lists in several parts, numbered from 0 and in id order; each
+    is built by its own group, so that no list grows past a bound and none is cut. Places of ids are counted only for such
+    keywords, over even segments where one is very large.
     """
     keys = ["workspace_id", "keyword_model_name", "keyword_text"]
-    parts = F.ceil(F.col("num_items") / part_size)
     picked = _rollup_input(keywords, items, None, None, None, None)
-    picked = picked.join(rollup.select(*keys, parts.alias("parts")), keys)
-    slot = F.pmod(F.xxhash64("content_keyword_id"), F.col("parts")).cast("int")
+    picked = picked.join(rollup.select(*keys, (F.col("num_items") > part_size).alias("is_long")), keys)
+    short = picked.where("NOT is_long").withColumn("part", F.lit(0))
+    long = with_running_sum(picked.where("is_long"), keys, ["content_keyword_id"], F.lit(1), "place")
+    long = long.withColumn("part", F.floor((F.col("place") - 1) / part_size).cast("int")).drop("place")
+    picked = short.unionByName(long)
 
     def listed(col: str) -> Column:
         pairs = F.array_sort(F.collect_list(F.struct("content_keyword_id", F.col(col).cast("string").alias("v"))))
         values = F.filter(F.transform(pairs, lambda p: p["v"]), lambda v: v.isNotNull())
         return F.when(F.size(values) > 0, F.array_join(values, ",")).alias(f"{col}s")
 
-    return picked.withColumn("part", slot).groupBy(*keys, "part").agg(
+    return picked.groupBy(*keys, "part").agg(
         listed("content_keyword_id"), listed("content_item_id"), listed("content_cluster_id")
     )
 

@@ -192,6 +192,49 @@ def similar_texts(items: DataFrame, threshold: float, text: str = "content", sli
     return pairs_from_weights(word_sets(texts, text), threshold, slice_rows)
 
 
+def links_of_all(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(workspace_id, content_item_id, rep_id, num_copies, num_links) of every item, from pairs of representatives and ``copies``.
+
+    ``num_copies`` counts the other items that share the representative, ``num_links`` the items similar to this one without
+    being copies of it. Together with the pairs this is the whole result: two items are similar if they share a representative
+    or their representatives are a pair; no pair of copies is written out.
+    """
+    sizes = members.groupBy("workspace_id", "rep_id").agg(F.count(F.lit(1)).alias("size"))
+    both = both_ways_in(pairs).join(sizes.withColumnRenamed("rep_id", "dst_id"), ["workspace_id", "dst_id"])
+    links = both.groupBy("workspace_id", F.col("src_id").alias("rep_id")).agg(F.sum("size").alias("num_links"))
+    found = members.join(sizes, ["workspace_id", "rep_id"]).join(links, ["workspace_id", "rep_id"], "left")
+    return found.select(
+        "workspace_id", "content_item_id", "rep_id", (F.col("size") - 1).alias("num_copies"), F.coalesce("num_links", F.lit(0)).alias("num_links")
+    )
+
+
+def best_of_all(pairs: DataFrame, members: DataFrame, item_sizes: DataFrame) -> DataFrame:
+    """Best candidate of every item, copies included: (src_id, dst_id, score, cluster_size), by score, then cluster size, then id.
+
+    A copy has the score 2.0. Each group of copies is stood for by its two best items, of which one is not the item itself, so
+    the work follows the number of items and of pairs of representatives.
+    """
+    key = ["workspace_id", "rep_id"]
+    sized = members.join(item_sizes, "content_item_id")
+    best = top_per_key(sized, key, [F.desc("cluster_size"), F.desc("content_item_id")], 2)
+    best = best.select(*key, "rank", F.col("content_item_id").alias("dst_id"), "cluster_size")
+    copy = members.join(best, key).where(F.col("content_item_id") != F.col("dst_id")).select(
+        F.col("content_item_id").alias("src_id"), F.struct(F.lit(2.0).alias("score"), "cluster_size", "dst_id").alias("b")
+    )
+    first = best.where("rank = 1").select("workspace_id", F.col("rep_id").alias("other_rep"), F.struct("cluster_size", "dst_id").alias("at"))
+    near = both_ways_in(pairs).select("workspace_id", F.col("src_id").alias("rep_id"), F.col("dst_id").alias("other_rep"), "score").join(first, ["workspace_id", "other_rep"])
+    near = near.groupBy(*key).agg(F.max(F.struct("score", F.col("at.cluster_size").alias("cluster_size"), F.col("at.dst_id").alias("dst_id"))).alias("b"))
+    other = members.join(near, key).select(F.col("content_item_id").alias("src_id"), "b")
+    chosen = copy.unionByName(other).groupBy("src_id").agg(F.max("b").alias("b"))
+    return chosen.select("src_id", F.col("b.dst_id").alias("dst_id"), F.col("b.score").alias("score"), F.col("b.cluster_size").alias("cluster_size"))
+
+
+def both_ways_in(pairs: DataFrame) -> DataFrame:
+    """Each pair seen from both of its items, with its workspace."""
+    back = pairs.select("workspace_id", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), "score")
+    return pairs.select("workspace_id", "src_id", "dst_id", "score").unionByName(back)
+
+
 def _meet_across(frequent: DataFrame, near: DataFrame, components, slice_rows: int, threshold: float) -> DataFrame:
     """Shared words of items that ``near`` does not connect: per word, the items outside its largest
     group meet each other and that group."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.operators.filters import PAYLOAD_BYTES, payload_under
 from trendloom.operators.joins import check_transitions
 from trendloom.operators.ranking import largest_key, with_running_sum
 from trendloom.schema import CLASSIFY_IN_FLIGHT_SECONDS, IN_FLIGHT_SECONDS, RETRY_CAP
@@ -217,6 +218,31 @@ def fail_exceeded(states: DataFrame, cap: int = RETRY_CAP) -> DataFrame:
     return states.withColumn("current_state", F.when(over, "failed").otherwise(F.col("current_state")))
 
 
+def cap_retries(states: DataFrame, now: Column, cap: int = RETRY_CAP) -> tuple[DataFrame, DataFrame]:
+    """States after the retry cap, and the events of it (state_id, from_state, to_state, event_ts).
+
+    A state tried more often than the cap that has not ended is failed, and ends now.
+    """
+    over = (F.col("transition_num") > cap) & ~F.col("current_state").isin(*ENDS)
+    events = states.where(over).select("state_id", F.col("current_state").alias("from_state"), F.lit("failed").alias("to_state"), now.alias("event_ts"))
+    failed = states.withColumns({
+        "current_state": F.when(over, "failed").otherwise(F.col("current_state")),
+        "transition_end": F.when(over, now).otherwise(F.col("transition_end")),
+        "completed_timestamp": F.when(over, now).otherwise(F.col("completed_timestamp")),
+    })
+    return failed.select(*states.columns), events
+
+
+def fail_oversize(items: DataFrame, request: Column, max_bytes: int = PAYLOAD_BYTES) -> DataFrame:
+    """Items (``current_state``, ``failed_reason``) whose model request would not fit are failed instead of sent."""
+    fits = F.coalesce(payload_under(request, max_bytes), F.lit(True))
+    size = F.octet_length(request)
+    return items.withColumns({
+        "current_state": F.when(fits, F.col("current_state")).otherwise("failed"),
+        "failed_reason": F.when(fits, F.col("failed_reason")).otherwise(F.concat(F.lit("request of "), size.cast("string"), F.lit(" bytes"))),
+    })
+
+
 def processing_stages(transitions: DataFrame) -> list[str]:
     """Stages of a model in order of their longest path from ``ready``.
 

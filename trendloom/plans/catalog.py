@@ -65,6 +65,16 @@ def keyword_id_lists(spark, folder):
     return keywords.keyword_id_lists(kw, items, keywords.keyword_rollup(kw, items, min_count=1))
 
 
+@query
+def keyword_id_parts(spark, folder):
+    """Id lists in parts of seven: keyword, part, first and last id and their number."""
+    items = _items(spark, folder)
+    kw = adapters.item_keywords(items)
+    parts = keywords.keyword_id_lists(kw, items, keywords.keyword_rollup(kw, items, min_count=1), part_size=7)
+    ids = F.transform(F.split("content_keyword_ids", ","), lambda x: x.cast("bigint"))
+    return parts.select("workspace_id", "keyword_text", "part", F.array_min(ids).alias("first_id"), F.array_max(ids).alias("last_id"), F.size(ids).alias("num_ids"))
+
+
 @query
 def keyword_rows(spark, folder):
     return keywords.keyword_rows(adapters.item_keywords(_items(spark, folder)))
@@ -337,6 +347,37 @@ def payload_guard(spark, folder):
     return docs.select(F.col("doc_id").alias("content_item_id"), filters.payload_under(request, 20000).alias("fits"))
 
 
+@query
+def oversize_items(spark, folder):
+    """Items whose request would be too large become failed, with the reason."""
+    docs = adapters.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("content_item_id"), "text", F.lit("ready").alias("current_state"), F.lit(None).cast("string").alias("failed_reason"))
+    request = F.to_json(F.struct(F.col("content_item_id").cast("string").alias("id"), F.col("text")))
+    return state.fail_oversize(docs, request, 20000).drop("text")
+
+
+@query
+def items_of_workspace(spark, folder):
+    """Tenancy: the items of one workspace alone."""
+    return _items(spark, folder).where(filters.in_workspace("ws1")).select("content_item_id", "workspace_id")
+
+
+@query
+def random_items(spark, folder):
+    """Twenty items in random order, as how many there are and whether all are items."""
+    items = _items(spark, folder)
+    picked = cut(ranking.random_pick(items.select("content_item_id"), 20))
+    known = picked.join(items, "content_item_id", "left_semi")
+    return picked.agg(F.count(F.lit(1)).alias("picked"), F.count_distinct("content_item_id").alias("different")).crossJoin(known.agg(F.count(F.lit(1)).alias("known")))
+
+
+@query
+def shouted_text(spark, folder):
+    """A user's text function over all items."""
+    shout = T.text_transform(lambda text: text.replace("e", "3")[:40])
+    return _items(spark, folder).select("content_item_id", shout(F.col("content")).alias("shouted"))
+
+
 @query
 def content_page(spark, folder):
     """One keyset page of 100 items after the id 57."""
@@ -704,6 +745,16 @@ def retry_cap(spark, folder):
     return aggregates.count_by(capped, "current_state")
 
 
+@query
+def retry_cap_events(spark, folder):
+    """States tried too often, as failed ones with their end, and the events that say so."""
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    capped, events = state.cap_retries(adapters.item_states(spark, folder), now)
+    told = events.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("num_events"))
+    ended = capped.where(F.col("completed_timestamp") == now).agg(F.count(F.lit(1)).alias("num_ended"))
+    return told.crossJoin(ended)
+
+
 @query
 def orphan_states(spark, folder):
     """States left when items labelled toxic are gone."""
@@ -774,6 +825,37 @@ def similar_texts(spark, folder):
     return _rounded(similarity.similar_texts(_documents(spark, folder), TEXT_THRESHOLD))
 
 
+@query
+def similar_text_links(spark, folder):
+    """Every document with its representative, its copies and the documents similar to it."""
+    docs = _documents(spark, folder)
+    found = cut(similarity.similar_texts(docs, TEXT_THRESHOLD))
+    return similarity.links_of_all(found, similarity.copies(docs, similarity.text_key())).drop("workspace_id")
+
+
+def _with_copies(spark, folder) -> DataFrame:
+    """Vectors, and every seventh of them three times more under other ids."""
+    vectors = adapters.item_vectors(spark, folder)
+    again = vectors.where("content_item_id % 7 = 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return vectors.unionByName(again.withColumn("content_item_id", F.col("content_item_id") + F.col("n") * 1_000_000).drop("n"))
+
+
+@query
+def similar_vector_links(spark, folder):
+    vectors = _with_copies(spark, folder)
+    found = cut(similarity.similar_vectors(vectors, VECTOR_THRESHOLD))
+    return similarity.links_of_all(found, similarity.copies(vectors, F.col("vector")))
+
+
+@query
+def best_candidate_of_all(spark, folder):
+    """Best similar vector of each item where many have copies; cluster sizes come from the last digit of the id."""
+    vectors = _with_copies(spark, folder)
+    sizes = vectors.select("content_item_id", (F.col("content_item_id") % 10).alias("cluster_size"))
+    found = cut(similarity.similar_vectors(vectors, VECTOR_THRESHOLD))
+    return _rounded(similarity.best_of_all(found, similarity.copies(vectors, F.col("vector")), sizes))
+
+
 def _documents(spark, folder) -> DataFrame:
     return adapters.table(spark, folder, "documents").select(
         F.lit("all").alias("workspace_id"), F.col("doc_id").alias("content_item_id"), F.col("text").alias("content")

@@ -147,6 +147,16 @@ SELECT k.workspace_id, keyword_model_name, keyword_text, 0 AS part,
   string_agg(CAST(content_item_id AS VARCHAR), ',' ORDER BY content_keyword_id) AS content_item_ids,
   string_agg(CAST(content_cluster_id AS VARCHAR), ',' ORDER BY content_keyword_id) AS content_cluster_ids
 FROM keyword k JOIN item i USING (content_item_id) GROUP BY ALL""", *KEYWORD)
+oracle("keyword_id_parts", """
+SELECT workspace_id, keyword_text, part, min(content_keyword_id) AS first_id, max(content_keyword_id) AS last_id, CAST(count(*) AS INTEGER) AS num_ids
+FROM (SELECT *, CAST((row_number() OVER (PARTITION BY workspace_id, keyword_model_name, keyword_text ORDER BY content_keyword_id) - 1) // 7 AS INTEGER) AS part
+  FROM keyword JOIN (SELECT content_item_id FROM item) USING (content_item_id)) GROUP BY ALL""", *KEYWORD)
+oracle("items_of_workspace", "SELECT content_item_id, workspace_id FROM item WHERE workspace_id = 'ws1'", "item")
+oracle("random_items", "SELECT least(count(*), 20) AS picked, least(count(*), 20) AS different, least(count(*), 20) AS known FROM documents")
+oracle("shouted_text", "SELECT content_item_id, substr(replace(content, 'e', '3'), 1, 40) AS shouted FROM item", "item")
+oracle("oversize_items", """
+SELECT content_item_id, CASE WHEN fits THEN 'ready' ELSE 'failed' END AS current_state, CASE WHEN NOT fits THEN concat('request of ', size, ' bytes') END AS failed_reason
+FROM (SELECT doc_id AS content_item_id, octet_length(encode(CAST(to_json({'id': CAST(doc_id AS VARCHAR), 'text': text}) AS VARCHAR))) AS size, size < 20000 AS fits FROM documents)""")
 oracle("keyword_rows", "SELECT * FROM keyword", *KEYWORD)
 oracle("keyword_rows_filtered", """SELECT * FROM keyword WHERE keyword_model_name = 'hashtags' AND keyword_text IN ('#de', '#src3')
 AND content_published_date BETWEEN '2024-01-05' AND '2024-01-20'""", *KEYWORD)
@@ -421,6 +431,9 @@ SELECT state_id, current_state FROM state WHERE transition_start > transition_en
   < CASE current_state WHEN 'clustered' THEN 7200 ELSE 3600 END""", "state")
 oracle("retry_cap", """SELECT CASE WHEN transition_num > 100 THEN 'failed' ELSE current_state END AS current_state, count(*) AS num_items
 FROM state GROUP BY 1""", "state")
+oracle("retry_cap_events", """SELECT current_state AS from_state, 'failed' AS to_state, count(*) AS num_events, any_value(n) AS num_ended
+FROM state, (SELECT count(*) AS n FROM state WHERE transition_num > 100 AND current_state NOT IN ('failed', 'completed'))
+WHERE transition_num > 100 AND current_state NOT IN ('failed', 'completed') GROUP BY ALL""", "state")
 oracle("orphan_states", """SELECT state_id, current_state FROM state WHERE state_id NOT IN (SELECT content_item_id FROM toxic_doc)""",
        "state", "toxic_doc")
 oracle("run_attempts", """
@@ -449,6 +462,26 @@ SELECT q.workspace_id, q.content_item_id AS src_id, s.content_item_id AS dst_id,
 FROM vector q JOIN vector s ON q.workspace_id = s.workspace_id AND q.content_item_id % 20 = 0
 WHERE list_cosine_similarity(q.v, s.v) >= {VECTOR_THRESHOLD}""", "vector")
 oracle("similar_texts", "SELECT workspace_id, src_id, dst_id, round(1 + cos, 4) AS score FROM text_pair", DISTINCT_DOCS, TEXT_PAIRS)
+oracle("similar_text_links", """
+SELECT doc_id AS content_item_id, rep AS rep_id, size - 1 AS num_copies, CAST(coalesce(links, 0) AS BIGINT) AS num_links
+FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS size FROM documents)
+LEFT JOIN (SELECT a, sum(n) AS links FROM (SELECT src_id AS a, dst_id AS b FROM text_pair UNION ALL SELECT dst_id, src_id FROM text_pair)
+  JOIN (SELECT min(doc_id) AS b, count(*) AS n FROM documents GROUP BY text) USING (b) GROUP BY a) ON a = rep""", DISTINCT_DOCS, TEXT_PAIRS)
+COPIED = """every AS (
+  SELECT *, content_item_id AS origin FROM vector
+  UNION ALL SELECT v.* REPLACE (content_item_id + n * 1000000 AS content_item_id), content_item_id FROM vector v, range(1, 4) AS t(n) WHERE content_item_id % 7 = 0)"""
+oracle("similar_vector_links", f"""
+SELECT workspace_id, content_item_id, origin AS rep_id, CASE WHEN origin % 7 = 0 THEN 3 ELSE 0 END AS num_copies,
+  (SELECT count(*) FROM every o WHERE o.workspace_id = e.workspace_id AND o.origin <> e.origin
+    AND list_cosine_similarity(o.v, e.v) >= {VECTOR_THRESHOLD}) AS num_links
+FROM every e""", "vector", COPIED)
+oracle("best_candidate_of_all", f"""
+SELECT src_id, dst_id, round(score, 4) AS score, dst_id % 10 AS cluster_size FROM (
+  SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY score DESC, dst_id % 10 DESC, dst_id DESC) AS r FROM (
+    SELECT a.content_item_id AS src_id, b.content_item_id AS dst_id,
+      CASE WHEN a.origin = b.origin THEN 2.0 ELSE 1 + list_cosine_similarity(a.v, b.v) END AS score
+    FROM every a JOIN every b ON a.workspace_id = b.workspace_id AND a.content_item_id <> b.content_item_id
+    WHERE a.origin = b.origin OR list_cosine_similarity(a.v, b.v) >= {VECTOR_THRESHOLD})) WHERE r = 1""", "vector", COPIED)
 oracle("same_text_clusters", "SELECT doc_id AS content_item_id, min(doc_id) OVER (PARTITION BY text) AS content_cluster_id FROM documents")
 
 
