@@ -12,7 +12,7 @@ from trendloom import schema
 from trendloom.functions import text as T
 from trendloom.functions import values as V
 from trendloom.operators import (
-    aggregates, clusters, extract, filters, joins, keywords, maintenance, pivot_index, ranking, setops, similarity, state,
+    aggregates, clusters, extract, filters, joins, keywords, maintenance, pivot_index, ranking, setops, similarity, state, text_index,
 )
 from trendloom.plans import adapters, reports, workflow
 from trendloom.session import cut, work_folder
@@ -833,6 +833,16 @@ def similar_text_links(spark, folder):
     return similarity.links_of_all(found, similarity.copies(docs, similarity.text_key())).drop("workspace_id")
 
 
+@query
+def similar_texts_stored(spark, folder):
+    """Every tenth document against a text index of the others."""
+    docs = _documents(spark, folder).withColumn("content_cluster_id", F.col("content_item_id"))
+    root = work_folder(spark)
+    text_index.add_texts(docs.where("content_item_id % 10 <> 3"), root, TEXT_THRESHOLD, "0")
+    texts, _ = similarity.distinct_texts(docs.where("content_item_id % 10 = 3"), "content")
+    return _rounded(text_index.find_texts(text_index.ordered_words(texts), root, TEXT_THRESHOLD)).drop("workspace_id")
+
+
 def _with_copies(spark, folder) -> DataFrame:
     """Vectors, and every seventh of them three times more under other ids."""
     vectors = adapters.item_vectors(spark, folder)
@@ -1195,3 +1205,21 @@ def hashed_vectors(spark, folder):
     """Default dense vectors of all texts: their norm is 1, or 0 for a text without words."""
     vectors = workflow.hashed_vectors(_items(spark, folder))
     return vectors.select("content_item_id", F.round(V.dot(F.col("vector"), F.col("vector")), 4).alias("norm2"))
+
+
+@query
+def workflow_second_run(spark, folder):
+    """A first run over nine tenths of the documents, and a second one over the rest: which new items joined a stored cluster, and the new clusters."""
+    root = work_folder(spark)
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    items = _documents(spark, folder).withColumns({
+        "content_cluster_id": F.lit(None).cast("bigint"), "current_state": F.lit("ready"),
+        "raw_created_at": F.lit("2024-01-01").cast("timestamp_ntz"), "content_published_date": F.lit(None).cast("timestamp_ntz")})
+    first = workflow.with_index(workflow.WORKFLOWS["tweets"], root, "0")
+    old = items.where("content_item_id % 10 <> 3").withColumn("current_state", F.lit("text_transformed"))
+    workflow.run_workflow({"items": old}, workflow.Workflow("first", first.stages[1:], first.threshold), now)
+    second = workflow.with_index(workflow.WORKFLOWS["tweets"], root, "1")
+    new = items.where("content_item_id % 10 = 3").withColumn("current_state", F.lit("text_transformed"))
+    done = workflow.run_workflow({"items": new}, workflow.Workflow("second", second.stages[1:], second.threshold), now)["items"]
+    is_new = F.col("content_cluster_id") % 10 == 3
+    return done.select("content_item_id", (~is_new).alias("joined"), F.when(is_new, F.col("content_cluster_id")).alias("new_cluster_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trendloom.functions import text as T
+from trendloom.schema import THRESHOLDS
 from trendloom.plans.catalog import BROKEN, TEXT_THRESHOLD, VECTOR_THRESHOLD
 
 ORACLES: dict[str, str] = {}
@@ -467,6 +468,19 @@ SELECT doc_id AS content_item_id, rep AS rep_id, size - 1 AS num_copies, CAST(co
 FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS size FROM documents)
 LEFT JOIN (SELECT a, sum(n) AS links FROM (SELECT src_id AS a, dst_id AS b FROM text_pair UNION ALL SELECT dst_id, src_id FROM text_pair)
   JOIN (SELECT min(doc_id) AS b, count(*) AS n FROM documents GROUP BY text) USING (b) GROUP BY a) ON a = rep""", DISTINCT_DOCS, TEXT_PAIRS)
+def _two_batches(threshold: float) -> list[str]:
+    """Distinct texts of new and of stored documents, with their word sets, and similar pairs by who they join."""
+    return [
+        "batch_text AS (SELECT doc_id % 10 = 3 AS is_new, min(doc_id) AS id, text FROM documents WHERE text IS NOT NULL GROUP BY ALL)",
+        f"batch_word AS (SELECT DISTINCT is_new, id, unnest(regexp_extract_all(lower(text), '{T.TERM}')) AS term FROM batch_text)",
+        "batch_size AS (SELECT id, count(*) AS n FROM batch_word GROUP BY ALL)",
+        f"""met AS (SELECT a.id AS src_id, b.id AS dst_id, b.is_new, count(*) / (sqrt(any_value(x.n)) * sqrt(any_value(y.n))) AS cos
+  FROM batch_word a JOIN batch_word b ON a.term = b.term AND a.is_new AND a.id <> b.id JOIN batch_size x ON x.id = a.id JOIN batch_size y ON y.id = b.id
+  GROUP BY a.id, b.id, b.is_new HAVING cos >= {threshold})""",
+    ]
+
+
+oracle("similar_texts_stored", """SELECT src_id, dst_id, round(1 + cos, 4) AS score, dst_id AS content_cluster_id FROM met WHERE NOT is_new""", *_two_batches(TEXT_THRESHOLD))
 COPIED = """every AS (
   SELECT *, content_item_id AS origin FROM vector
   UNION ALL SELECT v.* REPLACE (content_item_id + n * 1000000 AS content_item_id), content_item_id FROM vector v, range(1, 4) AS t(n) WHERE content_item_id % 7 = 0)"""
@@ -635,3 +649,9 @@ FROM vector LEFT JOIN placed ON placed.id = content_item_id LEFT JOIN component
        "placed(id, origin) AS (SELECT id, id FROM layer WHERE k = 0 UNION ALL SELECT p.id, origin FROM parent p JOIN placed ON placed.id = p.parent)",
        "rest_link AS (SELECT src_id AS a, dst_id AS b FROM both_ways WHERE src_id NOT IN (SELECT id FROM layer) AND dst_id NOT IN (SELECT id FROM layer))",
        _components("rest_link"), recursive=True)
+oracle("workflow_second_run", """
+SELECT doc_id AS content_item_id, coalesce(joined, false) AS joined, CASE WHEN NOT coalesce(joined, false) THEN coalesce(component.root, rep) END AS new_cluster_id
+FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE doc_id % 10 = 3)
+LEFT JOIN component ON component.id = rep LEFT JOIN (SELECT c.root, true AS joined FROM component c JOIN met ON met.src_id = c.id AND NOT is_new GROUP BY ALL) j ON j.root = component.root""",
+       *_two_batches(THRESHOLDS["tweets"]), "new_link AS (SELECT id AS a, id AS b FROM batch_text WHERE is_new UNION SELECT src_id, dst_id FROM met WHERE is_new)",
+       _components("new_link"), recursive=True)

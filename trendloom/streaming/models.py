@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trendloom.operators import clusters, pivot_index, similarity
 from trendloom.operators.keywords import KEYWORD_COLUMNS, attach_keywords
-from trendloom.session import cut, path_exists, settle_batch
+from trendloom.operators.sizes import add_sizes, cluster_sizes
+from trendloom.session import cut, settle_batch
 from trendloom.sources import landed, snapshots
 
-SIZE_BUCKETS = 64
-SIZES = "content_cluster_id BIGINT, num_items BIGINT, bucket INT, batch STRING"
 VECTORS = "content_item_id BIGINT, workspace_id STRING, vector ARRAY<FLOAT>, content_cluster_id BIGINT"
 
 
@@ -64,30 +63,10 @@ def add_vectors(batch: DataFrame, root: str, threshold: float, batch_id: str) ->
     return fresh.join(placed.select("content_item_id", "content_cluster_id"), "content_item_id")
 
 
-def _bucket(cluster: str) -> Column:
-    return F.pmod(F.xxhash64(cluster), F.lit(SIZE_BUCKETS)).cast("int")
-
-
-def cluster_sizes(spark: SparkSession, root: str, members: DataFrame, but: str | None = None) -> DataFrame:
-    """(content_cluster_id, num_items) of the clusters of ``members``, and of any named like a new item; other buckets are not read."""
-    wanted = members.select(F.coalesce("content_cluster_id", "content_item_id").alias("content_cluster_id")).distinct()
-    if not path_exists(spark, f"{root}/sizes"):
-        return spark.createDataFrame([], "content_cluster_id BIGINT, num_items BIGINT")
-    wanted = cut(wanted.withColumn("bucket", _bucket("content_cluster_id")))
-    buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]
-    stored = spark.read.schema(SIZES).parquet(f"{root}/sizes").where(F.col("bucket").isin(buckets))
-    if but is not None:
-        stored = stored.where(F.col("batch") != but)
-    found = stored.join(wanted.select("content_cluster_id"), "content_cluster_id", "left_semi")
-    return found.groupBy("content_cluster_id").agg(F.sum("num_items").alias("num_items"))
-
-
 def store_vectors(placed: DataFrame, root: str, batch_id: str) -> None:
     """Adds a clustered batch to the index and to the sizes; repeating a batch changes nothing."""
     pivot_index.extend_index(placed, root, batch_id, ["content_cluster_id"])
-    sizes = placed.groupBy("content_cluster_id").agg(F.count(F.lit(1)).alias("num_items"))
-    sizes = sizes.withColumns({"bucket": _bucket("content_cluster_id"), "batch": F.lit(batch_id)})
-    sizes.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{root}/sizes")
+    add_sizes(placed, root, batch_id)
 
 
 def stored_vectors(spark: SparkSession, root: str) -> DataFrame:
