@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from trendloom.operators import extract, maintenance
+from trendloom.operators import extract, filters, maintenance
 from trendloom.schema import RAW_ITEM
 
 
@@ -108,3 +108,10 @@ def test_reload_sequence(spark):
     ]:
         items = maintenance.upsert_items(items, one(step, state, text), force)
         assert [r["content"] for r in items.collect()] == [want]
+
+
+def test_a_missing_value_stops_the_job(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "n INT, c STRING")
+    filters.check_non_null(rows, "n")
+    with pytest.raises(ValueError, match="1 rows without c"):
+        filters.check_non_null(rows, "c")

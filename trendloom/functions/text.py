@@ -22,7 +22,7 @@ HASHTAG = rf"(?:^|[{SPACE}])#([{WORD}]+)"
 HASHTAG_FROM_SIGN = rf"#(?<=(?:^|[{SPACE}])#)([{WORD}]+)"
 ALL_DIGITS = rf"^[{DIGIT}]+$"
 MENTION = r"@[0-9A-Za-z_\x{130}\x{131}\x{17f}\x{212a}]+"
-URL = rf"(?i)https?:(?://|\\\\)+(?:[{WORD}#@%$()~?\x2b-\x3d\\&](?:#!)?)*"
+URL = rf"(?i)https?:(?://|\\\\)+(?:[{WORD}#@%$()~?+-=\\&](?:#!)?)*"
 RETWEET = r"(?i)^RT[: \-]?"
 EMOJI_RUN = (
     r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"

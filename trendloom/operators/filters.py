@@ -104,7 +104,8 @@ def count_nulls(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.count_if(F.col(col).isNull()).alias("nulls"), F.count(F.lit(1)).alias("total"))
 
 
-def require_non_null(df: DataFrame, col: str) -> DataFrame:
-    """The frame itself, or an error at run time on the first row without a value."""
-    checked = F.when(F.col(col).isNull(), F.raise_error(F.lit(f"{col} has null values"))).otherwise(F.col(col))
-    return df.withColumn(col, checked)
+def check_non_null(df: DataFrame, col: str) -> None:
+    """Stop the job if a row lacks the value. It counts at once, so no later pruning of the column can drop the check."""
+    nulls = count_nulls(df, col).first()["nulls"]
+    if nulls:
+        raise ValueError(f"{nulls} rows without {col}")

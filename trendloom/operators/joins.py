@@ -93,8 +93,3 @@ def authorised_workspaces(config: DataFrame, session_slugs: DataFrame, env: str
     always = sessions.withColumn("slug", F.explode(F.array(*[F.lit(s) for s in open_slugs])))
     wanted = session_slugs.select("session_id", "slug").unionByName(always)
     return wanted.join(mapping, "slug").select("session_id", "workspace_id").distinct()
-
-
-def restrict_to(df: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Rows of the allowed workspaces."""
-    return df.join(allowed.select("workspace_id"), "workspace_id", "left_semi")

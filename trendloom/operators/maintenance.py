@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.operators.aggregates import recompute_clusters
-from trendloom.operators.joins import ITEM_KEY, match_existing
+from trendloom.operators.joins import match_existing
 from trendloom.operators.ranking import dedup_winner
-from trendloom.operators.setops import union_sets
 
 Tables = dict[str, DataFrame]
 
@@ -106,7 +105,3 @@ def erase_workspace(tables: Tables, workspace_id: str, source_id: str, keep_keyw
     if not keep_keywords:
         out["keywords"] = tables["keywords"].join(erased, "content_item_id", "left_anti").select(*tables["keywords"].columns)
     return out
-
-
-def all_ids(*sets: DataFrame) -> DataFrame:
-    return union_sets(*[s.select("content_item_id") for s in sets])

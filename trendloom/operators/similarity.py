@@ -487,10 +487,3 @@ def find_similar(
     if k is None:
         return found
     return top_per_key(found, ["workspace_id", "src_id"], [F.desc("score"), F.asc("dst_id")], k)
-
-
-def with_clusters(found: DataFrame, items: DataFrame) -> DataFrame:
-    """Text and cluster of the items that a lookup found."""
-    stored = items.select(F.col("content_item_id").alias("dst_id"), "content_cluster_id", "content")
-    return found.join(stored, "dst_id")
-

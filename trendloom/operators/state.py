@@ -19,14 +19,6 @@ ENDS = ("failed", "completed")
 RESULT = "struct<state: int, end_ts: timestamp_ntz, completed_ts: timestamp_ntz>"
 
 
-def valid_transitions(events: DataFrame, transitions: DataFrame) -> DataFrame:
-    return check_transitions(events, transitions).where("is_valid")
-
-
-def rejected_transitions(events: DataFrame, transitions: DataFrame) -> DataFrame:
-    return check_transitions(events, transitions).where(~F.col("is_valid"))
-
-
 def apply_transitions(states: DataFrame, updates: DataFrame, transitions: DataFrame) -> DataFrame:
     """One round of updates (state_id, to_state, event_ts) on a state table; refused ones change nothing."""
     asked = states.join(updates.select("state_id", "to_state", "event_ts"), "state_id", "left")

@@ -762,6 +762,12 @@ def orphan_states(spark, folder):
     return joins.drop_orphan_states(adapters.item_states(spark, folder), items).select("state_id", "current_state")
 
 
+@query
+def states_of_source(spark, folder):
+    """States of the items of one workspace and source."""
+    return joins.states_of(adapters.item_states(spark, folder), _items(spark, folder), "ws1", "src1").select("state_id", "current_state")
+
+
 @query
 def run_attempts(spark, folder):
     return ranking.recent_runs(

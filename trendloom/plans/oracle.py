@@ -437,6 +437,8 @@ FROM state, (SELECT count(*) AS n FROM state WHERE transition_num > 100 AND curr
 WHERE transition_num > 100 AND current_state NOT IN ('failed', 'completed') GROUP BY ALL""", "state")
 oracle("orphan_states", """SELECT state_id, current_state FROM state WHERE state_id NOT IN (SELECT content_item_id FROM toxic_doc)""",
        "state", "toxic_doc")
+oracle("states_of_source", """SELECT state_id, current_state FROM state WHERE state_id IN
+(SELECT content_item_state_id FROM item WHERE workspace_id = 'ws1' AND source_id = 'src1')""", "state", "item")
 oracle("run_attempts", """
 SELECT run_id, attempt_num, concat(run_id, ':', attempt_num) AS attempt_id, min(ts) FILTER (s = 'running') AS attempt_start,
   min(ts) FILTER (s IN ('completed', 'failed')) AS attempt_end, last(s ORDER BY ts, event_id) AS current_state,

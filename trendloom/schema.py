@@ -10,40 +10,6 @@ RAW_ITEM = (
     "created_at STRING, content_id STRING, content STRING"
 )
 
-CONTENT_ITEM = (
-    "run_id STRING, workspace_id STRING, source_id STRING, query_id STRING, date_id INT, "
-    "raw_created_at TIMESTAMP_NTZ, raw_content_id STRING, raw_content STRING, updated_at TIMESTAMP_NTZ, "
-    "content_item_id BIGINT, content_item_state_id BIGINT, content_published_date TIMESTAMP_NTZ, "
-    "content_published_url STRING, content STRING, content_cluster_id BIGINT, "
-    "content_language_code STRING, content_locale_code STRING, source_field STRING"
-)
-
-CONTENT_CLUSTER = (
-    "content_cluster_id BIGINT, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ, exemplar_item_id BIGINT, "
-    "num_items BIGINT, num_items_added BIGINT, num_items_unique BIGINT, workspace_id STRING, "
-    "stress_score DOUBLE, priority_score DOUBLE"
-)
-
-CONTENT_KEYWORD = (
-    "content_keyword_id BIGINT, workspace_id STRING, keyword_model_name STRING, content_item_id BIGINT, "
-    "keyword_text STRING, keyword_score DOUBLE, content_published_date TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"
-)
-
-ITEM_STATE = (
-    "state_id BIGINT, state_model_name STRING, current_state STRING, transition_num INT, "
-    "transition_start TIMESTAMP_NTZ, transition_end TIMESTAMP_NTZ, completed_timestamp TIMESTAMP_NTZ"
-)
-
-PROCESS_STATE = (
-    "job_type STRING, current_state STRING, run_id STRING, attempt_id STRING, attempt_num INT, "
-    "attempt_start TIMESTAMP_NTZ, attempt_end TIMESTAMP_NTZ, attempt_transition_timestamp TIMESTAMP_NTZ, "
-    "workspace_id STRING, source_name STRING, query_id STRING, date_id STRING"
-)
-
-ITEM_VECTOR = "content_item_id BIGINT, workspace_id STRING, model_key STRING, vector ARRAY<FLOAT>"
-
-STATE_EVENT = "event_id BIGINT, content_item_id BIGINT, event_ts TIMESTAMP_NTZ, kind STRING, to_state STRING"
-
 # States and allowed transitions of the item and run state graphs.
 BASE_GRAPH = {
     "undefined": ["ready", "failed"],
@@ -90,7 +56,6 @@ RUN_GRAPH = {
 }
 # Similarity thresholds per workflow, days an item lives, and limits.
 THRESHOLDS = {"default": 0.95, "social": 0.95, "tweets": 0.875, "tipline": 0.875, "classify": 0.95}
-LIVE_DAYS = {"base": 1}
 RETRY_CAP = 100
 IN_FLIGHT_SECONDS = 10
 CLASSIFY_IN_FLIGHT_SECONDS = {"hashtaged": 120}

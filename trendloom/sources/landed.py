@@ -30,11 +30,6 @@ class TooManyBadRows(RuntimeError):
     """A CSV export with too many rows of the wrong width."""
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed page files, one JSON page per line."""
-    return spark.read.text(path).select(F.col("value").alias("page"))
-
-
 def _opened(pages: DataFrame) -> DataFrame:
     p = F.try_parse_json("page")
     opened = pages.withColumn("p", p)

@@ -84,8 +84,3 @@ def _read_all(spark: SparkSession, folders: list[str], schema: str | None) -> Da
 def compact(spark: SparkSession, root: str, partition_by: list[str] | None = None, key: str = "content_item_id") -> int:
     """One whole snapshot in place of many changes."""
     return commit_snapshot(read_snapshot(spark, root, key=key), root, partition_by)
-
-
-def record_run(spark: SparkSession, path: str, rows: list[tuple], schema: str) -> None:
-    """Append run states beside the data."""
-    spark.createDataFrame(rows, schema).write.mode("append").json(path)
