@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 # of pieces only the older half.
 STATES = 100_000  # determinised states with their moves, about 600 bytes each: 60 MB
 PAIRS = 400_000  # verdicts on neighbours, about 110 bytes each: 44 MB
-PIECE_BYTES, PIECES_HELD = 200, 64 << 20  # encoded pieces and words: their text, ids and so many bytes each
+PIECE_BYTES, PIECES_HELD = 200, 160 << 20  # encoded pieces and words: their text, ids and so many bytes each
 LONG = 1 << 20  # characters from which a text is cut into pieces bit by bit
 
 
