@@ -29,12 +29,13 @@ from pyspark.sql.types import StructType
 
 from trendloom.functions.batches import plain
 from trendloom.operators.ranking import top_per_key
-from trendloom.operators.similarity import BLOCK_ROWS, ROUNDING, _check, _unit
+from trendloom.operators.similarity import BLOCK_ROWS, ROUNDING, _check, _unit, best_of_block
 from trendloom.session import cut, path_exists
 
 MOST = 181  # pivots of a level: 181 x 181 cells at most, reached at about 10^9 vectors; the pivots are all that the driver holds
 REBUILD = 4
 MARGIN = 1e-6
+VISIT_ROWS = 2000
 READY = "generation INT, built_for BIGINT"
 CELLS = "workspace_id STRING, cell INT, n BIGINT, low DOUBLE, high DOUBLE, upper_low DOUBLE, upper_high DOUBLE, batch STRING"
 FIELDS = "workspace_id STRING, content_item_id BIGINT, vector ARRAY<FLOAT>"
@@ -242,6 +243,13 @@ def read_index(spark: SparkSession, root: str, cells: list[int] | None = None, b
     return rows if but is None else rows.where(F.col("batch") != but)
 
 
+def _by_cell(frame: pd.DataFrame, row: np.ndarray, cell: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows with the cells they visit, a bounded number at a time: a query may visit every cell, each with a copy of its vector."""
+    for at in range(0, len(row), VISIT_ROWS):
+        some = slice(at, at + VISIT_ROWS)
+        yield plain(frame.iloc[row[some]].assign(cell=cell[some].astype("int32")))
+
+
 def find_stored(
     queries: DataFrame, root: str, threshold: float, k: int | None = None, columns: list[str] | None = None,
     block_rows: int = BLOCK_ROWS, but: str | None = None,
@@ -265,8 +273,7 @@ def find_stored(
         for frame in batches:
             if len(frame):
                 row, cell = tree.visits(_unit(frame["vector"]), reach)
-                if len(row):
-                    yield plain(frame.iloc[row].assign(cell=cell.astype("int32")))
+                yield from _by_cell(frame, row, cell)
 
     asked = queries.where(F.col("vector").isNotNull()).select("workspace_id", F.col("query_id").alias("content_item_id"), "vector")
     asked = cut(asked.mapInPandas(visit, f"{FIELDS}, cell INT"))
@@ -292,6 +299,9 @@ def find_stored(
         i, j = np.nonzero(cos >= threshold)
         if not len(i):
             return pd.DataFrame()
+        if k is not None:
+            best = best_of_block(i, b["content_item_id"].to_numpy()[j], 1 + cos[i, j], k)
+            i, j = i[best], j[best]
         found = {"workspace_id": key[0], "src_id": a["content_item_id"].to_numpy()[i], "dst_id": b["content_item_id"].to_numpy()[j], "score": 1 + cos[i, j]}
         return plain(pd.DataFrame(found | {c: b[c].to_numpy()[j] for c in columns}))
 
