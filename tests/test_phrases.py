@@ -1,5 +1,9 @@
 """Key phrases and scripts written without spaces."""
 
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as T
@@ -58,3 +62,66 @@ def test_phrases_rank_before_their_words(spark):
     texts = [(1, "solar power plant here, solar power plant there, and more"), *[(i, f"and word{i} more here there") for i in range(2, 12)]]
     top = keywords.tfidf_keyphrases(items_of(spark, texts), 2).where("content_item_id = 1").orderBy("rank").collect()
     assert [r["keyword_text"] for r in top][0] == "solar power plant"
+
+
+def plain_candidates(stretches, runs, longest):
+    """Candidates of one text, phrase by phrase."""
+    counts = [Counter() for _ in range(longest + 1)]
+    for words in map(str.split, stretches):
+        for n in range(1, longest + 1):
+            counts[n].update(zip(*(words[i:] for i in range(n)), strict=False))
+    for run in runs:
+        counts[1].update([run] if len(run) == 1 else [])
+        for n in range(1, longest + 1):
+            counts[n].update(run[i : i + n + 1] for i in range(len(run) - n))
+    found, explained = {}, Counter()
+    for n in range(longest, 0, -1):
+        for phrase, count in counts[n].items():
+            if n > 1 and count < 2:
+                continue
+            spaceless = isinstance(phrase, str)
+            if 4 * explained[n, phrase] < 3 * count:
+                found[phrase if spaceless else " ".join(phrase)] = count
+            for m in range(1, n):
+                for i in range(n - m + 1):
+                    inner = m, phrase[i : i + m + spaceless]
+                    explained[inner] = max(explained[inner], count)
+    return found
+
+
+def random_texts(n, signs):
+    draw = random.Random(5)
+    return [(i, "".join(draw.choice(signs) for _ in range(draw.choice([0, 3, 40, 400])))) for i in range(n)]
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3, 5])
+def test_phrases_counted_by_number_equal_plain_counts(spark, longest, monkeypatch):
+    monkeypatch.setattr(keywords, "BATCH_CHARS", 500)  # a text longer than this is a batch of its own
+    texts = random_texts(120, ["a ", "b ", "é\t", "c\u3000", "Long Word ", ". ", "東", "京", "東京 ", "ไ", "1"]) + [(500, None), (501, " "), (502, "狗")]
+    items = items_of(spark, texts)
+    parts = {r["content_item_id"]: (r["s"] or [], r["r"] or []) for r in items.select(
+        "content_item_id", T.segments(F.col("content")).alias("s"), T.spaceless_runs(F.col("content")).alias("r")).collect()}
+    got = {i: {} for i, _ in texts}
+    for r in keywords.phrase_counts(items, longest=longest).collect():
+        assert r["term"] not in got[r["content_item_id"]]
+        got[r["content_item_id"]][r["term"]] = r["tf"]
+    assert got == {i: plain_candidates(*parts[i], longest) for i, _ in texts}
+
+
+@pytest.mark.parametrize("known", [0, 4, 1 << 17])
+def test_only_phrases_that_can_be_among_the_heaviest_are_joined(spark, known, monkeypatch):
+    monkeypatch.setattr(keywords, "KNOWN_TERMS", known)
+    draw = random.Random(7)
+    texts = [(i, " ".join(f"w{int(draw.paretovariate(0.4)) % 5000}" for _ in range(draw.choice([3, 30, 300])))) for i in range(300)] + [(900, "")]
+    items = items_of(spark, texts).withColumn("workspace_id", F.when(F.col("content_item_id") % 9 > 0, F.concat(F.lit("w"), F.col("content_item_id") % 2)))
+    columns = ["workspace_id", "content_item_id", "term", "tf", "df", "weight"]
+    every = {tuple(r) for r in keywords.term_weights(items).select(*columns).collect()}
+    few = {tuple(r) for r in keywords.term_weights(items, k=5).select(*columns).collect()}
+    best = lambda rows, i: sorted((-r[5], r[2]) for r in rows if r[1] == i)[:5]
+    assert few <= every and all(best(few, i) == best(every, i) for i, _ in texts)
+    assert len(few) <= (0.3 if known > 4 else 1) * len(every)  # with nothing known little can be left out, and nothing is lost
+
+
+def test_no_items_have_no_phrases(spark):
+    assert keywords.tfidf_keyphrases(items_of(spark, [(1, None)]).where("content_item_id = 2")).count() == 0
+    assert keywords.tfidf_keyphrases(items_of(spark, [(1, None), (2, "")])).count() == 0
