@@ -3,6 +3,8 @@
 import uuid
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,45 @@ def test_shape_of_the_hashes_follows_size_and_threshold():
         similarity.similar_vectors(None, 0.9, method="guess")
 
 
+@pytest.mark.parametrize("block_rows", [20, 2000])
+def test_hashed_search_gives_a_pair_once_in_its_first_bucket(spark, block_rows):
+    m = np.random.default_rng(3).normal(size=(400, 6)).astype("float32")
+    m[7] = 0
+    unit = similarity._unit(pd.Series(list(m)))
+    bits, tables, probes = 3, 5, 2
+    rng = np.random.default_rng(similarity.LSH_SEED)
+    planes = np.rint(rng.normal(size=(tables, bits, 6)) * 2**10)
+    side = np.rint(unit * 2**20) @ planes.transpose(0, 2, 1)  # by table, vector and bit
+    home = ((side > 0) << np.arange(bits)).sum(2)
+    unsure = np.argsort(np.abs(side), 2, kind="stable")[:, :, :probes]
+    seen = [[{home[t, i], *(home[t, i] ^ (1 << unsure[t, i]))} for i in range(400)] for t in range(tables)]
+    cos = unit @ unit.T
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if cos[i, j] >= 0.4
+            and any(home[t, j] in seen[t][i] or home[t, i] in seen[t][j] for t in range(tables))}
+    vectors = vectors_of(spark, m, 1)
+    buckets = similarity._buckets(vectors, bits, tables, probes, similarity.VECTOR_COLUMNS)
+    found = similarity._compare_blocks(similarity._blocks(buckets, block_rows), 0.4, False, once=similarity.first_meeting(bits, probes)).collect()
+    got = [(r["src_id"], r["dst_id"]) for r in found]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
+def test_low_thresholds_get_more_bits_where_buckets_beside_count():
+    for n, threshold in ((10_000, 0.35), (600_000, 0.35), (600_000, 0.9)):
+        bits, tables = similarity.lsh_shape(n, threshold)
+        chance = similarity.meeting_chances(threshold, bits, similarity.LSH_PROBES)[bits]
+        assert 1 - (1 - chance) ** tables >= similarity.LSH_RECALL and tables <= similarity.LSH_TABLES
+    assert similarity.lsh_shape(600_000, 0.35)[0] == 6  # 4 where only the own bucket counted, with three and a half times the comparisons
+    same = 1 - np.arccos(0.35) / np.pi  # without buckets beside the chance is that of equal signs
+    assert similarity.meeting_chances(0.35, 3, 0)[3] == pytest.approx(same**3, abs=0.02)
+
+
+def test_vectors_of_unlike_lengths_are_refused():
+    with pytest.raises(ValueError, match="unlike lengths"):
+        similarity._matrix(pa.array([[1.0, 2.0], [3.0], [4.0]]))
+    m = np.arange(12, dtype=np.float32).reshape(4, 3)
+    assert (similarity._matrix(similarity._packed(m).slice(1, 2)) == m[1:3]).all()
+
+
 def test_key_table_is_not_shuffled(spark):
     name = f"keys_{uuid.uuid4().hex}"
     shape = "workspace_id STRING, raw_content_id STRING, source_field STRING, content_item_id BIGINT, current_state STRING"
