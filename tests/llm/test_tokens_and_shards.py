@@ -49,6 +49,49 @@ def test_a_small_bound_on_states_changes_nothing(coder):
         assert [i for p in [small.encode(text.encode())] for i in p] == reference.encode_ordinary(text)
 
 
+def invented(n):
+    r = random.Random(3)
+    return ["".join(r.choices(["er", "on", "th", "en", "sch", "eaux", "ing", "re", "a", "ß", "ti"], k=r.randint(2, 6))) for _ in range(n)]
+
+
+def test_states_hold_no_unwritten_tokens(coder):
+    """Contexts that differ only in tokens before the live guesses share a state."""
+    machine = bpe_transducer.Transducer(bpe_transducer.read_ranks(PATH))
+    for word in invented(3000):
+        machine.encode(word.encode())
+    assert len(machine.ids) < 3100
+
+
+def test_one_new_word_is_looked_up_alone(coder, monkeypatch):
+    words = sorted(set(invented(500)))
+    encoder = bpe_transducer.Encoder(coder[0].transducer.ranks, PATTERN)
+    encoder.encode(" ".join(words))
+    asked, plain = [], encoder._word
+    monkeypatch.setattr(encoder, "_word", lambda word: asked.append(word) or plain(word))
+    text = " ".join([*words, "anothernewword", *words[1:], "anothernewword"])
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == coder[2].encode_ordinary(text)
+    assert asked.count(" anothernewword") == 1 and len(asked) <= 2
+
+
+def test_long_pieces_are_written_in_blocks(coder, monkeypatch):
+    monkeypatch.setattr(bpe_transducer, "BLOCK", 50)
+    machine, most = bpe_transducer.Transducer(coder[0].transducer.ranks, states=100), []
+    settled = machine._settled
+    monkeypatch.setattr(machine, "_settled", lambda ends, state: most.append(len(ends)) or settled(ends, state))
+    for text in ("".join(invented(500)), "x" * 3000, "abracadabra" * 300, "é漢" * 500):
+        want = coder[2].encode_ordinary(text)
+        assert [i for p in coder[0].pattern.findall(text) for i in machine.encode(p.encode())] == want
+    assert max(most) < 300
+
+
+def test_groups_of_texts_equal_single_texts(coder, monkeypatch):
+    encoder, _, reference = coder
+    rows = [*texts(500), *[t or "" for t in ODD], "a\0b c", "last one"]
+    for long in (8, 60, 1 << 20):
+        monkeypatch.setattr(bpe_transducer, "LONG", long)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_all(rows)] == [reference.encode_ordinary(t) for t in rows]
+
+
 def test_tokens_leave_early(coder):
     """A long piece is not held back: the guesses of a state keep only few unwritten tokens."""
     machine = coder[0].transducer

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -14,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trendloom.llm.common import flat_bytes, joined_words
+
 # What a worker holds beside the ranks, in bytes as estimated for each entry. A table that is full is dropped and built anew,
 # of pieces only the older half.
-STATES = 100_000  # determinised states with their moves, about 600 bytes each: 60 MB
+STATES = 200_000  # determinised states with their moves, about 500 bytes each: 100 MB
 PAIRS = 400_000  # verdicts on neighbours, about 110 bytes each: 44 MB
 PIECE_BYTES, PIECES_HELD = 200, 160 << 20  # encoded pieces and words: their text, ids and so many bytes each
-LONG = 1 << 20  # characters from which a text is cut into pieces bit by bit
+LONG = 1 << 20  # characters from which a text is cut into pieces bit by bit, and of texts that are worked through together
+ONE = (1 << 32) - 1  # the bits of a token
+BLOCK = 1 << 16  # bytes of a piece after which what is settled is written
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,16 +39,22 @@ class Transducer:
     A merge order has this property (Berglund and van der Merwe, 2023): a sequence of tokens is the result for its bytes if
     every two neighbours are the result for theirs. So the nondeterministic machine guesses where tokens end: it walks the trie
     of token bytes and may go back to the root wherever a token ends that may follow the last one. It is determinised as it is
-    used: a state is the set of live guesses, each a place in the trie and the tokens not yet written. What all guesses have
-    in common is written at once, so a token leaves after a lookahead of at most the longest token.
+    used: a state is the set of live guesses, each a place in the trie that has places below it and the token before it, the
+    oldest guess first.
+
+    The bytes read so far have one result, so after each byte one guess is at the root, and the token before it is the last one
+    of that result. The machine notes it for each byte; the tokens are then read from the end, each gives where the one before
+    ends. Tokens not yet written are thus no part of a state, which would multiply the states. Of a long piece what all live
+    guesses have in common is written after each ``BLOCK`` bytes.
     """
 
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.bound = ranks, states
         self.bytes_of = {i: b for b, i in ranks.items()}
-        # trie: 256 * node + byte -> node; what token ends at a node
+        self.length = {i: len(b) for i, b in self.bytes_of.items()}
+        # trie: 256 * node + byte -> node; what token ends at a node; bytes from the root to a node; whether it goes on there
         self.next: dict[int, int] = {}
-        ends = [-1]
+        ends, depth, inner = [-1], [0], bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -51,18 +62,30 @@ class Transducer:
                 if step is None:
                     step = self.next[node << 8 | byte] = len(ends)
                     ends.append(-1)
+                    depth.append(depth[node] + 1)
+                    inner.append(0)
+                    inner[node] = 1
                 node = step
             ends[node] = rank
-        self.ends = array("i", ends)
+        self.ends, self.depth = array("i", ends), array("i", depth)
+        self.inner = bytes(inner)
         self.spines: dict[int, tuple[list[int], list[int]]] = {}
         self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        start = ((0, -1, ()),)  # (trie node, last token, tokens not yet written)
+        start = (0,)  # trie node << 32 | token before it + 1
         self.ids = {start: 0}
-        self.guesses = [start]
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # 256 * state + byte -> (state, tokens to write)
+        self.places = [start]
+        self.last = [-1]  # by state: the last token of what was read
+        self.moves: dict[int, int] = {}  # 256 * state + byte -> state
+
+    @property
+    def guesses(self) -> Iterator[list[tuple[int, int, tuple[int, ...]]]]:
+        """The guesses of each state: trie node, token before it, and what the guess holds unwritten, which is that token."""
+        for state in self.places:
+            pairs = [(place >> 32, (place & ONE) - 1) for place in state]
+            yield [(node, last, (last,) if last >= 0 else ()) for node, last in pairs]
 
     def merged(self, text: bytes, stop: int = 1) -> list[bytes]:
         """Plain merging by rank, down to ``stop`` parts, for the few bytes of a token."""
@@ -127,52 +150,77 @@ class Transducer:
             else:
                 j += 1
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        found = []
-        for node, last, held in self.guesses[state]:
-            step = self.next.get(node << 8 | byte)
+    def _state(self, found: tuple[int, ...]) -> int:
+        state = self.ids.get(found)
+        if state is None:
+            state = self.ids[found] = len(self.places)
+            self.places.append(found)
+            self.last.append(found[-1] - 1)
+        return state
+
+    def _move(self, state: int, byte: int) -> int:
+        found, final = [], -1
+        step_of, ends, inner, pairs = self.next.get, self.ends, self.inner, self.pairs
+        for place in self.places[state]:
+            step = step_of(place >> 32 << 8 | byte)
             if step is None:
                 continue
-            found.append((step, last, held))
-            token = self.ends[step]
-            if token >= 0 and self._may_follow(last, token):
-                found.append((0, token, (*held, token)))
-        first, rest = found[0][2], found[1:]
-        common = len(first)
-        for _, _, held in rest:
-            common = min(common, len(held))
-            while first[:common] != held[:common]:
-                common -= 1
-        key = tuple(sorted((node, last, held[common:]) for node, last, held in found))
-        target = self.ids.get(key)
-        if target is None:
-            target = self.ids[key] = len(self.guesses)
-            self.guesses.append(key)
-        move = self.moves[state << 8 | byte] = (target, first[:common])
-        return move
+            if inner[step]:
+                found.append(step << 32 | place & ONE)
+            token = ends[step]
+            if final < 0 <= token:
+                last = (place & ONE) - 1
+                may = pairs.get(last << 32 | token)
+                if may or (may is None and self._may_follow(last, token)):
+                    final = token
+        found.append(final + 1)
+        target = self.moves[state << 8 | byte] = self._state(tuple(found))
+        return target
+
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens of the first ``at`` bytes, by the last token of each stretch from the start."""
+        out, length = [], self.length
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= length[token]
+        out.reverse()
+        return out
+
+    def _settled(self, ends: list[int], state: int) -> int:
+        """The last border between tokens that all live guesses share."""
+        borders = {len(ends) - self.depth[place >> 32] for place in self.places[state]}
+        while len(borders) > 1:
+            at = max(borders)
+            borders.remove(at)
+            borders.add(at - self.length[ends[at - 1]])
+        return borders.pop()
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece. A piece that is a token is that token."""
         known = self.ranks.get(piece)
         if known is not None:
             return [known]
-        if len(self.guesses) > self.bound:
+        if len(self.places) > self.bound:
             self._clear()
         out: list[int] = []
+        ends: list[int] = []  # for each byte not yet written: the last token up to there
         state = 0
-        for byte in piece:
-            move = self.moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out.extend(move[1])
-            if len(self.guesses) > 2 * self.bound:  # a long piece: carry on from the guesses of this state
-                guesses = self.guesses[state]
+        for i in range(0, len(piece), BLOCK):
+            moves, last = self.moves.get, self.last
+            for byte in piece[i : i + BLOCK] if i or len(piece) > BLOCK else piece:
+                move = moves(state << 8 | byte)
+                state = self._move(state, byte) if move is None else move
+                ends.append(last[state])
+            if len(ends) >= BLOCK:
+                settled = self._settled(ends, state)
+                out += self._back(ends, settled)
+                del ends[:settled]
+            if len(self.places) > 2 * self.bound:  # a long piece: carry on from the guesses of this state
+                places = self.places[state]
                 self._clear()
-                state = self.ids.setdefault(guesses, len(self.guesses))
-                if state == len(self.guesses):
-                    self.guesses.append(guesses)
-        out.extend(next(held for node, _, held in self.guesses[state] if node == 0))
-        return out
+                state = self._state(places)
+        return out + self._back(ends, len(ends))
 
 
 # White space other than the blank and the line feed; a text that holds some is cut by the pattern as a whole.
@@ -215,42 +263,55 @@ class Encoder:
         ids = self.known.get(piece)
         if ids is None:
             ids = self.older.get(piece)
-            ids = self._learn(piece, ids if ids is not None else np.array(self.transducer.encode(piece.encode()), "<u4").tobytes())
+            if ids is None:
+                found = self.transducer.encode(piece.encode())
+                ids = struct.pack(f"<{len(found)}I", *found)
+            self._learn(piece, ids)
         return ids
 
     def _by_pattern(self, text: str) -> bytes:
         return b"".join([self._piece(p) for pieces in self._pieces(text) for p in pieces])
 
     def _word(self, word: str) -> bytes:
-        """Ids of a stretch between safe cuts."""
-        ids = self.known.get(word)
+        """Ids of a stretch between safe cuts that is not among the known ones."""
+        ids = self.older.get(word)
         if ids is None:
-            ids = self.older.get(word)
-            if ids is None:
-                pieces = self.pattern.findall(word) if len(word) < LONG else []
-                if len(pieces) == 1:
-                    return self._piece(word)
-                ids = self._by_pattern(word) if not pieces else b"".join(map(self._piece, pieces))
-            self._learn(word, ids)
-        return ids
-
-    def _line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        words = [first, *[" " + word for word in rest]]
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            return b"".join(map(self._word, words))
+            pieces = self.pattern.findall(word) if len(word) < LONG else []
+            if len(pieces) == 1:
+                return self._piece(word)
+            ids = self._by_pattern(word) if not pieces else b"".join(map(self._piece, pieces))
+        return self._learn(word, ids)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        return [self._word(word) if ids is None else ids for word, ids in zip(words, list(map(self.known.get, words)), strict=True)]
+
+    def _is_plain(self, text: str) -> bool:
+        """Whether a text can be cut at every blank and line feed."""
+        if text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text:
+            return False
+        return not any(c in text for c in OTHER_SPACE) and (text.isascii() or not any(c in text for c in WIDE_SPACE))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes | memoryview]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Texts of ``LONG`` characters in all, or one, at a time."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= LONG:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes | memoryview]:
+        plain = [bool(text) and self._is_plain(text) for text in texts]
+        cut = [text.replace(" ", "\0 ").replace("\n", "\0\n\0") for text, so in zip(texts, plain, strict=True) if so]
+        joined = iter(joined_words(pa.array(cut, pa.large_string()), "\0", self._words))
+        for text, so in zip(texts, plain, strict=True):
+            yield next(joined) if so else self._by_pattern(text)
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        plain = not (text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text)
-        plain = plain and not any(c in text for c in OTHER_SPACE) and (text.isascii() or not any(c in text for c in WIDE_SPACE))
-        if not plain:
-            return self._by_pattern(text)
-        return self._by_pattern("\n").join(map(self._line, text.split("\n")))
+        """Ids of one text."""
+        return bytes(next(self.encode_all([text])))
 
 
 class StreamDecoder:
@@ -262,13 +323,14 @@ class StreamDecoder:
     def __init__(self, ranks: dict[bytes, int]):
         import codecs
 
-        self.table = [b""] * (max(ranks.values(), default=-1) + 1)
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
-            self.table[i] = token
+            table[i] = token
+        self.table = pa.array(table, pa.large_binary())
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids.tolist()))
+        return bytes(flat_bytes(self.table.take(pa.array(ids)))[0])
 
     def feed(self, ids: np.ndarray, last: bool = False) -> str:
         """The characters that these ids finish; with ``last`` also what is left over."""
@@ -291,7 +353,7 @@ def token_ids(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         encoder, _ = _coder(path, pattern)
-        return pa.array([encoder.encode(t or "") for t in texts.to_pylist()], pa.binary())
+        return pa.array(map(bytes, encoder.encode_all(t.as_py() or "" for t in texts)), pa.binary())
 
     return encode(text)
 
@@ -302,13 +364,13 @@ def decoded(ids: Column, path: str, pattern: str, chunk: int = 1 << 16) -> Colum
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         _, decoder = _coder(path, pattern)
-        return pa.array(["".join(_stream(decoder, x, chunk)) for x in column], pa.string())
+        return pa.array(["".join(_stream(decoder, x.as_buffer() if x.is_valid else b"", chunk)) for x in column], pa.string())
 
     return decode(ids)
 
 
-def _stream(decoder: StreamDecoder, ids: pa.Scalar, chunk: int) -> Iterable[str]:
-    all_ids = np.frombuffer(ids.as_buffer() if ids.is_valid else b"", "<u4")
+def _stream(decoder: StreamDecoder, ids: bytes | memoryview | pa.Buffer, chunk: int) -> Iterable[str]:
+    all_ids = np.frombuffer(ids, "<u4")
     for i in range(0, len(all_ids), chunk):
         yield decoder.feed(all_ids[i : i + chunk])
     yield decoder.feed(all_ids[:0], last=True)
@@ -328,15 +390,14 @@ def round_trip(text: Column, path: str, pattern: str, chunk: int = 1 << 16, with
     def both(texts: pa.Array) -> pa.Array:
         encoder, decoder = _coder(path, pattern)
         n, of_ids, of_text, kept = [], [], [], []
-        for t in texts:
-            ids = encoder.encode(t.as_py() or "")
+        for ids in encoder.encode_all(t.as_py() or "" for t in texts):
             n.append(len(ids) // 4)
             of_ids.append(hashlib.sha256(ids).hexdigest())
             digest = hashlib.sha256()
-            for part in _stream(decoder, pa.scalar(ids, pa.binary()), chunk):
+            for part in _stream(decoder, ids, chunk):
                 digest.update(part.encode())
             of_text.append(digest.hexdigest())
-            kept += [ids] if with_ids else []
+            kept += [bytes(ids)] if with_ids else []
         columns = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
         columns += [pa.array(kept, pa.binary())] if with_ids else []
         return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
