@@ -159,6 +159,32 @@ def test_words_that_need_care():
         assert np.frombuffer(ids, encoder.kind).tolist() == reference.encode(text, add_special_tokens=False).ids, text
 
 
+def test_letters_that_become_marks_and_special_tokens():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, reference = token_files.WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["İ. aİ, x", "\u0958! क़.", "é, É; ß: Ñ.,x ÿ?!", "<|ENDOFTEXT|> <|endoftext|>. <|StartOfText|>,", "THE The the, THE.% it's, IT'S.", "ĳ. ǅ, ﬁ! ª: º; µ."]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == reference.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_in_use_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS", 40)
+    encoder, asked = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    plain = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: asked.extend(words) or plain(words))
+    for i in range(20):
+        encoder.encode(["again Again and, again. " + " ".join(f"{'abcdefghij'[i % 10]}{'klmno'[i // 10]}{c}" for c in "pqrstuvwxy")])
+        assert len(encoder.known) + len(encoder.older) < 100
+    assert asked.count("again") == 1 and len(asked) == len(set(asked)) and "Again" not in asked and "again." not in asked
+
+
+def test_larger_batches_keep_every_row():
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(t, pa.string()), "n": pa.array(range(len(t)), pa.int64())}) for t in (["a", None], [], ["é" * 9], [None], ["b"])]
+    got = list(common.larger(iter(batches), "text", 10))
+    assert [b.num_rows for b in got] == [3, 2] and [t for b in got for t in b.column(0).to_pylist()] == ["a", None, "é" * 9, None, "b"]
+    assert list(common.larger(iter(batches[1:2]), "text", 10)) == []
+
+
 def test_no_documents_no_files(frame, spark):
     folder = work_folder(spark)
     manifest = token_files.write_sequences(frame([], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), folder)

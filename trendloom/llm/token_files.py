@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import drop_from, shared_files
+from trendloom.llm.common import drop_from, joined_words, larger, shared_files
 from trendloom.session import cut, cut_and_measure
 
 LENGTH = 2048  # ids of a sequence
 ROWS = 64  # sequences of a record batch
-WORDS = 500_000  # encoded words held at a time
+WORDS = 800_000  # encoded words held at a time; when half of them are new, the half not used since is dropped
+TEXT = 1 << 22  # characters of texts that are encoded together, or one text
+LETTER, MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])", "([,.;:!?])"  # a blank between these two changes no ids
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -24,7 +28,8 @@ class WordEncoder:
     """Ids by a tokenizer that drops white space and cuts words where letters, digits and other characters meet, so that a text's
     ids are those of its words one after the other, and a word's those of its letters and of the punctuation after them.
 
-    Each word goes through the tokenizers library once while it is held.
+    Each word goes through the tokenizers library once while it is held. The tokenizer lower-cases, so a word of ASCII letters
+    alone is looked up in lower case (others are not: a special token counts only as it is spelled).
     """
 
     def __init__(self, path: str):
@@ -33,7 +38,7 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -54,28 +59,49 @@ class WordEncoder:
         self.known.update(zip(words, (flat[x:y] for x, y in zip(borders, borders[1:], strict=False)), strict=True))
 
     def _learn(self, words: set[str]) -> None:
-        parts = {}
+        parts, alone, odd = {}, [], []
         for word in words:
             letters = word.rstrip(PUNCTUATION)
-            if letters != word and letters.isalpha():
+            if letters != word and letters.isalpha() and _stays_letter(letters[-1]):
                 parts[word] = (letters, word[len(letters) :])
-        needed = (words - parts.keys()) | {part for pair in parts.values() for part in pair if part not in self.known}
-        letters = [word for word in needed if word.isalpha()]
-        self._each([word for word in needed if not word.isalpha()])
-        for i in range(0, len(letters), 1000):
-            self._letters(letters[i : i + 1000])
+            else:
+                (alone if word.isalpha() else odd).append(word)
+        for part in {part for pair in parts.values() for part in pair} - words:
+            if part not in self.known:
+                (alone if part.isalpha() else odd).append(part)
+        self._each(odd)
+        for i in range(0, len(alone), 1000):
+            self._letters(alone[i : i + 1000])
         for word, (first, rest) in parts.items():
             self.known[word] = self.known[first] + self.known[rest]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian, of the width of ``kind``."""
-        if len(self.known) > WORDS:
-            self.known.clear()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = {word for words in split for word in words if word not in self.known}
+    def _words(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > WORDS // 2:
+            self.older, self.known = self.known, {}
+        words = [word.lower() if word.isascii() and word.isalpha() else word for word in words]
+        found = list(map(self.known.get, words))
+        new = set()
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = self.older.get(words[i])
+                if found[i] is None:
+                    new.add(words[i])
+                else:
+                    self.known[words[i]] = found[i]
         if new:
             self._learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            found = [self.known[word] if ids is None else ids for word, ids in zip(words, found, strict=True)]
+        return found
+
+    def encode(self, texts: list[str]) -> list[memoryview]:
+        """Ids of each text, little-endian, of the width of ``kind``."""
+        plain = pa.array([text.replace("\n", " ") for text in texts], pa.large_string())
+        return joined_words(pc.replace_substring_regex(plain, LETTER + MARK, r"\1 \2"), " ", self._words)
+
+
+def _stays_letter(letter: str) -> bool:
+    """Whether a letter is one after normalizing too; some become a letter and a mark, which the tokenizer joins with what follows."""
+    return letter.isascii() or unicodedata.normalize("NFC", letter).lower().isalpha()
 
 
 @lru_cache(maxsize=2)
@@ -122,14 +148,12 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
         system, root = shared_files(folder)
         path, n_docs, n_ids = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}", 0, 0
         held, size, files = [], 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in larger(batches, "text", TEXT):
             if files is None:
                 system.create_dir(root, recursive=True)
                 streams = system.open_output_stream(f"{path}.arrow"), system.open_output_stream(f"{path}.index.arrow")
                 files = pa.ipc.new_file(streams[0], sequence_schema(length, kind)), pa.ipc.new_file(streams[1], INDEX)
-            encoded = [ids + end for ids in encoder.encode([t or "" for t in drop_from(batch, "text").to_pylist()])]
+            encoded = [b"".join((ids, end)) for ids in encoder.encode([t or "" for t in drop_from(batch, "text").to_pylist()])]
             counts = np.array([len(ids) // kind.itemsize for ids in encoded], np.int64)
             starts = n_ids + np.concatenate([[0], np.cumsum(counts)[:-1]])
             files[1].write(pa.RecordBatch.from_arrays([drop_from(batch, "doc_id").cast(pa.int64()), pa.array(starts), pa.array(counts)], schema=INDEX))
