@@ -19,7 +19,7 @@ from trendloom.llm.common import flat_bytes, joined_words
 
 # What a worker holds beside the ranks, in bytes as estimated for each entry. A table that is full is dropped and built anew,
 # of pieces only the older half.
-STATES = 200_000  # determinised states with their moves, about 500 bytes each: 100 MB
+STATES = 120_000  # determinised states with their moves, about 500 bytes each: 60 MB
 PAIRS = 400_000  # verdicts on neighbours, about 110 bytes each: 44 MB
 PIECE_BYTES, PIECES_HELD = 200, 160 << 20  # encoded pieces and words: their text, ids and so many bytes each
 LONG = 1 << 20  # characters from which a text is cut into pieces bit by bit, and of texts that are worked through together
